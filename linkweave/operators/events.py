@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import bounded_text, filled, quoted, strip, when
+from linkweave.operators.ordered import WIDTH, carried_lag, carried_sum
 
 # Event types that are shown but not kept.
 TRANSIENT = ("token", "reasoning", "model_call", "progress_message")
@@ -76,25 +77,27 @@ def progress_text(events: DataFrame, limit: int = 4000) -> DataFrame:
 SHOWN_ACTIONS = ("plan", "start", "update", "block", "compact")
 
 
-def new_progress(events: DataFrame) -> DataFrame:
+def new_progress(events: DataFrame, width: int = WIDTH) -> DataFrame:
     """Progress events that differ from the progress shown just before them in the same run."""
     shown = events.where(f"type = 'agent_progress' AND action IN ({quoted(SHOWN_ACTIONS)}) AND text <> ''")
-    order = "OVER (PARTITION BY run_id ORDER BY seq)"
-    same = " AND ".join(f"lag({c}) {order} <=> {c}" for c in ("action", "work_item_id", "text"))
-    return shown.selectExpr("*", f"coalesce({same}, false) AS again").where("NOT again").drop("again")
+    fields = ["action", "work_item_id", "text"]
+    marked = carried_lag(shown, ["run_id"], "seq", fields, width)
+    again = " AND ".join(f"prev_{f} <=> {f}" for f in fields)
+    return marked.where(f"is_first OR NOT ({again})").select(*events.columns)
 
 
-def activity_slices(events: DataFrame, messages: DataFrame) -> DataFrame:
+def activity_slices(events: DataFrame, messages: DataFrame, width: int = WIDTH) -> DataFrame:
     """Number of the message each event belongs to: the events since the last message go with the next one.
 
-    messages: (run_id, seq) of the shown messages. Events after the last message get number n+1.
+    messages: (run_id, seq) of the shown messages, each at the sequence number of its own event. Events
+    after the last message get number n+1.
     """
-    both = events.selectExpr("run_id", "seq", "0 AS is_message").unionByName(
-        messages.selectExpr("run_id", "seq", "1 AS is_message")
+    shown = messages.selectExpr("run_id", "seq", "1 AS is_message")
+    marked = events.select("run_id", "seq").join(shown, ["run_id", "seq"], "left").selectExpr(
+        "run_id", "seq", "coalesce(is_message, 0) AS is_message"
     )
-    before = "sum(is_message) OVER (PARTITION BY run_id ORDER BY seq, is_message ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    placed = both.selectExpr("run_id", "seq", "is_message", f"coalesce({before}, 0) + 1 AS message_no")
-    return placed.where("is_message = 0").select("run_id", "seq", "message_no")
+    counted = carried_sum(marked, ["run_id"], "seq", "is_message", "upto", width)
+    return counted.selectExpr("run_id", "seq", "upto - is_message + 1 AS message_no")
 
 
 def latest_per_key(events: DataFrame, keys: list[str], values: list[str], order: str = "seq") -> DataFrame:
@@ -198,7 +201,7 @@ def assemble_fragments(fragments: DataFrame, keys: list[str], order: str = "seq"
     return whole.selectExpr(*keys, "fragments", "name", f"{arguments} AS arguments", f"{valid} IS NOT NULL AS parsed")
 
 
-def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int = 12_000, keep: int = 10**9) -> DataFrame:
+def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int = 12_000, keep: int = 1_000_000) -> DataFrame:
     """Newest messages of each session that fit a character budget, each cut in the middle if too long.
 
     A message costs min(length, limit), the budget runs out at a prefix of the newest-first order, and the
@@ -209,10 +212,13 @@ def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int
     mark = f"'{marker}'"
     budget = max(1_000, budget)
     back = "PARTITION BY session_id ORDER BY seq DESC"
+    # every message that is kept costs a character or more, so no more than `budget` of them matter
     newest = messages.selectExpr("*", f"row_number() OVER ({back}) AS back").where(f"back <= {keep}")
+    newest = newest.where("coalesce(content, '') <> ''").selectExpr("* EXCEPT (back)", f"row_number() OVER ({back}) AS back")
+    newest = newest.where(f"back <= {budget}")
     cost = f"least(char_length(coalesce(content, '')), {per_message})"
     spent = f"coalesce(sum({cost}) OVER ({back} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    kept = newest.selectExpr("*", f"{spent} AS spent").where(f"spent < {budget} AND coalesce(content, '') <> ''")
+    kept = newest.selectExpr("*", f"{spent} AS spent").where(f"spent < {budget}")
     sized = kept.selectExpr("*", f"int(least({per_message}, {budget} - spent)) AS room").selectExpr(
         "*", f"greatest(room - char_length({mark}), 0) AS free"
     ).selectExpr("*", "int(floor(free / 3)) AS head")
@@ -278,22 +284,24 @@ def ledger_state(calls: DataFrame) -> DataFrame:
 
 
 def ledger_answers(calls: DataFrame) -> DataFrame:
-    """Answer to every single attempt: execute, replay, retry, collision or uncertain."""
-    order = "PARTITION BY scope, call_id ORDER BY seq"
-    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    keyed = calls.selectExpr(
-        "*", "sha2(concat_ws('\\0', name, arguments), 256) AS input"
-    ).selectExpr(
-        "*", f"first_value(input) OVER ({order}) AS first_input",
-    ).selectExpr(
-        "*", f"coalesce(bool_or(status = 'succeeded' AND input = first_input) OVER ({order} {before}), false) AS done",
-        f"row_number() OVER ({order}) AS attempt",
+    """Answer to every single attempt: execute, replay, retry, collision or uncertain.
+
+    Only three numbers per call decide: its first attempt, that one's input and its first success. They are
+    plain aggregates, so a call repeated a billion times is combined before the shuffle.
+    """
+    keyed = calls.selectExpr("*", "sha2(concat_ws('\0', name, arguments), 256) AS input")
+    first = keyed.groupBy("scope", "call_id").agg(
+        F.min("seq").alias("first_seq"), F.min_by("input", "seq").alias("first_input")
+    )
+    opened = keyed.join(first, ["scope", "call_id"])
+    success = opened.where("status = 'succeeded' AND input = first_input").groupBy("scope", "call_id").agg(
+        F.min("seq").alias("success_seq")
     )
     answer = when(
-        ("attempt = 1", "'execute'"), ("input <> first_input", "'collision'"), ("done", "'replay'"),
+        ("seq = first_seq", "'execute'"), ("input <> first_input", "'collision'"), ("success_seq < seq", "'replay'"),
         ("retry_safe", "'retry'"), otherwise="'uncertain'",
     )
-    return keyed.selectExpr("scope", "call_id", "seq", f"{answer} AS answer")
+    return opened.join(success, ["scope", "call_id"], "left").selectExpr("scope", "call_id", "seq", f"{answer} AS answer")
 
 
 def live_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:

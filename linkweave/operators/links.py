@@ -136,9 +136,10 @@ def _seeded(matched: DataFrame, note: str) -> DataFrame:
     )
 
 
-def seed_seed_links(seeds: DataFrame) -> DataFrame:
-    """Links of each seed with those met before it. The index holds at most four rows a value."""
-    matched = side(seeds, "s", "ord AS s_ord").join(side(seeds, "t", "ord AS seq"), "fingerprint")
+def seed_seed_links(index: DataFrame, candidates: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Links of each candidate with the indexed seeds met before it: four per value at most."""
+    earlier = broadcast_seeds(side(index, "s", "ord AS s_ord"), limits)
+    matched = side(candidates, "t", "ord AS seq").join(earlier, "fingerprint")
     return _seeded(matched.where("s_ord < seq AND s_file <> t_file"), SEED_NOTE)
 
 
@@ -161,16 +162,18 @@ def probe_seeds(cells: DataFrame, catalog: DataFrame, seeds: DataFrame, limits:
         f"{specificity('value', 'kind')} AS specificity",
     )
     renamed = described.withColumnsRenamed({c: f"t_{c}" for c in SIDE})
+    return cap_matches(_seeded(renamed, PROBE_NOTE).selectExpr("*", "row_no AS seq"), limits)
+
+
+def cap_matches(matches: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Matches counted before a (table, value) reached its cap; the test comes before each cell."""
     value_order = "PARTITION BY t_table, fingerprint ORDER BY row_no, position"
     cap = limits.max_matches_per_seed
-    first_cells = _seeded(renamed, PROBE_NOTE).selectExpr(
-        "*", f"dense_rank() OVER ({value_order}) AS cell_rank"
-    ).where(f"cell_rank <= {cap}")
+    first_cells = matches.selectExpr("*", f"dense_rank() OVER ({value_order}) AS cell_rank").where(f"cell_rank <= {cap}")
     counted = first_cells.selectExpr(
         "*",
         f"count(1) OVER ({value_order}) AS upto",  # a default frame takes in the whole cell
         "count(1) OVER (PARTITION BY t_table, fingerprint, row_no, position) AS own",
-        "row_no AS seq",
     )
     return counted.where(f"upto - own < {cap}").drop("cell_rank", "upto", "own")
 

@@ -52,16 +52,32 @@ def table_occurrences(
     texts = df.selectExpr("row_no", *[f"{stringify(f'`{c}`', t)} AS `{c}`" for c, t in types.items()])
     composed = with_nfkc(texts, *[c for c, t in types.items() if is_text(t)])
     folded = composed.selectExpr(
-        "row_no", *[f"{normalize_value(f'`{c}`', not is_text(t))} AS `{c}`" for c, t in types.items()]
+        "row_no", *[f"{_folded(f'`{c}`', t)} AS `{c}`" for c, t in types.items()]
     )
     cells = folded.selectExpr(
-        "row_no",
-        *[f"if({valid_join_value(f'`{c}`', quote(kind), rules)}, `{c}`, NULL) AS `{c}`" for c, kind in columns],
+        "row_no", *[f"if({_valid(f'`{c}`', kind, types[c], rules)}, `{c}`, NULL) AS `{c}`" for c, kind in columns]
     )
     tall = cells.unpivot(["row_no"], [c for c, _ in columns], "column", "value")
     return tall.where(F.col("value").isNotNull()).select(F.lit(table).alias("table"), "column", "row_no", "value")
 
 
+def _folded(x: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return x  # digits and a sign are in normal form
+    if isinstance(dtype, T.NumericType):
+        return f"lower({x})"
+    return normalize_value(x, ascii_only=not is_text(dtype))
+
+
+def _valid(x: str, kind: str, dtype: T.DataType, rules: ValueRules) -> str:
+    """The value rules, less those that the text of a number cannot break."""
+    if isinstance(dtype, T.NumericType) and kind != "name":
+        short = f"char_length({x}) < {rules.min_digits} AND {x} rlike '^[0-9]+$'"
+        keyed = kind in ("id", "code", "reference", "phone") and rules.min_digits > 1
+        return f"({x} <> ''" + (f" AND NOT ({short}))" if keyed else ")")
+    return valid_join_value(x, quote(kind), rules)
+
+
 def occurrences(
     tables: dict[str, DataFrame],
     columns: dict[str, list[tuple[str, str]]],

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import contains_any, strip, when
+from linkweave.operators.ordered import WIDTH, carried_sum
 
 
 def owned_by(df: DataFrame, owner: str, column: str = "owner_id") -> DataFrame:
@@ -30,8 +31,9 @@ def record_summaries(records: DataFrame, files: DataFrame, questions: DataFrame,
     )
 
 
-def number_versions(snapshots: DataFrame, key: str = "record_id", order: str = "created_at") -> DataFrame:
-    return snapshots.selectExpr("*", f"row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS version")
+def number_versions(snapshots: DataFrame, key: str = "record_id", order: str = "seq", width: int = WIDTH) -> DataFrame:
+    """Versions 1, 2, ... per record in order of a number that is unique within the record."""
+    return carried_sum(snapshots, [key], order, "1", "version", width)
 
 
 def version_as_of(versions: DataFrame, version: int) -> DataFrame:

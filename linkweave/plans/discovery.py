@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.config import HeaderRules, Limits, ValueRules
+from linkweave.functions.headers import compatibility_groups
+from linkweave.functions.text import stringify
+from linkweave.functions.values import describe_entities, text_entities
 from linkweave.operators import links as L
-from linkweave.operators.occurrences import describe_values, distinct_values, occurrences
+from linkweave.operators.occurrences import describe_values, distinct_values, occurrences, with_row_number
 from linkweave.operators.sketches import bottom_k, cardinality, sampled_bottom_k
-from linkweave.sources.catalog import join_columns, schema_catalog
+from linkweave.session import cut_lineage
+from linkweave.sources.catalog import join_columns, role_score, schema_catalog, seed_tables
 
 
 @dataclass(frozen=True)
@@ -32,7 +36,8 @@ def profiles(catalog: DataFrame, cells: DataFrame, rules: Rules, large: bool = F
     """Bottom-k samples of every scanned column, described. `large` prefilters by estimated cutoffs."""
     k = rules.limits.profile_size
     sample = sampled_bottom_k(cells, cardinality(cells), k) if large else bottom_k(distinct_values(cells), k)
-    return describe_values(sample, catalog)
+    # k rows per column at most, read twice by the overlap join: written once, so the tables are scanned once
+    return cut_lineage(describe_values(sample, catalog))
 
 
 def profile_evidence(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules()) -> DataFrame:
@@ -44,3 +49,154 @@ def profile_evidence(spark: SparkSession, tables: dict[str, DataFrame], rules: R
 def profile_relations(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules()) -> DataFrame:
     """Relations between columns whose bounded samples overlap."""
     return L.relations(profile_evidence(spark, tables, rules), rules.limits)
+
+
+# The directed probe -------------------------------------------------------------------------------
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, row_count, column_count, size, role_score): row counts come from Parquet footers."""
+    spark = next(iter(tables.values())).sparkSession
+    counts = None
+    for name, df in sorted(tables.items()):
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).selectExpr(
+            f"'{name}' AS table", "row_count", f"{len(df.columns)} AS column_count", "0L AS size"
+        )
+        counts = one if counts is None else counts.unionAll(one)
+    scored = counts.selectExpr("*", f"{role_score('table')} AS role_score")
+    return spark.createDataFrame(scored.collect(), scored.schema)  # one row per table
+
+
+def text_values(df: DataFrame, table: str, rules: Rules) -> DataFrame:
+    """Entities found in the joined text of each row, with the first row of each (label, value)."""
+    numbered = with_row_number(df)
+    cells = [f"{stringify(f'`{f.name}`', f.dataType)}" for f in df.schema.fields]
+    joined = numbered.selectExpr("row_no", f"concat_ws('\\t', filter(array({', '.join(cells)}), c -> c <> '')) AS text")
+    found = joined.selectExpr("row_no", f"inline({text_entities('text')})")
+    first = found.groupBy("source_kind", "label", "value").agg(F.min("row_no").alias("row_no"))
+    return describe_entities(first, rules.headers).selectExpr(
+        f"'{table}' AS table", "label AS column", "row_no", "fingerprint", "kind", "base", "key", "preview", "specificity",
+        f"concat('table:{table};row:', row_no) AS locator",
+    )
+
+
+def seed_sources(
+    catalog: DataFrame, tables: dict[str, DataFrame], cells: DataFrame, order: dict[str, int], rules: Rules
+) -> DataFrame:
+    """Candidate seeds of the seed tables with `ord`: table, columns before text, column, fingerprint."""
+    limits = rules.limits
+    sample = bottom_k(distinct_values(cells), limits.seed_values_per_column)
+    described = describe_values(sample, catalog)
+    places = F.broadcast(cells.sparkSession.createDataFrame(list(order.items()), "table string, place int"))
+    columns = described.join(places, "table").selectExpr(
+        *SEED, "probe_key", "format_string('%06d/0/%04d/%s', place, position, fingerprint) AS ord"
+    )
+    texts = None
+    for table in order:
+        one = text_values(tables[table], table, rules)
+        texts = one if texts is None else texts.unionByName(one)
+    kept = bottom_k(texts.dropDuplicates(["table", "fingerprint"]), limits.max_text_seeds, by=("table",))
+    # text seeds are found by their fingerprint alone: the 64-bit key needs the value, which is not kept
+    text_seeds = kept.join(places, "table").selectExpr(
+        *SEED, "bigint(NULL) AS probe_key", "format_string('%06d/1/0000/%s', place, fingerprint) AS ord"
+    )
+    return columns.unionByName(text_seeds).withColumn("file", F.col("table"))
+
+
+SEED = ("fingerprint", "table", "column", "key", "kind", "base", "locator", "preview", "specificity")
+
+
+def next_table(catalog: DataFrame, seeds: DataFrame, open_tables: DataFrame) -> str:
+    """Open table whose columns agree best with the seeds' kinds and bases; the smallest wins ties."""
+    known = seeds.selectExpr("'' AS key", "kind", "base").distinct().selectExpr(f"inline({compatibility_groups()})").select("label").distinct()
+    labels = L.compatible_groups(catalog).where("label NOT LIKE 'header:%'")
+    scores = labels.join(known, "label").groupBy("table").agg(F.max("score").alias("score"))
+    ranked = open_tables.join(scores, "table", "left").selectExpr("*", "coalesce(score, 0) AS fit")
+    return ranked.orderBy(F.desc("fit"), "cells", "table").first()["table"]
+
+
+def discover(
+    spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules(), mode: str = "greedy"
+) -> dict[str, DataFrame]:
+    """Whole discovery: seeds from small tables, directed probes of the rest, sample overlaps, relations.
+
+    The driver loops over tables, never over rows; what a step leaves behind (bounded samples, capped
+    matches) is written to the checkpoint folder. `mode="rounds"` probes all open tables at once against
+    the seeds known so far, which is faster for many tables and may find fewer follow-up links.
+    """
+    limits = rules.limits
+    sizes = table_sizes(tables)
+    catalog = cut_lineage(schema_catalog(spark, tables, rules.headers))
+    columns = join_columns(catalog)
+    chosen = seed_tables(sizes, limits).collect()
+    order = {row["table"]: row["seed_order"] for row in chosen}
+    seed_cells = occurrences(tables, {t: c for t, c in columns.items() if t in order}, rules.values)
+    candidates = cut_lineage(seed_sources(catalog, tables, seed_cells, order, rules))
+    seeds = cut_lineage(L.seed_index(candidates, limits))
+    links = [L.seed_seed_links(seeds, candidates, limits).select(*LINK)]
+    samples = [bottom_k(distinct_values(seed_cells), limits.profile_size)]
+    frontiers = []
+    scanned = set(order)
+    remaining = {row["table"]: (row["row_count"] or 0) * row["column_count"] for row in sizes.collect()}
+    remaining = {t: n for t, n in remaining.items() if t not in scanned}
+    steps = 0
+    while remaining:
+        opened = spark.createDataFrame(list(remaining.items()), "table string, cells long")
+        batch = [next_table(catalog, seeds, opened)] if mode == "greedy" else sorted(remaining)
+        for table in batch:
+            remaining.pop(table)
+        readable = {t: columns[t] for t in batch if t in columns}
+        steps += 1
+        if not readable:
+            continue
+        cells = occurrences(tables, readable, rules.values)
+        matches = cut_lineage(L.probe_seeds(cells, catalog, seeds.where("probe_key IS NOT NULL"), limits))
+        links.append(matches.select(*LINK))
+        sample = cut_lineage(bottom_k(distinct_values(cells), limits.profile_size))
+        samples.append(sample)
+        if remaining:
+            still_open = spark.createDataFrame([(t,) for t in remaining], "table string")
+            stats = cardinality(cells)
+            wanted = L.expandable_columns(catalog.where(F.col("table").isin(batch)).unionByName(
+                catalog.where(F.col("table").isin(list(remaining)))), still_open, stats, limits)
+            edge = L.frontier(cells, matches, limits.frontier_values_per_column).join(
+                wanted.select("table", "column"), ["table", "column"], "left_semi"
+            )
+            fresh = describe_values(edge, catalog).selectExpr(
+                *SEED, "probe_key", f"format_string('9%05d/0/%04d/%s', {steps}, position, fingerprint) AS ord", "table AS file"
+            )
+            frontiers.append(fresh)
+            seeds = cut_lineage(L.seed_index(seeds.unionByName(fresh), limits))
+    profile_rows = cut_lineage(describe_values(_union(samples), catalog))
+    links.append(L.profile_links(profile_rows, limits).withColumn("seq", F.col("seq").cast("string")).select(*LINK))
+    evidence = L.evidence_rows(_union([link.withColumn("seq", F.col("seq").cast("string")) for link in links]))
+    return {
+        "catalog": catalog, "seeds": seeds, "profiles": profile_rows, "evidence": evidence,
+        "relations": L.relations(evidence, limits),
+        "coverage": spark.createDataFrame(
+            [(len(tables), len(scanned) + len(tables) - len(order), len(columns), steps)],
+            "tables int, completed int, readable int, probe_steps int",
+        ),
+    }
+
+
+LINK = tuple(f"{p}_{c}" for p in ("s", "t") for c in ("file", "column", "locator", "preview", "specificity")) + (
+    "fingerprint", "type", "confidence", "verdict", "evidence_kind", "note", "seq",
+)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def coverage(result: dict[str, DataFrame]) -> DataFrame:
+    """How much a discovery covered: seeds, sampled values, relations by verdict."""
+    seeds = result["seeds"].agg(F.expr("count(DISTINCT fingerprint) AS seed_values"))
+    samples = result["profiles"].agg(F.count(F.lit(1)).alias("profile_values"))
+    found = result["relations"].agg(
+        F.count(F.lit(1)).alias("relations"), F.expr("count_if(verdict = 'confirmed') AS confirmed")
+    )
+    return result["coverage"].join(F.broadcast(seeds)).join(F.broadcast(samples)).join(F.broadcast(found))

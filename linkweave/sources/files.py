@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import quoted, raw, when
+from linkweave.session import cut_lineage
 
 # Kinds by file extension.
 TABULAR = (".csv", ".tsv", ".xlsx", ".jsonl", ".ndjson", ".parquet", ".sqlite", ".sqlite3", ".db")
@@ -58,8 +59,11 @@ def numbered_files(files: DataFrame) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """1-based rank over all rows. Only one count per partition is summed up in one place."""
-    spread = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """1-based rank over all rows. Only one count per partition is summed up in one place.
+
+    The partitioned rows are written once, so that ranks and counts speak of the same partitions.
+    """
+    spread = cut_lineage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     local = spread.selectExpr("*", f"row_number() OVER (PARTITION BY part ORDER BY {', '.join(order)}) AS local_rank")
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.selectExpr(
