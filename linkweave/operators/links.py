@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.config import HeaderRules, Limits
-from linkweave.functions.headers import (
-    compatibility,
-    compatibility_groups,
-    header_base,
-    header_key,
-    header_kind,
-)
-from linkweave.functions.text import fingerprint, normalize_name, quote, safe_preview, when
+from linkweave.config import Limits
+from linkweave.functions.headers import compatibility, compatibility_groups
+from linkweave.functions.text import fingerprint, quote, safe_preview, when
 from linkweave.functions.values import specificity
 from linkweave.operators.occurrences import cell_locator, distinct_values, known_columns
 from linkweave.operators.sketches import bottom_k
@@ -258,15 +252,17 @@ def attach_evidence(relation_rows: DataFrame, evidence: DataFrame) -> DataFrame:
     return relation_rows.join(arrays, "id", "left")
 
 
-def field_correspondences(
-    relation_rows: DataFrame, rules: HeaderRules = HeaderRules(), keep: int = 20
-) -> DataFrame:
-    """Confirmed relations whose columns mean the same, best first, per pair of files."""
+def field_correspondences(relation_rows: DataFrame, catalog: DataFrame, keep: int = 20) -> DataFrame:
+    """Confirmed relations whose columns mean the same, best first, per pair of files.
+
+    The catalog tells what the columns mean; whole-file duplicates need no column.
+    """
     rows = relation_rows.where("verdict = 'confirmed'")
     for end in ("source", "target"):
-        rows = rows.selectExpr("*", f"{header_key(f'{end}_column', rules)} AS {end}_key")
-        rows = rows.selectExpr("*", f"{header_kind(f'{end}_key', rules)} AS {end}_kind")
-        rows = rows.selectExpr("*", f"{header_base(f'{end}_key', f'{end}_kind', rules)} AS {end}_base")
+        known = catalog.selectExpr(
+            f"table AS {end}", f"name AS {end}_column", f"key AS {end}_key", f"kind AS {end}_kind", f"base AS {end}_base"
+        )
+        rows = rows.join(F.broadcast(known), [end, f"{end}_column"], "left")
     same_base = (
         "source_base <> '' AND source_base = target_base AND source_kind = target_kind AND source_kind <> 'other'"
     )

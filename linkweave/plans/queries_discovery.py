@@ -406,8 +406,9 @@ def column_overlap(spark, folder):
     " where r.verdict='confirmed' and ((a.key<>'' and a.key=b.key) or (a.base<>'' and a.base=b.base and a.kind=b.kind and a.kind<>'other'))"
 )
 def field_correspondences(spark, folder):
-    rows = D.profile_relations(spark, read_tables(spark, folder), RULES)
-    return L.field_correspondences(rows, RULES.headers).select(
+    tables = read_tables(spark, folder)
+    rows = D.profile_relations(spark, tables, RULES)
+    return L.field_correspondences(rows, S.schema_catalog(spark, tables, RULES.headers)).select(
         "source", "target", "source_column", "target_column", "confidence", "evidence_count", "alignment"
     )
 
@@ -535,7 +536,7 @@ def discovery_coverage(spark, folder):
 
 @query(
     "with f as (select doc_id, sha256(text) as sha256 from documents), g as (select sha256, min(doc_id) as source, count(*) as copies from f group by 1 having count(*)>1)"
-    f" select {O.relation_id('printf(''%010d'', source)', 'printf(''%010d'', doc_id)', O.lit('exact_duplicate'), O.lit('whole-file'), O.lit('whole-file'))} as id,"
+    f" select {O.relation_id("printf('%010d', source)", "printf('%010d', doc_id)", O.lit('exact_duplicate'), O.lit('whole-file'), O.lit('whole-file'))} as id,"
     " printf('%010d', source) as source, printf('%010d', doc_id) as target, 1.0::double as confidence, sha256 as fingerprint, copies"
     " from f join g using (sha256) where doc_id<>source"
 )

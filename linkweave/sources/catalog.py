@@ -45,7 +45,9 @@ def schema_catalog(
         for position, field in enumerate(df.schema.fields)
     ]
     columns = spark.createDataFrame(rows, "table string, position int, name string, dtype string")
-    return column_meaning(columns, rules)
+    meaning = column_meaning(columns, rules)
+    # finished rows, one per column: later plans carry values instead of the marker rules
+    return spark.createDataFrame(meaning.collect(), meaning.schema)
 
 
 def join_columns(catalog: DataFrame) -> dict[str, list[tuple[str, str]]]:
