@@ -338,16 +338,17 @@ def stable_ids(spark, folder):
     return read_table(spark, folder, "customer").selectExpr("c_custkey", f"{X.stable_id('X-', 'c_name', 'c_nationkey')} AS id")
 
 
-@query("select conv_id, string_agg(text, '' order by turn) as text, count(*) as blocks from conversations where role='assistant' group by 1")
+@query(
+    "with l as (select conv_id, turn, string_split(text, chr(10)) as l from conversations)"
+    " select conv_id, turn, array_to_string(list_filter(l, lambda x, i: i % 2 = 1), '') as body, len(l) as blocks from l"
+)
 def message_texts(spark, folder):
-    """Text blocks of messages joined; a conversation's turns are the blocks of one message."""
+    """Text blocks of each message joined; every second line stands for a block of another kind."""
     rows = read_table(spark, folder, "conversations").selectExpr(
-        "conv_id", "turn", "array(named_struct('type', if(role = 'assistant', 'text', role), 'text', text)) AS blocks"
-    ).selectExpr("conv_id", "turn", f"{X.blocks_text('blocks')} AS text").where("text <> ''")
-    return rows.groupBy("conv_id").agg(
-        F.expr("array_join(transform(array_sort(collect_list(struct(turn, text))), t -> t.text), '') AS text"),
-        F.count(F.lit(1)).alias("blocks"),
+        "conv_id", "turn",
+        "transform(split(text, '\\n'), (l, i) -> named_struct('type', if(i % 2 = 0, 'text', 'tool_use'), 'text', l)) AS blocks",
     )
+    return rows.selectExpr("conv_id", "turn", f"{X.blocks_text('blocks')} AS body", "bigint(size(blocks)) AS blocks")
 
 
 # Previews -------------------------------------------------------------------------------------------
