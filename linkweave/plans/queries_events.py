@@ -252,14 +252,14 @@ def call_answers(spark, folder):
 
 
 _SESS = "select 't' || c_custkey as token, c_custkey as account_id, c_acctbal * 1000 as expires_at from customer"
-_REQ = "select event_id, 't' || user_id as token, value * 10000 as at from events"
+_REQ = "select event_id, 't' || user_id as token, value * 10000 as {q}at{q} from events"
 
 
-@query(f"with s as ({_SESS}), r as ({_REQ}) select r.event_id, s.account_id from r join s using (token) where expires_at > at")
+@query(f"with s as ({_SESS}), r as ({_REQ.format(q=chr(34))}) select r.event_id, s.account_id from r join s using (token) where expires_at > r.\"at\"")
 def live_sessions(spark, folder):
     t = read_tables(spark, folder, ("customer", "events"))
     sessions = spark.sql(_SESS.replace("from customer", "from {c}"), c=t["customer"])
-    requests = spark.sql(_REQ.replace("from events", "from {e}"), e=t["events"])
+    requests = spark.sql(_REQ.format(q="`").replace("from events", "from {e}"), e=t["events"])
     return E.live_sessions(requests, sessions).select("event_id", "account_id")
 
 
@@ -270,10 +270,20 @@ def expired_sessions(spark, folder):
 
 
 def code_requests(spark, folder) -> DataFrame:
-    return read_table(spark, folder, "events").selectExpr("user_id", "unix_micros(ts) / 1e6D AS at")
+    return read_table(spark, folder, "events").selectExpr("user_id", "unix_micros(cast(ts AS timestamp)) / 1e6D AS at")
 
 
-@query()
+RATES = (
+    "with recursive q as (select user_id, epoch_us(ts)/1e6 as t, count(*) as requests from events group by 1,2),"
+    " r as (select *, row_number() over (partition by user_id order by t) as rn from q),"
+    " f as (select user_id, t, rn, requests, [t] as acc, true as accepted, 0::bigint as retry_after from r where rn=1 union all"
+    " select user_id, t, rn, requests, case when wait<=0 and len(recent)<5 then list_append(recent, t)[-5:] else acc end, wait<=0 and len(recent)<5,"
+    " case when wait>0 then wait when len(recent)>=5 then greatest(1, ceil(3600-(t-recent[1])))::bigint else 0 end"
+    " from (select r.user_id, r.t, r.rn, r.requests, f.acc, ceil(60-(r.t-f.acc[-1]))::bigint as wait, list_filter(f.acc, lambda a: a>=r.t-3600) as recent from r join f on r.user_id=f.user_id and r.rn=f.rn+1))"
+)
+
+
+@query(RATES + ' select user_id, t as "at", requests, accepted, retry_after from f')
 def rate_limits(spark, folder):
     """Answers to code requests: at least a minute apart and five an hour."""
     return H.rate_limit(code_requests(spark, folder))
@@ -436,7 +446,7 @@ def live_usages(spark, folder):
 
 
 def run_stream(spark, folder) -> DataFrame:
-    events = J.table_stream(spark, folder, "events")
+    events = J.table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return spark.sql(RUN_SPARK.replace("from events)", "from {events})"), events=events)
 
 
@@ -465,7 +475,7 @@ def streamed_counts(spark, folder):
     out = fresh_folder(spark, "hourly")
     J.run_to_folder(J.windowed_counts(run_stream(spark, folder)), out, mode="update")
     keys = ["window_start", "type", "status"]
-    return J.newest_batch(spark, out, keys, ["events"])
+    return J.newest_batch(spark, out, keys, ["events"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(
@@ -502,12 +512,12 @@ def streamed_probe(spark, folder):
     return found.select("s_table", "s_column", "t_table", "t_column", "fingerprint", "row_no", "confidence", "verdict")
 
 
-@query()
+@query(RATES + ' select user_id, t as "at", accepted, retry_after from f')
 def streamed_rate_limits(spark, folder):
     """The rate limit on a stream, with the accepted times in the state store."""
     out = fresh_folder(spark, "limits")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
-    stream = J.table_stream(spark, folder, "events").selectExpr("user_id", "unix_micros(ts) / 1e6D AS at")
+    stream = J.table_stream(spark, folder, "events").selectExpr("user_id", "unix_micros(cast(ts AS timestamp)) / 1e6D AS at")
     J.run_to_folder(V.rate_limit_stream(stream), out)
     return J.read_batches(spark, out).select("user_id", "at", "accepted", "retry_after")
 

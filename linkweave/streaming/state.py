@@ -23,12 +23,13 @@ from linkweave.operators.folds import (
 class CodeRequests(StatefulProcessor):
     """Accepts or refuses code requests of one user; remembers the accepted times of the last hour."""
 
-    def __init__(self, gap: float = GAP, window: float = WINDOW, most: int = PER_WINDOW) -> None:
+    def __init__(self, gap: float = GAP, window: float = WINDOW, most: int = PER_WINDOW, ttl_ms: int | None = None) -> None:
         self.rule = (gap, window, most)
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # the state dies by itself once nothing in it can matter
-        self.accepted = handle.getValueState("accepted", "times array<double>", int(self.rule[1] * 1000 * 24))
+        # at most five times per user; with a time to live it dies once nothing in it can matter
+        self.accepted = handle.getValueState("accepted", "times array<double>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
         times = list(self.accepted.get()[0]) if self.accepted.exists() else []
@@ -44,12 +45,16 @@ class CodeRequests(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame) -> DataFrame:
-    """Streaming twin of the batch rate limit: (user_id, at) -> answers. Arrival order decides."""
+def rate_limit_stream(requests: DataFrame, expire: bool = False) -> DataFrame:
+    """Streaming twin of the batch rate limit: (user_id, at) -> answers. Arrival order decides.
+
+    `expire` lets idle users' state die by wall-clock time. It is for jobs that keep running: with a clock
+    there is always one more batch to run, so such a stream never ends by itself.
+    """
     return requests.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=CodeRequests(),
+        statefulProcessor=CodeRequests(ttl_ms=int(WINDOW * 1000) if expire else None),
         outputStructType="user_id long, at double, accepted boolean, retry_after long",
-        outputMode="append", timeMode="processingTime",
+        outputMode="append", timeMode="processingTime" if expire else "none",
     )
 
 
