@@ -57,18 +57,26 @@ def text_entities(x: str) -> str:
     `describe_entities` turns the exploded rows into kinds, fingerprints and previews.
     """
 
-    def plain(kind: str, pattern: str) -> str:
+    def found(pattern: str, group: int, needs: str) -> str:
+        # a cheap test for what every match must hold spares most texts the pattern
+        return f"if({needs}, regexp_extract_all({x}, {raw(pattern)}, {group}), cast(array() AS array<string>))"
+
+    def plain(kind: str, pattern: str, needs: str) -> str:
         value = normalize_value(replace_all("m", TRAILING), ascii_only=True)
         return (
-            f"transform(regexp_extract_all({x}, {raw(pattern)}, 0),"
+            f"transform({found(pattern, 0, needs)},"
             f" m -> named_struct('source_kind', '{kind}', 'label', '{kind}', 'value', {value}))"
         )
 
+    marked = f"(contains({x}, ':') OR contains({x}, '：') OR contains({x}, '#'))"
     pairs = (
-        f"zip_with(regexp_extract_all({x}, {raw(LABELED)}, 1), regexp_extract_all({x}, {raw(LABELED)}, 2),"
+        f"zip_with({found(LABELED, 1, marked)}, {found(LABELED, 2, marked)},"
         f" (l, v) -> named_struct('source_kind', 'label', 'label', l, 'value', {normalize_value('v', ascii_only=True)}))"
     )
-    parts = [plain("uuid", UUID), plain("email", EMAIL), plain("phone", PHONE), plain("url", URL), pairs]
+    parts = [
+        plain("uuid", UUID, f"contains({x}, '-')"), plain("email", EMAIL, f"contains({x}, '@')"),
+        plain("phone", PHONE, f"contains({x}, '1')"), plain("url", URL, f"contains({x}, '://')"), pairs,
+    ]
     return f"concat({', '.join(parts)})"
 
 
