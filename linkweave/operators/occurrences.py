@@ -16,6 +16,7 @@ from linkweave.functions.text import (
     with_nfkc,
 )
 from linkweave.functions.values import specificity, valid_join_value
+from linkweave.session import spread
 from linkweave.sources.catalog import is_text
 
 FILE_STRIDE = 1 << 40
@@ -90,7 +91,8 @@ def occurrences(
         df = with_row_number(tables[table])
         if bootstrap_rows and table in bootstrap_rows:
             df = df.where(F.col("row_no") <= bootstrap_rows[table])
-        parts.append(table_occurrences(df, table, columns[table], rules))
+        wanted = spread(df.select("row_no", *[c for c, _ in columns[table]]))
+        parts.append(table_occurrences(wanted, table, columns[table], rules))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionAll(part)

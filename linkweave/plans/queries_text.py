@@ -15,7 +15,7 @@ from linkweave.plans import oracle_text as O
 from linkweave.plans import queries_discovery as Q
 from linkweave.plans.registry import query
 from linkweave.plans.tables import read_table, read_tables
-from linkweave.session import cut_lineage
+from linkweave.session import cut_lineage, spread
 from linkweave.sources import catalog as S
 from linkweave.sources import files as F_
 
@@ -41,7 +41,7 @@ MARKER_LIST = "array_to_string(list_sort(list_filter([" + ",".join(O.lit(m) for
 
 def document_lines(spark, folder) -> DataFrame:
     """Lines of documents as segments of their source: (file, doc_id, line_no, ord, locator, text)."""
-    lines = F_.line_segments(read_table(spark, folder, "documents").select("source", "doc_id", "text"))
+    lines = F_.line_segments(spread(read_table(spark, folder, "documents").select("source", "doc_id", "text")))
     return lines.selectExpr(
         "source AS file", "doc_id", "line_no", "doc_id * 1000000 + line_no AS ord",
         "concat('doc:', doc_id, ';', locator) AS locator", "line AS text",

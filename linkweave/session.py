@@ -52,3 +52,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     folder = fresh_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a file that Spark reads in fewer tasks than there are cores, dealt out to all of them.
+
+    A table of many files has splits enough and stays as it is, and so does one too small to matter.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if df.isStreaming or int(str(size)) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
