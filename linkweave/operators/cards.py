@@ -294,7 +294,7 @@ def bound_cards(cards: DataFrame, max_cards: int = 1_000, required: str = "file_
     room = must.agg(F.expr(f"greatest({max_cards} - count(1), 0) AS room"))
     rest = unique.where(f"kind <> '{required}'").orderBy("priority", "kind", "id").limit(max_cards)
     ranked = rest.selectExpr("*", "row_number() OVER (ORDER BY priority, kind, id) AS n")
-    kept = ranked.join(F.broadcast(room)).where("n <= room").drop("n", "room")
+    kept = ranked.where(F.col("n") <= room.scalar()).drop("n")
     return must.unionByName(kept)
 
 
@@ -316,7 +316,7 @@ def statement_ranks(cards: DataFrame, context: DataFrame) -> DataFrame:
     rows = cards.where(f"kind IN ({quoted(STATEMENT_KINDS)})").selectExpr(
         "*", f"{S.relation_tokens('concat(snippet, ' + quote(' ') + ', statement)')} AS card_tokens"
     )
-    return rows.join(F.broadcast(context)).selectExpr(
+    return rows.withColumn("tokens", context.select("tokens").scalar()).selectExpr(
         "* EXCEPT (card_tokens, tokens)",
         "4 * size(array_intersect(card_tokens, tokens)) + if(strength = 'direct', 3, 1)"
         " + if(kind = 'document_relation_statement', 2, 0) AS score",
@@ -370,4 +370,4 @@ def evidence_page(
     offset, limit = max(0, offset), max(1, min(limit, 20))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(*order).offset(offset).limit(limit)
-    return page.join(F.broadcast(total)).selectExpr("*", f"total > {offset + limit} AS has_more")
+    return page.withColumn("total", total.scalar()).selectExpr("*", f"total > {offset + limit} AS has_more")

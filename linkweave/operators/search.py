@@ -117,7 +117,7 @@ def term_search(
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(*order).offset(offset).limit(limit)
     step = f"if({offset + limit} < total, {offset + limit}, NULL)"
-    return page.join(F.broadcast(total)).selectExpr("*", f"{step} AS next_offset")
+    return page.withColumn("total", total.scalar()).selectExpr("*", f"{step} AS next_offset")
 
 
 def mention_tier(name: str, path: str, query: str) -> str:

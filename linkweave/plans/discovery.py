@@ -194,9 +194,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def coverage(result: dict[str, DataFrame]) -> DataFrame:
     """How much a discovery covered: seeds, sampled values, relations by verdict."""
-    seeds = result["seeds"].agg(F.expr("count(DISTINCT fingerprint) AS seed_values"))
-    samples = result["profiles"].agg(F.count(F.lit(1)).alias("profile_values"))
-    found = result["relations"].agg(
-        F.count(F.lit(1)).alias("relations"), F.expr("count_if(verdict = 'confirmed') AS confirmed")
-    )
-    return result["coverage"].join(F.broadcast(seeds)).join(F.broadcast(samples)).join(F.broadcast(found))
+    found = result["relations"]
+    return result["coverage"].withColumns({
+        "seed_values": result["seeds"].agg(F.expr("count(DISTINCT fingerprint)")).scalar(),
+        "profile_values": result["profiles"].agg(F.count(F.lit(1))).scalar(),
+        "relations": found.agg(F.count(F.lit(1))).scalar(),
+        "confirmed": found.agg(F.expr("count_if(verdict = 'confirmed')")).scalar(),
+    })

@@ -8,7 +8,6 @@ from linkweave.plans import oracle_text as O
 from linkweave.plans.queries_text import LABEL_KIND, LABEL_STRENGTH, label_cards
 from linkweave.plans.registry import query
 from linkweave.plans.tables import read_table
-from linkweave.session import cut_lineage
 from linkweave.sources import sinks as Z
 
 # One text for both engines: each turn of a conversation claims a node and an edge to the turn before.
@@ -199,12 +198,11 @@ def claim_violations(spark, folder):
     return V.violations(claims(spark, folder))
 
 
-@query()
+@query(f"with {CLAIMS}, {_TYPED} select graph_id, purpose from graphs where graph_id not in (select graph_id from wrong)")
 def valid_claims(spark, folder):
-    """Graphs without a broken rule."""
+    """Graphs whose edges all join ends that fit their types."""
     all_claims = claims(spark, folder)
-    broken = cut_lineage(V.size_rules(all_claims).unionByName(V.reference_rules(all_claims)))
-    return V.valid_graphs(all_claims, broken).select("graph_id", "purpose")
+    return V.valid_graphs(all_claims, V.endpoint_rules(all_claims)).select("graph_id", "purpose")
 
 
 @query(f"with {CLAIMS}, p as (select graph_id, lag(node) over (partition by graph_id order by pos) as source, node as target, true as main from chain union all"

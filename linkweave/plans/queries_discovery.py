@@ -582,7 +582,12 @@ def chains(spark, folder):
     return G.chains(rows)["summary"].select("chain_id", "first_file", "files", "relation_count")
 
 
-@query()
+@query(
+    f"with recursive {O.OVERLAP}, k as (select id, source as a, target as b, row_number() over (order by confidence desc, id) as r from rel),"
+    " d as (select r, a, b from k union all select r, b, a from k),"
+    " w as (select k.r as e, k.a as node from k union select w.e, d.b from w join d on d.a=w.node and d.r<w.e)"
+    " select id from k where not exists (select 1 from w where w.e=k.r and w.node=k.b)"
+)
 def core_relations(spark, folder):
     """Maximum spanning forest over all relations of all tables."""
     rows = cut_lineage(D.profile_relations(spark, read_tables(spark, folder), RULES))
