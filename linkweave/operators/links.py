@@ -11,6 +11,7 @@ from linkweave.functions.text import fingerprint, quote, safe_preview, when
 from linkweave.functions.values import specificity
 from linkweave.operators.occurrences import cell_locator, distinct_values, known_columns
 from linkweave.operators.sketches import bottom_k
+from linkweave.session import cut_lineage
 
 # Explanations that links carry.
 SEED_NOTE = "Exact normalized values match across compatible columns (column compatibility %.2f)."
@@ -323,13 +324,20 @@ def _anchors(names: DataFrame) -> DataFrame:
     inner = split.selectExpr(
         "*", "slice(words, int(starts) + 1, greatest(size(words) - int(starts) - int(ends), 0)) AS inner_words"
     )
-    longest = "element_at(array_sort(inner_words, (a, b) -> char_length(b) - char_length(a)), 1)"
+    # of several such words the one that fewest names share, so that a word of many names drives no join
+    candidates = inner.where("size(inner_words) > 0").selectExpr(
+        "target", "folded_name", "explode(array_distinct(inner_words)) AS piece"
+    )
+    shared = candidates.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = candidates.join(shared, "piece").selectExpr(
+        "*", "row_number() OVER (PARTITION BY target, folded_name ORDER BY n, char_length(piece) DESC, piece) AS r"
+    ).where("r = 1").selectExpr("target", "folded_name", "0 AS mode", "piece")
     last_is_open = "size(words) > int(starts)"
-    mode = when(("size(inner_words) > 0", "0"), (last_is_open, "1"), otherwise="2")
-    piece = when(
-        ("size(inner_words) > 0", longest), (last_is_open, "element_at(words, -1)"), otherwise="left(folded_name, 4)"
+    others = inner.where("size(inner_words) = 0").selectExpr(
+        "target", "folded_name", f"if({last_is_open}, 1, 2) AS mode",
+        f"if({last_is_open}, element_at(words, -1), left(folded_name, 4)) AS piece",
     )
-    return inner.selectExpr("target", "folded_name", f"{mode} AS mode", f"{piece} AS piece")
+    return rarest.unionByName(others)
 
 
 def explicit_references(texts: DataFrame, names: DataFrame, min_chars: int = 4) -> DataFrame:
@@ -339,11 +347,11 @@ def explicit_references(texts: DataFrame, names: DataFrame, min_chars: int = 4)
     text, so no text is held against every name. The search is exact.
     """
     folded = "replace(lower({}), 'ß', 'ss')"
-    anchors = _anchors(
+    anchors = cut_lineage(_anchors(
         names.where(f"char_length(file_name) >= {min_chars}").selectExpr(
             "path AS target", f"{folded.format('file_name')} AS folded_name"
         )
-    )
+    ))
     modes = {row["mode"] for row in anchors.select("mode").distinct().collect()}
     words = f"array_distinct({TOKENS.format('folded')})"
     pieces = {
