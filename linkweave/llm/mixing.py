@@ -61,16 +61,17 @@ def pfair_period(parts: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def numbered(rows: DataFrame, counts: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds __n, a row's place (from 0) in its __source, in the order of a hash of the row; counts: (__source, __rows)."""
+def numbered(rows: DataFrame, have: dict[str, int], bucket_rows: int) -> DataFrame:
+    """Adds __n, a row's place (from 0) in its __source, in the order of a hash of the row; have: rows of each source."""
     columns = [c for c in rows.columns if c != "__source"]
-    sized = counts.selectExpr("__source", f"bigint(ceil(__rows / {bucket_rows})) AS __buckets")
+    sized = rows.sparkSession.createDataFrame([(s, -(-n // bucket_rows)) for s, n in have.items()], "__source string, __buckets long")
     turn = F.xxhash64(*[f"`{c}`" for c in columns])
-    rows = rows.join(sized, "__source").withColumn("__turn", turn).withColumn("__bucket", F.expr("pmod(__turn, __buckets)")).drop("__buckets")
+    rows = rows.join(F.broadcast(sized), "__source")  # a row a source, which max_sources bounds.withColumn("__turn", turn).withColumn("__bucket", F.expr("pmod(__turn, __buckets)")).drop("__buckets")
     before = rows.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__rows")).selectExpr(
         "__source", "__bucket",
         "coalesce(sum(__rows) OVER (PARTITION BY __source ORDER BY __bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before",
     )
+    # a row for each 4096 rows of a source at most
     within = rows.withColumn("__row", F.expr("row_number() OVER (PARTITION BY __source, __bucket ORDER BY __turn)"))
     return within.join(before, ["__source", "__bucket"]).withColumn("__n", F.expr("__before + __row - 1")).drop(
         "__before", "__row", "__bucket", "__turn"
@@ -112,7 +113,7 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, rules:
         [(s, j, slot, parts[s]) for (s, j), slot in at.items()], "__source string, __nth long, __slot long, __parts long"
     )
     shares = spark.createDataFrame(list(parts.items()), "__source string, __parts long")
-    blocks = numbered(rows, counts, rules.bucket_rows).withColumn("__block", F.expr(f"__n div {rules.block_rows}"))
+    blocks = numbered(rows, have, rules.bucket_rows).withColumn("__block", F.expr(f"__n div {rules.block_rows}"))
     blocks = blocks.join(F.broadcast(shares), "__source", "left").withColumn("__nth", F.expr("__block % __parts"))
     placed = blocks.join(F.broadcast(table.drop("__parts")), ["__source", "__nth"], "left").withColumn(
         "slot", F.expr(f"(__block div __parts) * {period} + __slot")

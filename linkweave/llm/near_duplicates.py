@@ -2,10 +2,12 @@
 
 1. A pass over the texts gives each document's set of word shingles a 128-bit name, a signature of universal-hash minima
    and one value a band. Documents of equal sets are one node from here on, so copies cost a count.
-2. Nodes that agree in a band share a slot. Slots are never spelled out as pairs: in each round some members of a slot are
-   its pivots and meet the others that are not yet in their component. Pairs whose signatures agree enough are verified
-   on the full sets, links become components, and pivots retire. Rounds go on, with four times the pivots, until no slot
-   holds two components, so a pair that shares a slot is either tied by links or was compared.
+2. Nodes that agree in a band share a slot. Slots are never spelled out as pairs. First one pivot of each slot, the same one in
+   most slots of a group of copies, meets the other members; pairs whose signatures agree enough are verified on the
+   full sets, and links become components. What then shares a slot across components, without its pivot, is compared in blocks
+   of nodes: those outside a slot's largest component with that component, and with each other. A block pair
+   is one row, its links are counted by a matrix product of its sets, and only links between components come out.
+   So a pair that shares a slot is either tied by links or was compared.
 3. With 50 bands of 6 rows, a pair of similarity 0.8 misses all bands with a chance of 3 in 10 million.
 """
 
@@ -35,6 +37,8 @@ class NearRules:
     rows: int = 6
     slack: float = 0.12
     """Pairs whose signatures agree in less than percent/100 - slack are not verified (five standard deviations)."""
+    block: int = 128
+    """Nodes a block, about."""
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -164,40 +168,101 @@ def _labelled(slots: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _split(rows: DataFrame) -> DataFrame:
     """Rows of the slots that hold two components or more."""
-    live = rows.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(live.select("slot"), "slot", "left_semi")
+    return rows.join(_several(rows), "slot", "left_semi")
+
+
+def _blocks(nodes: DataFrame, group: str, rules: NearRules) -> DataFrame:
+    """(group, part, members): the nodes of each group in blocks of a bounded size. nodes: (group, node, component, shingles)."""
+    sized = nodes.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("__n") / rules.block))
+    return nodes.join(sized, group).groupBy(group, part.alias("part")).agg(
+        F.collect_list(F.struct("node", "component", "shingles")).alias("members")
+    )
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y."""
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    held = []
+    for sets in (x, y):
+        flags = np.zeros((len(sets), len(common)), np.float32)
+        for k, one in enumerate(sets):
+            at = np.searchsorted(common, one)
+            ok = at < len(common)
+            ok[ok] = common[at[ok]] == one[ok]
+            flags[k, at[ok]] = 1
+        held.append(flags)
+    return (held[0] @ held[1].T).astype(np.int64)
+
+
+def _block_links(pairs: DataFrame, rules: NearRules) -> DataFrame:
+    """Links (a, b) between different components of two blocks (left, right)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: set[tuple[int, int]] = set()
+            for sides in zip(batch.column("left"), batch.column("right"), strict=True):
+                nodes, parts, sets = [], [], []
+                for side in sides:
+                    rows = side.values
+                    nodes.append(rows.field("node").to_numpy(zero_copy_only=False))
+                    parts.append(rows.field("component").to_numpy(zero_copy_only=False))
+                    sets.append([np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("shingles")])
+                shared = shared_counts(*sets)
+                size = [np.array([len(v) for v in one]) for one in sets]
+                linked = 100 * shared >= rules.percent * (size[0][:, None] + size[1][None, :] - shared)
+                linked &= parts[0][:, None] != parts[1][None, :]
+                found: set[tuple[int, int]] = set()
+                for i, j in zip(*np.nonzero(linked), strict=True):
+                    tie = (int(parts[0][i]), int(parts[1][j]))
+                    if tie not in found:  # one link ties two components
+                        found.add(tie)
+                        links.add((int(nodes[0][i]), int(nodes[1][j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(links)], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("left", "right").mapInArrow(compare, "a long, b long")
+
+
+def _residual_links(rows: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """Links between components that share a slot. rows: (slot, node, component, size) of the slots with several components."""
+    main = rows.groupBy("slot").agg(F.max(F.struct("size", "component")).alias("m")).select("slot", F.col("m.component").alias("main"))
+    others = cut_lineage(rows.join(main, "slot").where("component <> main"), "others")
+    # those outside with the slot's main component: each component's members once, whatever the number of its slots
+    outside = others.select(F.col("main").alias("group"), "node", "component").distinct().join(sets, "node")
+    mains = rows.select("node", "component").distinct().join(others.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+    inside = mains.withColumn("group", F.col("component")).join(sets, "node")
+    left = _blocks(outside, "group", rules).select("group", F.col("members").alias("left"))
+    right = _blocks(inside, "group", rules).select("group", F.col("members").alias("right"))
+    # those outside with each other
+    beside = _blocks(others.select("slot", "node", "component").join(_several(others), "slot", "left_semi").join(sets, "node"), "slot", rules)
+    beside = cut_lineage(beside, "beside")
+    ways = beside.select("slot", F.col("part").alias("p"), F.col("members").alias("left")).join(
+        beside.select("slot", F.col("part").alias("q"), F.col("members").alias("right")), "slot"
+    ).where("p <= q")
+    return _block_links(left.join(right, "group"), rules).unionAll(_block_links(ways, rules)).distinct()
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("slot")
 
 
 def node_components(slots: DataFrame, signatures: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame | None:
     """(node, component) of all nodes with a link; None without any link."""
-    labels: DataFrame | None = None
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    spread = 1
-    while True:
-        rows = cut_lineage(_split(_labelled(slots, labels)), "split-slots")
-        if rows.isEmpty():
-            return labels
-        # members of small components come first, so that what is not tied yet is settled soon
-        part = F.pmod(F.xxhash64("node"), F.lit(spread))
-        pivots = rows.groupBy("slot", part.alias("part")).agg(
-            F.min(F.struct("size", F.xxhash64("node").alias("turn"), "node", "component")).alias("p")
-        ).select("slot", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivot_component"))
-        pivots = cut_lineage(pivots, "pivots")
-        met = rows.join(pivots, "slot").where("component <> pivot_component").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-        ).distinct()
-        met = cut_lineage(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = met if tested is None else tested.unionAll(met)
-        near = cut_lineage(_alike(_beside(met, signatures, "signature"), rules), "near")
-        found = cut_lineage(_verified(_beside(near, sets, "shingles"), rules), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = cut_lineage(star_components(links), "labels")
-        slots = cut_lineage(
-            rows.select("slot", "node").join(pivots.select("slot", F.col("pivot").alias("node")), ["slot", "node"], "left_anti"), "slots"
-        )
-        spread *= 4
+    turn = F.xxhash64("node")
+    pivots = slots.groupBy("slot").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("p")).select("slot", F.col("p.node").alias("pivot"))
+    pivots = cut_lineage(pivots, "pivots")
+    met = slots.join(pivots, "slot").where("node <> pivot").select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    ).distinct()
+    near = cut_lineage(_alike(_beside(met, signatures, "signature"), rules), "near")
+    links = cut_lineage(_verified(_beside(near, sets, "shingles"), rules), "links")
+    labels = None if links.isEmpty() else cut_lineage(star_components(links), "labels")
+    rest = slots.join(pivots.select("slot", F.col("pivot").alias("node")), ["slot", "node"], "left_anti")
+    rows = cut_lineage(_split(_labelled(rest, labels)), "split-slots")
+    if rows.isEmpty():
+        return labels
+    more = cut_lineage(_residual_links(rows, sets, rules), "residual-links")
+    return labels if more.isEmpty() else cut_lineage(star_components(links.unionAll(more)), "labels")
 
 
 def near_duplicates(documents: DataFrame, rules: NearRules = NearRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
