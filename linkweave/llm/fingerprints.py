@@ -125,7 +125,8 @@ def edited_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "
     rows = documents.select(
         documents[key].alias("id"), F.coalesce(documents[text].cast("string"), F.lit("")).alias("text")
     )
-    rows = sketched(rows, "text", "sketch")
+    # dealt out by id here, so that the rows and the heads made of them share one shuffle
+    rows = sketched(rows, "text", "sketch").repartition("id")
     onward = following(documents.select(documents[key].alias("id")), "id")
     lengths = rows.groupBy("id").agg(F.max(F.length("text")).alias("chars"))
     give = onward.join(lengths, "id").select(F.col("id").alias("before"), F.col("next").alias("id"), F.expr("chars div 3").alias("most"))
