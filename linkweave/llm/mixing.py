@@ -66,7 +66,9 @@ def numbered(rows: DataFrame, have: dict[str, int], bucket_rows: int) -> DataFra
     columns = [c for c in rows.columns if c != "__source"]
     sized = rows.sparkSession.createDataFrame([(s, -(-n // bucket_rows)) for s, n in have.items()], "__source string, __buckets long")
     turn = F.xxhash64(*[f"`{c}`" for c in columns])
-    rows = rows.join(F.broadcast(sized), "__source")  # a row a source, which max_sources bounds.withColumn("__turn", turn).withColumn("__bucket", F.expr("pmod(__turn, __buckets)")).drop("__buckets")
+    # a row a source, which max_sources bounds
+    rows = rows.join(F.broadcast(sized), "__source").withColumn("__turn", turn)
+    rows = rows.withColumn("__bucket", F.expr("pmod(__turn, __buckets)")).drop("__buckets")
     before = rows.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__rows")).selectExpr(
         "__source", "__bucket",
         "coalesce(sum(__rows) OVER (PARTITION BY __source ORDER BY __bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before",
