@@ -125,15 +125,17 @@ def edited_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "
     rows = documents.select(
         documents[key].alias("id"), F.coalesce(documents[text].cast("string"), F.lit("")).alias("text")
     )
+    alone = sketched(rows.where("id IS NULL"), "text", "sketch")
     # dealt out by id here, so that the rows and the heads made of them share one shuffle
+    rows = rows.where("id IS NOT NULL")
+    lengths = rows.groupBy("id").agg(F.max(F.length("text")).alias("chars"))
     rows = sketched(rows, "text", "sketch").repartition("id")
     onward = following(documents.select(documents[key].alias("id")), "id")
-    lengths = rows.groupBy("id").agg(F.max(F.length("text")).alias("chars"))
     give = onward.join(lengths, "id").select(F.col("id").alias("before"), F.col("next").alias("id"), F.expr("chars div 3").alias("most"))
     heads = rows.withColumn("turn", F.expr("row_number() OVER (PARTITION BY id ORDER BY text)")).where("turn = 1").join(give, "id").select(
         F.col("before").alias("id"), F.expr("left(text, int(most))").alias("head"), F.col("sketch").alias("next_sketch")
     )
-    both = rows.join(heads, "id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    both = rows.join(heads, "id", "left").unionByName(alone, allowMissingColumns=True).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 3)), left(coalesce(head, ''), int(n_chars div 3)))"))
     both = sketched(both.drop("head"), "edited", "edited_sketch")
     return both.select(
