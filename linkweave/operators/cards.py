@@ -88,7 +88,7 @@ def mention_scores(scored: DataFrame, names: DataFrame) -> DataFrame:
         .selectExpr("*", "split_part(source, '\\0', 1) AS own", "bigint(split_part(source, '\\0', 2)) AS sid")
         .where("own <> target")
         .groupBy(F.col("own").alias("file"), "sid")
-        .agg(F.sum("gain").alias("gain"), F.expr("slice(array_sort(collect_set(target)), 1, 40) AS mentioned"))
+        .agg(F.sum("gain").alias("gain"), F.expr("array_sort(collect_set(target)) AS mentioned"))
     )
     return keyed.join(gains, ["file", "sid"], "left").selectExpr(
         "* EXCEPT (sid, gain, mentioned, score)", "score + coalesce(gain, 0) AS score",
@@ -311,15 +311,17 @@ def kind_histogram(cards: DataFrame) -> DataFrame:
 def statement_ranks(cards: DataFrame, context: DataFrame) -> DataFrame:
     """Statement cards with their rank score: 4 per token shared with the context, plus strength and kind.
 
-    context: one row with `tokens`, the tokens of the goal and of the file names (bounded by the goal).
+    context: rows (token), the tokens of the goals and of the file names.
     """
     rows = cards.where(f"kind IN ({quoted(STATEMENT_KINDS)})").selectExpr(
         "*", f"{S.relation_tokens('concat(snippet, ' + quote(' ') + ', statement)')} AS card_tokens"
     )
-    return rows.withColumn("tokens", context.select("tokens").scalar()).selectExpr(
-        "* EXCEPT (card_tokens, tokens)",
-        "4 * size(array_intersect(card_tokens, tokens)) + if(strength = 'direct', 3, 1)"
-        " + if(kind = 'document_relation_statement', 2, 0) AS score",
+    rows = rows.withColumn("row_key", F.xxhash64("id", "file", "locator", "snippet", "statement"))
+    words = rows.selectExpr("row_key", "explode(card_tokens) AS token").distinct()
+    shared = words.join(context.select("token").distinct(), "token").groupBy("row_key").agg(F.count(F.lit(1)).alias("shared"))
+    return rows.join(shared, "row_key", "left").selectExpr(
+        "* EXCEPT (card_tokens, row_key, shared)",
+        "4 * coalesce(shared, 0) + if(strength = 'direct', 3, 1) + if(kind = 'document_relation_statement', 2, 0) AS score",
     )
 
 

@@ -264,7 +264,7 @@ def connectivity_rules(claims: Claims) -> DataFrame:
     return found(placed.join(start, "graph_id"), "disconnected_node", "id", "component <> reached").distinct()
 
 
-def branch_order(claims: Claims, max_rounds: int = 1_000) -> DataFrame:
+def branch_order(claims: Claims) -> DataFrame:
     """(graph_id, pos, pass): when each branch attaches; branches that never do are absent.
 
     Branches are read in order, pass after pass, and each one that starts at an attached node adds its
@@ -277,7 +277,7 @@ def branch_order(claims: Claims, max_rounds: int = 1_000) -> DataFrame:
     ).selectExpr("graph_id", "pos", "1L AS pass")
     current = cut_lineage(start)
     state = None
-    for _ in range(max_rounds):
+    while True:
         row = current.agg(F.count(F.lit(1)).alias("n"), F.sum("pass").alias("s")).first()
         if (row["n"], row["s"]) == state:
             break

@@ -201,7 +201,7 @@ def assemble_fragments(fragments: DataFrame, keys: list[str], order: str = "seq"
     return whole.selectExpr(*keys, "fragments", "name", f"{arguments} AS arguments", f"{valid} IS NOT NULL AS parsed")
 
 
-def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int = 12_000, keep: int = 1_000_000) -> DataFrame:
+def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int = 12_000) -> DataFrame:
     """Newest messages of each session that fit a character budget, each cut in the middle if too long.
 
     A message costs min(length, limit), the budget runs out at a prefix of the newest-first order, and the
@@ -213,9 +213,7 @@ def bounded_history(messages: DataFrame, budget: int = 32_000, per_message: int
     budget = max(1_000, budget)
     back = "PARTITION BY session_id ORDER BY seq DESC"
     # every message that is kept costs a character or more, so no more than `budget` of them matter
-    newest = messages.selectExpr("*", f"row_number() OVER ({back}) AS back").where(f"back <= {keep}")
-    newest = newest.where("coalesce(content, '') <> ''").selectExpr("* EXCEPT (back)", f"row_number() OVER ({back}) AS back")
-    newest = newest.where(f"back <= {budget}")
+    newest = messages.where("coalesce(content, '') <> ''").selectExpr("*", f"row_number() OVER ({back}) AS back").where(f"back <= {budget}")
     cost = f"least(char_length(coalesce(content, '')), {per_message})"
     spent = f"coalesce(sum({cost}) OVER ({back} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     kept = newest.selectExpr("*", f"{spent} AS spent").where(f"spent < {budget}")

@@ -48,7 +48,9 @@ def components(edges: DataFrame, source: str = "source", target: str = "target")
     before = None
     after = _state(current)
     while after != before:
-        current = cut_lineage(_small_star(_large_star(current).distinct()))
+        # the small star reads its input three times
+        wide = cut_lineage(_large_star(current).distinct())
+        current = cut_lineage(_small_star(wide))
         before, after = after, _state(current)
     labels = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(labels, "node", "left").select(
@@ -87,26 +89,11 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return chosen
 
 
-FLAT_MEMBERS = 10_000
-
-
 def chain_ids(members: DataFrame) -> DataFrame:
-    """(component, files, id). Up to 10 000 files the id hashes the sorted names as they are; larger
-    chains are never brought together and are named by the order-free digest of their members."""
-    counts = members.groupBy("component").agg(F.count(F.lit(1)).alias("files"))
-    sized = members.join(counts, "component")
-    flat = (
-        sized.where(F.col("files") <= FLAT_MEMBERS)
-        .groupBy("component", "files")
-        .agg(F.concat_ws("\0", F.sort_array(F.collect_list("node"))).alias("names"))
-        .selectExpr("component", "files", "concat('C-', left(sha1(names), 12)) AS id")
-    )
-    large = (
-        sized.where(F.col("files") > FLAT_MEMBERS)
-        .groupBy("component", "files").agg(*multiset_digest("node"))
-        .selectExpr("component", "files", f"concat('C-', left({digest_of()}, 12)) AS id")
+    """(component, files, id). The id is an order-free digest of the members, which are never brought together."""
+    return members.groupBy("component").agg(*multiset_digest("node")).selectExpr(
+        "component", "lines AS files", f"concat('C-', left({digest_of()}, 12)) AS id"
     )
-    return flat.unionByName(large)
 
 
 def chains(relation_rows: DataFrame) -> dict[str, DataFrame]:

@@ -362,12 +362,14 @@ def explicit_references(texts: DataFrame, names: DataFrame, min_chars: int = 4)
     found = None
     rows = texts.selectExpr("path AS source", "locator", f"{folded.format('text')} AS folded")
     for mode in sorted(modes):
-        hits = rows.selectExpr("*", f"explode({pieces[mode]}) AS piece").join(
+        # a piece carries no text: candidates get theirs back once, for the final test
+        hits = rows.selectExpr("source", "locator", f"explode({pieces[mode]}) AS piece").join(
             anchors.where(f"mode = {mode}").drop("mode"), "piece"
-        ).where("source <> target AND contains(folded, folded_name)")
+        ).where("source <> target").select("source", "locator", "target", "folded_name").distinct()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = rows.selectExpr("*", "source AS target").limit(0)
+        found = rows.selectExpr("source", "locator", "source AS target", "'' AS folded_name").limit(0)
+    found = found.distinct().join(rows, ["source", "locator"]).where("contains(folded, folded_name)")
     return found.selectExpr(
         "source", "target", "locator", "'explicit_reference' AS type", "0.99D AS confidence", "'confirmed' AS verdict"
     )

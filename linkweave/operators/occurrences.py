@@ -87,6 +87,9 @@ def occurrences(
 ) -> DataFrame:
     """Occurrences of several tables. `bootstrap_rows` reads only the first rows of a table."""
     parts = []
+    if not columns:  # no table has a join column
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table string, column string, row_no long, value string")
     for table in sorted(columns):
         df = with_row_number(tables[table])
         if bootstrap_rows and table in bootstrap_rows:
@@ -126,7 +129,3 @@ def known_columns(catalog: DataFrame) -> DataFrame:
 def cell_locator() -> str:
     part = "if(shiftright(row_no, 40) > 0, concat('#', shiftright(row_no, 40)), '')"
     return f"concat('table:', table, {part}, ';row:', row_no & {FILE_STRIDE - 1}, ';column:', column)"
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], T.StructType(df.schema.fields))

@@ -34,17 +34,26 @@ def vector_top_k_many(
 ) -> DataFrame:
     """Top-k of many queries over all chunks, exact, without shuffling a chunk or forming a pair row.
 
-    Each task multiplies its chunks with all queries, batch by batch, and keeps k per query; only those
-    are merged. The queries travel to the tasks, so their size is checked: beyond it, the caller works
-    them off in batches, each with one pass over the chunks.
+    Each task multiplies its chunks with a block of queries, batch by batch, and keeps k per query; only those
+    are merged. The queries travel to the tasks in blocks of QUERY_VALUES numbers, each with one pass over the chunks.
     """
-    rows = queries.select(query_key, F.col("embedding").cast("array<double>")).limit(QUERY_VALUES).collect()
-    ids = [row[0] for row in rows]
+    asked = queries.select(F.col(query_key).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    values = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
+    blocks = max(1, -(-values // QUERY_VALUES))
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
+        part = _block_top_k(vectors, rows, k, key, query_key)
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def _block_top_k(vectors: DataFrame, rows: list, k: int, key: str, query_key: str) -> DataFrame:
+    ids = [row["id"] for row in rows]
+    schema = f"{query_key} long, {key} long, similarity double"
     if not ids:
-        raise ValueError("no queries")
-    if len(ids) * len(rows[0][1]) > QUERY_VALUES:
-        raise ValueError("too many queries for one pass: split them into batches")
-    matrix = np.array([row[1] for row in rows], dtype="float64")
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    matrix = np.array([row["vector"] for row in rows], dtype="float64")
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def best(batches):
@@ -66,7 +75,6 @@ def vector_top_k_many(
         if kept is not None:
             yield kept
 
-    schema = f"{query_key} long, {key} long, similarity double"
     chunks = vectors.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     ranked = chunks.mapInPandas(best, schema).selectExpr(
         "*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank"

@@ -75,7 +75,7 @@ def text_values(df: DataFrame, table: str, rules: Rules) -> DataFrame:
     found = joined.selectExpr("row_no", f"inline({text_entities('text')})")
     first = found.groupBy("source_kind", "label", "value").agg(F.min("row_no").alias("row_no"))
     return describe_entities(first, rules.headers).selectExpr(
-        f"'{table}' AS table", "label AS column", "row_no", "fingerprint", "kind", "base", "key", "preview", "specificity",
+        f"'{table}' AS table", "label AS column", "row_no", "fingerprint", "kind", "base", "key", "preview", "specificity", "xxhash64(value) AS probe_key",
         f"concat('table:{table};row:', row_no) AS locator",
     )
 
@@ -95,10 +95,12 @@ def seed_sources(
     for table in order:
         one = text_values(tables[table], table, rules)
         texts = one if texts is None else texts.unionByName(one)
-    kept = bottom_k(texts.dropDuplicates(["table", "fingerprint"]), limits.max_text_seeds, by=("table",))
-    # text seeds are found by their fingerprint alone: the 64-bit key needs the value, which is not kept
+    # a value that stands under several labels or rows counts where it stands first
+    row = F.struct(*[c for c in texts.columns if c not in ("table", "fingerprint")])
+    first = texts.groupBy("table", "fingerprint").agg(F.min_by(row, F.struct("row_no", "column", "kind")).alias("r")).select("table", "fingerprint", "r.*")
+    kept = bottom_k(first, limits.max_text_seeds, by=("table",))
     text_seeds = kept.join(places, "table").selectExpr(
-        *SEED, "bigint(NULL) AS probe_key", "format_string('%06d/1/0000/%s', place, fingerprint) AS ord"
+        *SEED, "probe_key", "format_string('%06d/1/0000/%s', place, fingerprint) AS ord"
     )
     return columns.unionByName(text_seeds).withColumn("file", F.col("table"))
 
@@ -115,14 +117,11 @@ def next_table(catalog: DataFrame, seeds: DataFrame, open_tables: DataFrame) ->
     return ranked.orderBy(F.desc("fit"), "cells", "table").first()["table"]
 
 
-def discover(
-    spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules(), mode: str = "greedy"
-) -> dict[str, DataFrame]:
+def discover(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules()) -> dict[str, DataFrame]:
     """Whole discovery: seeds from small tables, directed probes of the rest, sample overlaps, relations.
 
     The driver loops over tables, never over rows; what a step leaves behind (bounded samples, capped
-    matches) is written to the checkpoint folder. `mode="rounds"` probes all open tables at once against
-    the seeds known so far, which is faster for many tables and may find fewer follow-up links.
+    matches) is written to the checkpoint folder. Evidence is ordered by stage, table, row and column.
     """
     limits = rules.limits
     sizes = table_sizes(tables)
@@ -133,7 +132,7 @@ def discover(
     seed_cells = occurrences(tables, {t: c for t, c in columns.items() if t in order}, rules.values)
     candidates = cut_lineage(seed_sources(catalog, tables, seed_cells, order, rules))
     seeds = cut_lineage(L.seed_index(candidates, limits))
-    links = [L.seed_seed_links(seeds, candidates, limits).select(*LINK)]
+    links = [L.seed_seed_links(seeds, candidates, limits).withColumn("seq", F.concat(F.lit("0/"), "seq")).select(*LINK)]
     samples = [bottom_k(distinct_values(seed_cells), limits.profile_size)]
     frontiers = []
     scanned = set(order)
@@ -142,16 +141,17 @@ def discover(
     steps = 0
     while remaining:
         opened = spark.createDataFrame(list(remaining.items()), "table string, cells long")
-        batch = [next_table(catalog, seeds, opened)] if mode == "greedy" else sorted(remaining)
-        for table in batch:
-            remaining.pop(table)
+        batch = [next_table(catalog, seeds, opened)]
+        remaining.pop(batch[0])
         readable = {t: columns[t] for t in batch if t in columns}
         steps += 1
         if not readable:
             continue
+        scanned.update(readable)
         cells = occurrences(tables, readable, rules.values)
-        matches = cut_lineage(L.probe_seeds(cells, catalog, seeds.where("probe_key IS NOT NULL"), limits))
-        links.append(matches.select(*LINK))
+        matches = cut_lineage(L.probe_seeds(cells, catalog, seeds, limits))
+        scan_order = f"format_string('1/%06d/%020d/%06d', {steps}, row_no, position)"
+        links.append(matches.withColumn("seq", F.expr(scan_order)).select(*LINK))
         sample = cut_lineage(bottom_k(distinct_values(cells), limits.profile_size))
         samples.append(sample)
         if remaining:
@@ -168,13 +168,13 @@ def discover(
             frontiers.append(fresh)
             seeds = cut_lineage(L.seed_index(seeds.unionByName(fresh), limits))
     profile_rows = cut_lineage(describe_values(_union(samples), catalog))
-    links.append(L.profile_links(profile_rows, limits).withColumn("seq", F.col("seq").cast("string")).select(*LINK))
-    evidence = L.evidence_rows(_union([link.withColumn("seq", F.col("seq").cast("string")) for link in links]))
+    links.append(L.profile_links(profile_rows, limits).withColumn("seq", F.concat(F.lit("2/"), F.lpad(F.col("seq").cast("string"), 20, "0"))).select(*LINK))
+    evidence = L.evidence_rows(_union(links))
     return {
         "catalog": catalog, "seeds": seeds, "profiles": profile_rows, "evidence": evidence,
         "relations": L.relations(evidence, limits),
         "coverage": spark.createDataFrame(
-            [(len(tables), len(scanned) + len(tables) - len(order), len(columns), steps)],
+            [(len(tables), len(scanned & set(columns)), len(columns), steps)],
             "tables int, completed int, readable int, probe_steps int",
         ),
     }

@@ -46,7 +46,7 @@ CLAIMS = ", ".join(
     f"{n} as ({text.format(**_DUCK)})"
     for n, text in (("nodes", NODES), ("edges", EDGES), ("chain", CHAIN), ("branches", BRANCHES), ("cover", COVERAGE), ("inventory", INVENTORY), ("graphs", GRAPHS))
 ) + (
-    f", cards as (select printf('E-%010d', doc_id) as id, {LABEL_KIND} as kind, {LABEL_STRENGTH} as strength, source as file, left(text,80) as snippet from documents join labels using (doc_id))"
+    f", cards as (select printf('E-%010d', doc_id) as id, {LABEL_KIND} as kind, {LABEL_STRENGTH} as strength, source as file, text as snippet from documents join labels using (doc_id))"
 )
 
 

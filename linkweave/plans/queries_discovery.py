@@ -531,7 +531,7 @@ def directed_discovery(spark, folder):
 
 @query()
 def discovery_coverage(spark, folder):
-    return D.coverage(D.discover(spark, read_tables(spark, folder, STARS), RULES, mode="rounds"))
+    return D.coverage(D.discover(spark, read_tables(spark, folder), RULES))
 
 
 @query(
@@ -573,7 +573,8 @@ def connected_files(spark, folder):
 
 @query(
     f"with recursive {O.OVERLAP}{_WALK}, m as (select node, min(reach) as component from w group by 1),"
-    " n as (select component, count(*) as files, 'C-'||left(sha1(string_agg(node, chr(0) order by node)),12) as chain_id from m group by 1),"
+    f" l as (select component, count(*) as files, {LANES} from (select component, sha256(node) as d from m) group by 1),"
+    " n as (select component, files, 'C-'||left(sha256(concat_ws(chr(10), files::varchar, lane0, lane1, lane2, lane3)),12) as chain_id from l),"
     " r as (select component, count(*) as relation_count from rel join m on rel.source=node where verdict='confirmed' group by 1)"
     " select chain_id, component as first_file, files, relation_count from n join r using (component)"
 )

@@ -178,14 +178,14 @@ def last_artifacts(spark, folder):
 
 
 @query(
-    "with f as (select doc_id, unnest(string_split(left(text, 300), ' ')) as frag, generate_subscripts(string_split(left(text, 300), ' '), 1) as seq from documents),"
+    "with f as (select doc_id, unnest(string_split(text, ' ')) as frag, generate_subscripts(string_split(text, ' '), 1) as seq from documents),"
     " g as (select doc_id, count(*) as fragments, string_agg(case when seq=1 then 'write_file' else '' end, '' order by seq) as name,"
     " string_agg(case when seq=1 then '{\"n\":' when seq=2 then length(frag)::varchar when seq=3 and length(frag)>2 then '}' else '' end, '' order by seq) as raw from f group by 1)"
     " select doc_id, fragments, name, json_valid(raw) as parsed, case when json_valid(raw) then raw else '{\"_raw\":\"'||replace(raw,'\"','\\\"')||'\"}' end as arguments from g"
 )
 def assembled_calls(spark, folder):
     """Tool-call arguments put together from fragments; the words of each document steer what arrives."""
-    words = read_table(spark, folder, "documents").selectExpr("doc_id", "posexplode(split(left(text, 300), ' ')) AS (p, frag)")
+    words = read_table(spark, folder, "documents").selectExpr("doc_id", "posexplode(split(text, ' ')) AS (p, frag)")
     fragments = words.selectExpr(
         "doc_id", "p + 1 AS seq", "if(p = 0, 'write_file', '') AS name",
         "CASE WHEN p = 0 THEN '{\"n\":' WHEN p = 1 THEN string(char_length(frag)) WHEN p = 2 AND char_length(frag) > 2 THEN '}' ELSE '' END AS arguments",

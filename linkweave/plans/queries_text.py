@@ -194,9 +194,8 @@ def card_kinds(spark, folder):
 def synthesis_brief(spark, folder):
     """Cards worth reading first, for the goals of the users."""
     cards = cut_lineage(all_cards(spark, folder))
-    words = goal_lines(spark, folder).selectExpr(f"explode({T.relation_tokens('line')}) AS w").groupBy("w").count()
-    # the context is the 2 000 commonest words of the goals: a bound for the one row that is broadcast
-    context = words.orderBy(F.desc("count"), "w").limit(2000).agg(F.sort_array(F.collect_list("w")).alias("tokens"))
+    words = goal_lines(spark, folder).selectExpr(f"explode({T.relation_tokens('line')}) AS token")
+    context = words.unionAll(cards.select("file").distinct().selectExpr(f"explode({T.relation_tokens('file')}) AS token"))
     return C.compact_cards(C.synthesis_brief(cards, context))
 
 
@@ -205,14 +204,14 @@ def label_cards(spark, folder) -> DataFrame:
     t = read_tables(spark, folder, ("documents", "labels"))
     return t["documents"].join(t["labels"], "doc_id").selectExpr(
         "format_string('E-%010d', doc_id) AS id", f"{LABEL_KIND} AS kind", f"{LABEL_STRENGTH} AS strength", "source AS file",
-        "lang AS statement", "left(text, 80) AS snippet",
+        "lang AS statement", "text AS snippet",
     )
 
 
 LABEL_KIND = "CASE lang WHEN 'en' THEN 'document_relation_statement' WHEN 'de' THEN 'field_relationship' WHEN 'fr' THEN 'table_process_signal' ELSE 'file_structure' END"
 LABEL_STRENGTH = "CASE WHEN toxic = 1 THEN 'contextual' WHEN quality = 1 THEN 'direct' ELSE 'structural' END"
 LABELLED = (
-    f"lc as (select printf('E-%010d', doc_id) as id, {LABEL_KIND} as kind, {LABEL_STRENGTH} as strength, source as file, lang as statement, left(text,80) as snippet from documents join labels using (doc_id)),"
+    f"lc as (select printf('E-%010d', doc_id) as id, {LABEL_KIND} as kind, {LABEL_STRENGTH} as strength, source as file, lang as statement, text as snippet from documents join labels using (doc_id)),"
     " pr as (select *, case strength when 'direct' then 0 when 'structural' then 1 else 3 end as priority from lc)"
 )
 
@@ -253,10 +252,10 @@ def card_histogram(spark, folder):
 
 @query(
     "select doc_id, line_no, line from (select doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) as line,"
-    " generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) as line_no from documents where lang='en') where contains(line, 'tion the')"
+    " generate_subscripts(string_split(rtrim(text, chr(10)), chr(10)), 1) as line_no from documents) where contains(line, 'tion the')"
 )
 def grep_lines(spark, folder):
-    docs = read_table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return F_.grep_lines(docs, "tion the").selectExpr("doc_id", "line_no", "line")
 
 

@@ -109,10 +109,11 @@ def _hash_streams(batches):
 
 
 def sniff_separator(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """Separator of a delimited file, from its first 8 KB."""
-    head = spark.read.format("binaryFile").load(path).selectExpr("substring(content, 1, 8192) AS head").first()
+    """Separator of a delimited file, from its first lines (200 lines, 8192 characters)."""
+    lines = spark.read.option("encoding", encoding).text(path).limit(200).collect()
+    head = "\n".join(row[0] for row in lines)[:8192]
     try:
-        return csv.Sniffer().sniff(bytes(head["head"]).decode(encoding, errors="replace"), delimiters=",;\t|").delimiter
+        return csv.Sniffer().sniff(head, delimiters=",;\t|").delimiter
     except csv.Error:
         return ","
 
@@ -137,15 +138,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pairs, "row_no long, value string")
 
 
-def read_json_lines(spark: SparkSession, path: str, sample: int = 100) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """JSON-lines scan: bad lines are skipped and nested values stay JSON text.
 
-    The header is the union of the keys of the first `sample` lines, in the order met.
+    The header is the union of the keys of all lines, in the order met; with `sample`, of the first so many lines.
     """
-    head = spark.read.text(path).limit(sample)
-    keys = head.selectExpr("posexplode(json_object_keys(value)) AS (p, k)", "value").select("k").collect()
-    names = list(dict.fromkeys(row["k"] for row in keys))
     lines = numbered_lines(spark, path)
+    head = lines if sample is None else lines.where(F.col("row_no") <= sample)
+    keys = head.selectExpr("row_no", "posexplode(json_object_keys(value)) AS (p, k)")
+    # a row a key, whatever the number of lines
+    first = keys.groupBy("k").agg(F.min(F.struct("row_no", "p")).alias("at")).orderBy("at").collect()
+    names = [row["k"] for row in first]
     fields = ", ".join(f"`{n}` string" for n in names)
     parsed = lines.selectExpr("row_no", f"from_json(value, {quoted([fields])}, map('mode', 'PERMISSIVE')) AS r", "value")
     return parsed.where("json_object_keys(value) IS NOT NULL").selectExpr("row_no", "r.*")
