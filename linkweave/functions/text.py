@@ -57,7 +57,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def with_nfkc(df: DataFrame, *columns: str) -> DataFrame:
-    """NFKC form of text columns. Python sees only rows with characters that NFKC could change."""
+    """NFKC form of text columns. Python changes only values with characters that NFKC could change; for all
+    others it is handed NULL, but the Arrow exchange still takes in every row of a table with text columns."""
     changed = {}
     for name in columns:
         odd = ~F.col(f"`{name}`").rlike(_COMPOSED)
@@ -115,10 +116,6 @@ def stringify(x: str, dtype: T.DataType) -> str:
     return f"coalesce(string({x}), '')"
 
 
-def normalize_text(x: str) -> str:
-    return strip(f"coalesce({x}, '')")
-
-
 def normalize_value(x: str, ascii_only: bool = False) -> str:
     """Identity of a value: no white space, case folded. The text is in NFKC form already."""
     if ascii_only:

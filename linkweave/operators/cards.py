@@ -184,19 +184,6 @@ def goal_cards(lines: DataFrame) -> DataFrame:
     return about.unionByName(said)
 
 
-def scenario_lines(lines: DataFrame) -> DataFrame:
-    """Lines of the '## Scenario Description' section, or all lines of a file that has none."""
-    marked = lines.selectExpr(
-        "*", r"line rlike r'(?i)^##\s+Scenario Description\s*$' AS opens", r"line rlike r'^##\s+' AS heading"
-    )
-    bounds = marked.groupBy("file").agg(F.expr("min(if(opens, line_no, NULL)) AS first"))
-    inside = marked.join(bounds, "file")
-    ends = inside.where("heading AND NOT opens AND line_no > first").groupBy("file").agg(F.min("line_no").alias("stop"))
-    return inside.join(ends, "file", "left").where(
-        "first IS NULL OR (line_no > first AND NOT opens AND line_no < coalesce(stop, 2147483647))"
-    ).select(*lines.columns)
-
-
 # Tables -------------------------------------------------------------------------------------------
 
 ROLES = tuple(ROLE_MARKERS)

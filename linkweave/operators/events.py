@@ -249,11 +249,6 @@ def listing_changes(before: DataFrame, after: DataFrame, keep: int = 50) -> Data
     return first.selectExpr("row_number() OVER (ORDER BY place, path) AS n", "operation", "path")
 
 
-def bounded_events(events: DataFrame, columns: list[str], limit: int = 4000) -> DataFrame:
-    """Text columns cut to a length, with a mark."""
-    return events.withColumns({c: F.expr(bounded_text(c, limit)) for c in columns})
-
-
 # Rate limits, ledgers and folds --------------------------------------------------------------------
 
 

@@ -244,15 +244,6 @@ def kept_evidence(evidence: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def attach_evidence(relation_rows: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Nested form: each relation with its kept evidence (twelve at most) as an array."""
-    item = F.struct(*[c for c in evidence.columns if c != "relation_id"])
-    arrays = evidence.groupBy(F.col("relation_id").alias("id")).agg(
-        F.sort_array(F.collect_list(item)).alias("evidence")
-    )
-    return relation_rows.join(arrays, "id", "left")
-
-
 def field_correspondences(relation_rows: DataFrame, catalog: DataFrame, keep: int = 20) -> DataFrame:
     """Confirmed relations whose columns mean the same, best first, per pair of files.
 

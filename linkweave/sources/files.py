@@ -35,10 +35,6 @@ def file_name(path: str) -> str:
     return f"regexp_extract({path}, {raw('([^/]*)$')}, 1)"
 
 
-def file_stem(path: str) -> str:
-    return f"regexp_replace({file_name(path)}, {raw('(?<=.)[.][^.]+$')}, '')"
-
-
 def file_kind(ext: str) -> str:
     return when(
         (f"{ext} IN ({quoted(TABULAR)})", "'tabular'"), (f"{ext} IN ({quoted(DOCUMENT)})", "'document'"),
@@ -232,5 +228,3 @@ def hide_deleted(files: DataFrame, tombstones: DataFrame) -> DataFrame:
         .join(dead, "dead", "left_semi").select("path").distinct()
     )
     return files.join(hit, "path", "left_anti")
-
-

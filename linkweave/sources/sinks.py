@@ -71,10 +71,3 @@ def scenario_mermaid(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> Da
     )
     heads = nodes.select("graph_id").distinct().selectExpr("graph_id", "0 AS part", "'' AS id", "'flowchart TB' AS line")
     return heads.unionByName(node_lines).unionByName(edge_lines)
-
-
-def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
-    """Ordered text file(s): a range-partitioned sort keeps the order across part files."""
-    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
-
-

@@ -92,8 +92,3 @@ def fold_progress_stream(events: DataFrame) -> DataFrame:
         outputStructType=f"task_id long, revision long, status string, {fields}, artifacts string",
         outputMode="update", timeMode="none",
     )
-
-
-def live_only(rows: DataFrame, now: str = "current_timestamp()") -> DataFrame:
-    """Drops rows past their time to live from a stream."""
-    return rows.where(F.expr(f"expires_at > {now}"))

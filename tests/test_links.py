@@ -137,9 +137,12 @@ def test_chains(spark):
     assert {r["relation_id"] for r in parts["core"].collect()} == {"R-1", "R-2", "R-4"}
     import hashlib
 
-    assert {r["chain_id"] for r in parts["summary"].collect()} == {
-        "C-" + hashlib.sha1("\0".join(f).encode()).hexdigest()[:12] for f in (["a", "b", "c"], ["x", "y"])
-    }
+    def digest(files):  # four lanes of each name's SHA-256, added up
+        names = [hashlib.sha256(f.encode()).hexdigest() for f in files]
+        lanes = [str(sum(int(n[15 * k : 15 * k + 15], 16) for n in names)) for k in range(4)]
+        return hashlib.sha256("\n".join([str(len(files)), *lanes]).encode()).hexdigest()
+
+    assert {r["chain_id"] for r in parts["summary"].collect()} == {"C-" + digest(f)[:12] for f in (["a", "b", "c"], ["x", "y"])}
 
 
 def test_duplicates(spark):
@@ -199,3 +202,35 @@ def test_card_bounds(spark):
 
 def test_limits_are_parameters():
     assert Limits(profile_size=5).profile_size == 5
+
+
+# What the first build got wrong ---------------------------------------------------------------------
+
+
+def test_text_seeds_probe_other_tables(spark):
+    notes = stored(spark, [(f"please write to user{k}@mail.example.org soon",) for k in range(20)], "remark string")
+    people = stored(spark, [(f"user{k}@mail.example.org", k) for k in range(400)], "email string, amount int")
+    rules = D.Rules(limits=Limits(seed_cell_budget=100))
+    result = D.discover(spark, {"notes": notes, "people": people}, rules)
+    found = result["relations"].where("type = 'seeded_value_link'").collect()
+    assert len(found) == 1 and {found[0]["source"], found[0]["target"]} == {"notes", "people"}
+    row = result["coverage"].first()
+    assert (row["tables"], row["completed"], row["readable"]) == (2, 1, 1)
+    # the pieces kept are those of the first rows, by number
+    kept = result["evidence"].where("type = 'seeded_value_link'").orderBy("seq").limit(12).collect()
+    assert [int(r["seq"].split("/")[2]) for r in kept] == list(range(1, 13))
+
+
+def test_discovery_without_join_columns(spark):
+    tables = {n: stored(spark, [(1.5,), (2.5,)], "amount double") for n in ("a", "b")}
+    assert D.discover(spark, tables)["relations"].count() == 0
+
+
+def test_late_json_keys_are_kept(spark, tmp_path):
+    from linkweave.sources.files import read_json_lines
+
+    lines = [f'{{"a": {k}}}' for k in range(149)] + ['{"a": 1, "late": 2}', "not json"]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    rows = read_json_lines(spark, str(tmp_path / "x.jsonl"))
+    assert rows.columns == ["row_no", "a", "late"] and rows.count() == 150 and rows.where("late = 2").count() == 1
+    assert read_json_lines(spark, str(tmp_path / "x.jsonl"), sample=100).columns == ["row_no", "a"]
