@@ -88,13 +88,13 @@ def _exploded(records: DataFrame, key: str, turns: str) -> DataFrame:
 def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) from a frame of one layout: rows a turn, or a layout of LAYOUTS.
 
-    The mapping is chosen by the fingerprint of the frame's schema; an unknown one is an error that names its paths. NULL
-    texts are empty, further columns are left out, repeated rows stay repeated.
+    The mapping is chosen by the fingerprint of the frame's schema; an unknown one is an error that names its paths. Rows a
+    turn are canonical but for NULLs and keep their roles; other layouts get roles by their usual names. NULL texts are empty, further columns are left out, repeated rows stay repeated.
     """
     paths = [p for p in schema_paths(records.schema) if p != key]
     found = layout_fingerprint(paths)
     if found == ROW_LAYOUT:
-        return records.selectExpr(f"`{key}` AS conv_id", "bigint(turn) AS turn", f"{_role('role')} AS role", "coalesce(text, '') AS text")
+        return records.selectExpr(f"`{key}` AS conv_id", "bigint(turn) AS turn", "coalesce(role, '') AS role", "coalesce(text, '') AS text")
     if found not in BY_FINGERPRINT:
         raise ValueError(f"no layout for the fields {sorted(set(paths) & set(KNOWN))}")
     return _exploded(records, key, LAYOUTS[BY_FINGERPRINT[found]][1])

@@ -103,7 +103,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, turn, role, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
- spoken AS (SELECT conv_id, turn, CASE WHEN role IS NULL THEN '' ELSE lower(role) END AS role, text FROM turns)
+ spoken AS (SELECT conv_id, turn, coalesce(role, '') AS role, text FROM turns)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
