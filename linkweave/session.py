@@ -40,8 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+_made: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Deletes the folders this process has made in the shared folder; how many. For the end of a run: frames that still read
+    them can't be used any more."""
+    jvm, done = spark._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
