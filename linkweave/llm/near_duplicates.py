@@ -246,8 +246,8 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("slot")
 
 
-def node_components(slots: DataFrame, signatures: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame | None:
-    """(node, component) of all nodes with a link; None without any link."""
+def node_components(slots: DataFrame, signatures: DataFrame, sets: DataFrame, ties: DataFrame, rules: NearRules) -> DataFrame | None:
+    """(node, component) of all nodes with a link; None without any link. ties: links (a, b) that are known before."""
     turn = F.xxhash64("node")
     pivots = slots.groupBy("slot").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("p")).select("slot", F.col("p.node").alias("pivot"))
     pivots = cut_lineage(pivots, "pivots")
@@ -255,7 +255,7 @@ def node_components(slots: DataFrame, signatures: DataFrame, sets: DataFrame, ru
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     ).distinct()
     near = cut_lineage(_alike(_beside(met, signatures, "signature"), rules), "near")
-    links = cut_lineage(_verified(_beside(near, sets, "shingles"), rules), "links")
+    links = cut_lineage(_verified(_beside(near, sets, "shingles"), rules).unionAll(ties), "links")
     labels = None if links.isEmpty() else cut_lineage(star_components(links), "labels")
     rest = slots.join(pivots.select("slot", F.col("pivot").alias("node")), ["slot", "node"], "left_anti")
     rows = cut_lineage(_split(_labelled(rest, labels)), "split-slots")
@@ -265,6 +265,14 @@ def node_components(slots: DataFrame, signatures: DataFrame, sets: DataFrame, ru
     return labels if more.isEmpty() else cut_lineage(star_components(links.unionAll(more)), "labels")
 
 
+def _own_ties(linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of an id that has several texts. Of most ids nothing passes the first step."""
+    several = linked.groupBy("doc_id").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("doc_id")
+    held = linked.join(several, "doc_id", "left_semi").select("doc_id", "name").distinct().join(nodes.select("name", "node"), "name")
+    low = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(low, "doc_id").where("a < node").selectExpr("a", "node AS b").distinct()
+
+
 def near_duplicates(documents: DataFrame, rules: NearRules = NearRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; component_id is the smallest doc_id that links reach.
 
@@ -283,7 +291,7 @@ def near_duplicates(documents: DataFrame, rules: NearRules = NearRules(), key: s
     members = slots.select(F.col("node").alias("doc_id")).distinct()
     named = nodes.join(members, nodes["node"] == members["doc_id"], "left_semi").select("node", "signature")
     sets = cut_lineage(_sets(texts.join(members, "doc_id", "left_semi").distinct(), rules), "sets")
-    labels = node_components(slots, named, sets, rules)
+    labels = node_components(slots, named, sets, _own_ties(linked, nodes), rules)
     placed = nodes.select("name", "node")
     if labels is not None:
         placed = placed.join(labels, "node", "left").select("name", F.coalesce("component", "node").alias("component"))

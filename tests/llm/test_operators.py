@@ -250,6 +250,16 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert sorted(ids, key=str) == sorted([1, 2, 3, 4, None, None, 6, 8, 9], key=str)
 
 
+def test_texts_of_one_id_hang_together(spark):
+    one, two, other = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = frame(spark, [(3, one, "s"), (5, one, "s"), (5, two, "t"), (7, two, "s"), (8, two + " more", "s"), (9, other, "s")])
+    rows = near_duplicates.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {
+        (3, 3, True), (5, 3, False), (7, 3, False), (8, 3, False), (9, 9, True)
+    }
+    assert sorted(r.doc_id for r in near_duplicates.distinct_documents(docs).collect()) == [3, 9]
+
+
 def test_star_components(spark):
     turn = random.Random(5)
     pairs = [(turn.randrange(300), turn.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (None, 3)]
