@@ -8,7 +8,7 @@ file); cards (id, kind, strength, snippet, file). Every check yields (graph_id,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -200,9 +200,13 @@ def path_steps(claims: Claims) -> DataFrame:
     return chain.unionByName(branch.selectExpr("graph_id", "owner", "source", "target", f"{first} AS first"))
 
 
-def path_rules(claims: Claims) -> DataFrame:
-    """Steps without a flow edge of their direction; branches that do not start with a branching edge."""
-    steps = path_steps(claims)
+def path_rules(claims: Claims, order: DataFrame | None = None) -> DataFrame:
+    """Steps without a flow edge of their direction; branches that do not start with a branching edge.
+
+    A branch that never attaches is not judged by its steps. order: the result of `branch_order`, if at hand.
+    """
+    order = branch_order(claims) if order is None else order
+    steps = path_steps(replace(claims, branches=claims.branches.join(order.select("graph_id", "pos"), ["graph_id", "pos"], "left_semi")))
     flow = claims.edges.where(f"type IN ({quoted(FLOW_TYPES)})").select("graph_id", "source", "target").distinct()
     branching = claims.edges.where("type = 'branches_to'").select("graph_id", "source", "target").distinct()
     on = ["graph_id", "source", "target"]
@@ -294,9 +298,9 @@ def branch_order(claims: Claims) -> DataFrame:
     return current
 
 
-def branch_rules(claims: Claims) -> DataFrame:
+def branch_rules(claims: Claims, order: DataFrame | None = None) -> DataFrame:
     """Branches that never attach, are empty, or neither end at a result nor return to an attached node."""
-    order = branch_order(claims)
+    order = branch_order(claims) if order is None else order
     branches = claims.branches
     loose = branches.join(order, ["graph_id", "pos"], "left_anti")
     attached = branches.join(order, ["graph_id", "pos"]).selectExpr(
@@ -348,9 +352,10 @@ def coverage_rules(claims: Claims) -> DataFrame:
 
 def violations(claims: Claims) -> DataFrame:
     """All broken rules of all graphs."""
+    order = branch_order(claims)
     return union([
-        size_rules(claims), chain_rules(claims), reference_rules(claims), endpoint_rules(claims), path_rules(claims),
-        adequacy_rules(claims), connectivity_rules(claims), branch_rules(claims), coverage_rules(claims),
+        size_rules(claims), chain_rules(claims), reference_rules(claims), endpoint_rules(claims), path_rules(claims, order),
+        adequacy_rules(claims), connectivity_rules(claims), branch_rules(claims, order), coverage_rules(claims),
     ]).distinct()
 
 

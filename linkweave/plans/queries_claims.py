@@ -137,8 +137,9 @@ def claim_hints(spark, folder):
     return V.endpoint_hints(claims(spark, folder))
 
 
-@query(f"with {CLAIMS}, s as (select graph_id, 'main_chain' as owner, lag(node) over (partition by graph_id order by pos) as source, node as target, false as first from chain),"
-       " b0 as (select graph_id, id as owner, list_prepend(origin, path) as p, unnest(range(1, len(path)+1)) as i from branches),"
+@query(f"with recursive {CLAIMS}, att as (select graph_id, node from chain union select b.graph_id, unnest(b.path) from branches b join att a on a.graph_id=b.graph_id and a.node=b.origin),"
+       f" s as (select graph_id, 'main_chain' as owner, lag(node) over (partition by graph_id order by pos) as source, node as target, false as first from chain),"
+       " b0 as (select graph_id, id as owner, list_prepend(origin, path) as p, unnest(range(1, len(path)+1)) as i from branches b where exists (select 1 from att a where a.graph_id=b.graph_id and a.node=b.origin)),"
        " st as (select * from s where source is not null union all select graph_id, owner, p[i], p[i+1], i=1 from b0),"
        f" flow as (select distinct graph_id, source, target from edges where type in {any_in(V.FLOW_TYPES)}), br as (select distinct graph_id, source, target from edges where type='branches_to')"
        " select graph_id, 'step_without_flow_edge' as rule, owner||':'||source||'->'||target as subject from st where not first and not exists (select 1 from flow f where f.graph_id=st.graph_id and f.source=st.source and f.target=st.target)"

@@ -72,12 +72,11 @@ SPREAD_BYTES = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a file that Spark reads in fewer tasks than there are cores, dealt out to all of them.
+    """Rows of a table that Spark reads in one task, dealt out to all cores: one split at most is ever shuffled.
 
-    A table of many files has splits enough and stays as it is, and so does one too small to matter.
+    A table of several splits stays as it is, and so does one too small to matter.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if df.isStreaming or int(str(size)) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or int(str(size)) < SPREAD_BYTES or df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -8,19 +8,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkweave.config import Limits, ValueRules
 from linkweave.operators import links as L
-from linkweave.operators.occurrences import table_occurrences
+from linkweave.operators.occurrences import FILE_STRIDE, table_occurrences
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 64) -> DataFrame:
-    """Stream over the Parquet files of a table, with the row number inside each file."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    """Stream over the Parquet files of a table, a file or a folder of files, with each row's file and number in it.
+
+    Folders are read to any depth; columns that only their names hold (`k=v`) are not.
+    """
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{table}.parquet").schema
     rows = (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}.parque[t]")
+    )
+    return rows.select("*", (F.col("_metadata.row_index") + 1).alias("row_no"), F.col("_metadata.file_path").alias("file_path"))
+
+
+def numbered_batch(batch: DataFrame, number: int, stride: int = 1 << 12) -> DataFrame:
+    """A batch whose `row_no` differ from those of all other files: files count from `number * stride`, each 2^40 rows apart.
+
+    The offsets fix which files a batch holds, so a retry numbers its rows alike. A batch holds fewer than `stride` files.
+    """
+    files = sorted(row["file_path"] for row in batch.select("file_path").distinct().collect())  # bounded by files_per_batch
+    if len(files) > stride:
+        raise ValueError(f"a batch of {len(files)} files; set files_per_batch to {stride} at most")
+    ordinals = batch.sparkSession.createDataFrame(
+        [(path, (number * stride + k) * FILE_STRIDE) for k, path in enumerate(files)], "file_path string, first_row long"
     )
-    return rows.select("*", (F.col("_metadata.row_index") + 1).alias("row_no"))
+    return batch.join(F.broadcast(ordinals), "file_path").withColumn("row_no", F.expr("row_no + first_row")).drop("file_path", "first_row")
 
 
 def run_to_folder(stream: DataFrame, out: str, mode: str = "append") -> None:
@@ -45,13 +62,13 @@ def probe_stream(
 ) -> DataFrame:
     """Probes a growing table against fixed seeds, batch by batch; resumes from its offsets.
 
-    Each batch keeps at most the cap of matches per value, and the cap is applied again to all batches, so
-    the result equals that of one scan.
+    Each batch keeps at most the cap of matches per value, and the cap is applied again to all batches. Rows are
+    numbered in the order in which their files came, so the result equals that of one scan in that order.
     """
     spark = stream.sparkSession
 
     def probe(batch: DataFrame, number: int) -> None:
-        cells = table_occurrences(batch, table, columns, values)
+        cells = table_occurrences(numbered_batch(batch, number), table, columns, values)
         L.probe_seeds(cells, catalog, seeds, limits).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
 
     query = (

@@ -59,20 +59,33 @@ def rate_limit_stream(requests: DataFrame, expire: bool = False) -> DataFrame:
 
 
 class ProgressState(StatefulProcessor):
-    """Folds progress events of one task into its state; one row out per batch of events."""
+    """Folds progress events of one task into its state; one row out per batch of events.
+
+    Each field, and the status, keeps the `seq` of the event that set it, so events may come in any order and the
+    newest wins. Artifacts stand in order of arrival.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "body string")
 
     def handleInputRows(self, key, rows, timer_values):
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {"revision": 0, "artifacts": []}
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {"revision": 0, "artifacts": [], "at": {}}
+        at = state["at"]
+
+        def newer(field, seq):
+            if seq < at.get(field, seq):
+                return False
+            at[field] = int(seq)
+            return True
+
         for batch in rows:
             for event in batch.sort_values("seq").to_dict("records"):
                 state["revision"] += 1
-                state["status"] = ACTION_STATUS.get(event["action"], "running")
+                if newer("status", event["seq"]):
+                    state["status"] = ACTION_STATUS.get(event["action"], "running")
                 for field, limit in FIELD_CHARS.items():
                     text = str(event.get(field) or "").strip()[:limit]
-                    if text:
+                    if text and newer(field, event["seq"]):
                         state[field] = text
                 state["artifacts"] = unique_tail(state["artifacts"], [event.get("artifact") or ""])
         self.state.update((json.dumps(state),))

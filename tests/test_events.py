@@ -11,7 +11,9 @@ from linkweave.operators import folds as H
 from linkweave.operators import ordered as O
 from linkweave.operators import preview as P
 from linkweave.operators import records as N
-from linkweave.session import cut_lineage
+from linkweave.session import cut_lineage, fresh_folder
+from linkweave.streaming import jobs as J
+from linkweave.streaming.state import fold_progress_stream
 
 
 def test_carried_values_equal_plain_windows(spark):
@@ -176,6 +178,50 @@ def test_branch_rules_against_passes(spark):
     assert {tuple(r) for r in V.branch_rules(claims).collect()} == want
 
 
+def test_steps_of_unattached_branches_are_not_judged(spark):
+    frame = lambda rows, schema: cut_lineage(spark.createDataFrame(rows, schema))
+    claims = V.Claims(
+        graphs=None, coverage=None, inventory=None, cards=None, nodes=None,
+        edges=frame([("g", "a", "b", "produces")], "graph_id string, source string, target string, type string"),
+        chain=frame([("g", 0, "a"), ("g", 1, "b")], "graph_id string, pos int, node string"),
+        branches=frame([("g", 0, "on", "b", ["c"]), ("g", 1, "off", "x", ["y"])], "graph_id string, pos int, id string, origin string, path array<string>"),
+    )
+    assert [tuple(r) for r in V.path_rules(claims).collect()] == [("g", "branch_start", "on:b->c")]
+
+
+def files_of(spark, parts, schema):
+    """A folder with a table of several files, each a later arrival than the one before."""
+    folder = fresh_folder(spark, "stream")
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/events.parquet/{k}")
+    return folder
+
+
+def test_streamed_rows_of_several_files_keep_apart(spark):
+    folder = files_of(spark, [[(10 * k + i,) for i in range(10)] for k in range(4)], "event_id long")
+    numbers = []
+    out = fresh_folder(spark, "numbered")
+    stream = J.table_stream(spark, folder, "events", files_per_batch=2)
+    query = stream.writeStream.foreachBatch(
+        lambda batch, n: numbers.extend(r["row_no"] for r in J.numbered_batch(batch, n).collect())
+    ).option("checkpointLocation", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(numbers) == len(set(numbers)) == 40
+
+
+def test_newest_event_wins_in_any_order(spark):
+    schema = "task_id long, seq long, action string, title string, artifact string, " + ", ".join(
+        f"{f} string" for f in H.FIELD_CHARS if f != "title"
+    )
+    more = ("",) * (len(H.FIELD_CHARS) - 1)
+    parts = [[(1, 5, "complete", "late", "a", *more)], [(1, 2, "start", "early", "b", *more)], [(1, 3, "update", "", "a", *more)]]
+    folder, out = files_of(spark, parts, schema), fresh_folder(spark, "folded")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    J.run_to_folder(fold_progress_stream(J.table_stream(spark, folder, "events", files_per_batch=1)), out, "update")
+    rows = J.read_batches(spark, out).orderBy("revision").collect()
+    assert [(r["revision"], r["status"], r["title"]) for r in rows] == [(n, "completed", "late") for n in (1, 2, 3)]
+
+
 def test_progress_state(spark):
     rows = [(1, 1, "plan", "goal", "", ""), (1, 2, "update", "", "T", "done"), (1, 3, "complete", " ", "U", "")]
     df = spark.createDataFrame(rows, "task_id long, seq long, action string, objective string, title string, result string")
