@@ -12,7 +12,7 @@ from linkweave.functions.text import casefold, cut, flat_text, normalize_name, q
 from linkweave.functions.values import heading_like
 from linkweave.operators.links import explicit_references
 
-CARD = ("id", "kind", "strength", "statement", "file", "locator", "facts", "snippet")
+CARD = ("id", "kind", "strength", "statement", "file", "locator", "facts", "snippet", "files")
 STATEMENT_KINDS = (
     "goal_relation_statement", "document_relation_statement", "table_relation_statement", "material_topic_alignment",
 )
@@ -21,14 +21,17 @@ STRENGTH_ORDER = ("direct", "structural", "corroborating", "contextual")
 
 def make_cards(
     df: DataFrame, kind: str, strength: str, statement: str, file: str, locator: str, facts: str, snippet: str = "''",
-    limits: Limits = Limits(),
+    files: str = "", limits: Limits = Limits(),
 ) -> DataFrame:
-    """Cards with an id that depends on nothing but their content. Arguments are expression text."""
+    """Cards with an id that depends on nothing but their content. Arguments are expression text.
+
+    `files` names all files a card speaks of, where they are more than `file`.
+    """
     shaped = df.selectExpr(
         f"{kind} AS kind", f"{strength} AS strength",
         f"{cut(flat_text(statement), limits.statement_chars)} AS statement",
         f"{file} AS file", f"{locator} AS locator", f"{facts} AS facts",
-        f"{cut(flat_text(snippet), limits.snippet_chars)} AS snippet",
+        f"{cut(flat_text(snippet), limits.snippet_chars)} AS snippet", f"{files or f'array({file})'} AS files",
     )
     return shaped.selectExpr(
         stable_id("E-", "kind", "file", "locator", "facts", "statement", "snippet") + " AS id", *CARD[1:]
@@ -254,6 +257,7 @@ def field_cards(correspondences: DataFrame) -> DataFrame:
         "to_json(named_struct('source_file', source, 'target_file', target, 'correspondences', items,"
         " 'omitted_correspondence_count', correspondences - size(items), 'confidence', files_confidence,"
         " 'evidence_count', files_evidence))",
+        files="array(source, target)",
     )
 
 
@@ -353,7 +357,7 @@ def evidence_page(
     if kinds:
         rows = rows.where(f"kind IN ({quoted(kinds)})")
     if file:
-        rows = rows.where(f"file = {quote(file)}")
+        rows = rows.where(f"array_contains(files, {quote(file)})" if "files" in rows.columns else f"file = {quote(file)}")
     if ids:
         rows = rows.where(f"id IN ({quoted(ids)})")
     offset, limit = max(0, offset), max(1, min(limit, 20))

@@ -334,7 +334,8 @@ def coverage_rules(claims: Claims) -> DataFrame:
     excluded_rows = named.where("NOT included")
     excluded = excluded_rows.where(f"NOT ({no_reason})").select("graph_id", "file").distinct()
     on = ["graph_id", "file"]
-    cards = claims.cards.selectExpr("id AS card", "file AS card_file")
+    files = "files" if "files" in claims.cards.columns else "array(file)"  # a card may speak of several files
+    cards = claims.cards.selectExpr("id AS card", f"explode({files}) AS card_file")
     cited = citations(claims).selectExpr("graph_id", "owner", "owner_id", "explode(evidence_ids) AS card").join(cards, "card")
     in_file = cited.where("owner = 'excluded' AND card_file = owner_id").selectExpr("graph_id", "owner_id AS file").distinct()
     has_card = cited.where("owner = 'excluded'").selectExpr("graph_id", "owner_id AS file").distinct()

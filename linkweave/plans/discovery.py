@@ -67,6 +67,17 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(scored.collect(), scored.schema)  # one row per table
 
 
+def table_bytes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, size): bytes of the files a table is read from."""
+    sizes = None
+    for name, df in sorted(tables.items()):
+        one = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct().agg(
+            F.sum("bytes").alias("size")
+        ).selectExpr(f"'{name}' AS table", "size")
+        sizes = one if sizes is None else sizes.unionAll(one)
+    return sizes
+
+
 def text_values(df: DataFrame, table: str, rules: Rules) -> DataFrame:
     """Entities found in the joined text of each row, with the first row of each (label, value)."""
     numbered = with_row_number(df)

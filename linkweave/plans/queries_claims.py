@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from linkweave.functions import statements as T
 from linkweave.operators import claims as V
 from linkweave.plans import oracle_text as O
 from linkweave.plans.queries_text import LABEL_KIND, LABEL_STRENGTH, label_cards
-from linkweave.plans.registry import query
+from linkweave.plans.registry import ORACLES, query
 from linkweave.plans.tables import read_table
 from linkweave.sources import sinks as Z
 
@@ -175,7 +177,23 @@ def claim_unattached(spark, folder):
     return V.branch_rules(claims(spark, folder)).where("rule = 'branch_unattached'")
 
 
-@query()
+# branches read in order, pass after pass: (pass, pos) is when each attaches; no graph needs more passes than it has branches
+_ATTACHED = (
+    "w(graph_id, pos, pass) as (select b.graph_id, b.pos, 1 from branches b join chain c on c.graph_id=b.graph_id and c.node=b.origin"
+    " union select b.graph_id, b.pos, w.pass + (w.pos > b.pos)::int from w join branches h on h.graph_id=w.graph_id and h.pos=w.pos"
+    " join branches b on b.graph_id=h.graph_id and b.pos<>h.pos and list_contains(h.path, b.origin)"
+    " where w.pass <= (select count(*) from branches n where n.graph_id=w.graph_id)),"
+    " od as (select graph_id, pos, min(pass) as pass from w group by 1,2), fixed as (select b.*, pass, path[len(path)] as endpoint from branches b join od using (graph_id, pos)),"
+    " pool as (select graph_id, node, 0 as pass, -1 as pos from chain union select graph_id, unnest(path), pass, pos from fixed)"
+)
+
+
+@query(f"with recursive {CLAIMS}, {_ATTACHED},"
+       " fine as (select a.graph_id, a.pos from fixed a join pool p on p.graph_id=a.graph_id and p.node=a.endpoint and (p.pass<a.pass or (p.pass=a.pass and p.pos<a.pos))"
+       " union select a.graph_id, a.pos from fixed a join edges e on e.graph_id=a.graph_id and e.source=a.endpoint and e.type='returns_to' join pool p on p.graph_id=a.graph_id and p.node=e.target and (p.pass<a.pass or (p.pass=a.pass and p.pos<a.pos))"
+       f" union select a.graph_id, a.pos from fixed a join nodes n on n.graph_id=a.graph_id and n.id=a.endpoint and n.type in {any_in(V.END_TYPES)})"
+       " select b.graph_id, 'branch_unattached' as rule, id as subject from branches b anti join od using (graph_id, pos)"
+       " union all select a.graph_id, 'branch_end', id from fixed a anti join fine using (graph_id, pos)")
 def claim_branches(spark, folder):
     return V.branch_rules(claims(spark, folder))
 
@@ -193,7 +211,22 @@ def claim_coverage(spark, folder):
     return V.coverage_rules(claims(spark, folder))
 
 
-@query()
+@query(ORACLES["claim_coverage"].replace(
+    "ci as (select cited.*, file from", "ci as (select cited.*, unnest(list_distinct([file, 'src'||((substr(cards.id, 3)::bigint * 7 + 3) % 20)])) as file from"))
+def claim_coverage_pairs(spark, folder):
+    """Coverage where cards speak of two files: citing one uses both."""
+    one = claims(spark, folder)
+    cards = one.cards.selectExpr("*", "array_distinct(array(file, concat('src', (bigint(substring(id, 3)) * 7 + 3) % 20))) AS files")
+    return V.coverage_rules(replace(one, cards=cards))
+
+
+_ALL_RULES = " union ".join(
+    f"select graph_id, rule, subject::varchar as subject from ({ORACLES[name]})"
+    for name in ("claim_sizes", "claim_chains", "claim_references", "claim_endpoints", "claim_paths", "claim_connectivity", "claim_branches", "claim_coverage")
+) + f" union select graph_id, 'weak_evidence', id||':'||type from ({ORACLES['claim_adequacy']}) where not adequate"
+
+
+@query(_ALL_RULES)
 def claim_violations(spark, folder):
     """All broken rules of all graphs."""
     return V.violations(claims(spark, folder))

@@ -357,6 +357,17 @@ def column_cardinality_sketch(spark, folder):
     return K.cardinality(star_scan(spark, folder)[1])
 
 
+@query(f"with {O.values_cte()} select tbl as \"table\", col as \"column\", sum(n)::bigint as nonempty, true as close from vals group by 1,2")
+def sketch_error(spark, folder):
+    """Whether each sketched distinct count lies within four standard errors (26 %) of the exact one."""
+    cells = star_scan(spark, folder)[1]
+    exact = K.cardinality(cells, exact=True).withColumnRenamed("distinct", "counted")
+    sketched = K.cardinality(cells).select("table", "column", F.col("distinct").alias("estimate"))
+    return exact.join(sketched, ["table", "column"]).select(
+        "table", "column", "nonempty", (F.abs(F.col("estimate") - F.col("counted")) <= 0.26 * F.col("counted")).alias("close")
+    )
+
+
 @query(
     f"with {O.values_cte()}, b as (select *, row_number() over (partition by tbl,col order by fp) as r, count(*) over (partition by tbl,col) as d,"
     ' sum(n) over (partition by tbl,col) as s from vals) select tbl as "table", col as "column", r as rank, fp as fingerprint,'

@@ -136,9 +136,9 @@ def all_cards(spark, folder) -> DataFrame:
     """Cards of tables, links, documents and goals of the data folder."""
     tables = read_tables(spark, folder)
     catalog = S.schema_catalog(spark, tables, Q.RULES.headers)
-    sizes = Q.filled_cells(tables).groupBy("table").agg(F.max("filled").alias("row_count"))
+    sizes = Q.D.table_sizes(tables).select("table", "row_count").join(Q.D.table_bytes(tables), "table")
     files = sizes.selectExpr(
-        "table", "concat(table, '.parquet') AS file", "'.parquet' AS extension", "row_count AS size", "'tabular' AS kind", "row_count"
+        "table", "concat(table, '.parquet') AS file", "'.parquet' AS extension", "size", "'tabular' AS kind", "row_count"
     )
     relations = Q.D.profile_relations(spark, tables, Q.RULES)
     fields = C.field_cards(Q.L.field_correspondences(relations, catalog))

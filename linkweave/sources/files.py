@@ -127,11 +127,17 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_no, value) of the lines of text files; the number is stable between runs.
 
-    `zipWithIndex` over the ordered splits is the one thing DataFrames lack here.
+    A line's place within its split is its own; the lines of earlier splits are added from one count a split.
     """
-    lines = spark.read.text(path)
-    pairs = lines.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    return spark.createDataFrame(pairs, "row_no long, value string")
+    place = (1 << 33) - 1  # monotonically_increasing_id: split in the upper bits, place in the lower 33
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    sizes = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.selectExpr(
+        "part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
+    )
+    return lines.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(offsets), "part").selectExpr(
+        f"bigint((at & {place}L) + before + 1) AS row_no", "value"
+    )
 
 
 def read_json_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
