@@ -651,7 +651,12 @@ def mermaid_chart(spark, folder):
     return Z.mermaid_lines(rows).select("line")
 
 
-@query()
+@query(
+    f"with {O.OVERLAP} select id, 0 as part, 0 as rank, '### '||id||' · '||type as line from rel"
+    " union all select id, 1, 0, concat_ws(chr(10), '`'||source||'` ↔ `'||target||'`', '', '- 列：`'||source_column||'` ↔ `'||target_column||'`',"
+    " '- 判定：`'||verdict||'`；置信度：`'||printf('%.3f', confidence)||'`', '- 说明：'||explanation, '- 证据总数：'||evidence_count) from rel"
+    " union all select rid, 2, seq::int, '- 证据：`bottom_k_exact_overlap`；`'||sl||'` ↔ `'||tl||'`；匹配 `'||case when ss>=ts then sp else tp end||'`；指纹 `'||left(fp, 16)||'...`' from ev"
+)
 def relation_report(spark, folder):
     evidence = cut_lineage(D.profile_evidence(spark, read_tables(spark, folder), RULES))
     return Z.relation_report(L.relations(evidence), L.kept_evidence(evidence))
