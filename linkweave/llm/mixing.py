@@ -3,8 +3,11 @@
 Time is cut into slots, each for one block of rows. With weights of a_i in Q slots, block j of source i (from 0) is
 released at floor(j Q / a_i) and due at ceil((j + 1) Q / a_i); in each slot the released block that is due first goes. All
 blocks then go in time, so after any slot each source is less than one block away from its target. Weights being
-whole numbers of Q, the schedule repeats after Q slots: one period is worked out on the driver, and every row
-is placed by a join with that table, whose size is Q whatever the size of the data.
+whole numbers of Q, the schedule repeats after Q slots: one period is worked out on the driver.
+
+A source that has run out leaves the schedule: a new stretch begins, in which the weights of those that have rows left are
+whole numbers of a period of its own. So every row has a slot. Rows are placed by a join with the periods of all stretches,
+whose size depends on the number of sources, not on the size of the data.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ class MixRules:
     """Bound on the sources, so on what the driver holds and broadcasts; more are an error."""
     bucket_rows: int = 4_096
     """Rows of a source are numbered in buckets of about this size, so no source is one task."""
+    leave_at_once: int = 32
+    """A stretch ends when one in so many of its sources, at least one, has run out; the slots of others stay empty till then."""
 
 
 def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -61,6 +68,58 @@ def pfair_period(parts: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+@dataclass
+class Plan:
+    """The stretches: of each source that has blocks in one, its first block there and its parts; and the slots of each period."""
+
+    first_end: int
+    """The first slot whose source has run out."""
+    shares: pa.Table
+    slots: pa.Table
+
+
+def planned(weights: dict[str, float], blocks: dict[str, int], rules: MixRules) -> Plan:
+    """Stretches until all blocks of all sources with a weight have a slot; sources without blocks end the first one."""
+    names = sorted(weights)
+    code = {s: k for k, s in enumerate(names)}
+    left = np.array([blocks.get(s, 0) for s in names], np.int64)
+    done, base, first_end, live = np.zeros(len(names), np.int64), 0, None, names
+    shares, slots = [], []
+    while live:
+        parts = whole_weights({s: weights[s] for s in live}, max(rules.period, 10 * len(live)))
+        period, ids = sum(parts.values()), np.array([code[s] for s in parts])
+        size = np.array(list(parts.values()))
+        schedule = pfair_period(parts)
+        who, nth = np.array([code[s] for s, _ in schedule]), np.array([j for _, j in schedule])
+        begin = np.zeros(len(names), np.int64)
+        begin[ids] = np.cumsum(size) - size
+        at = np.zeros(period, np.int64)
+        at[begin[who] + nth] = np.arange(period)
+        # the first slot that each source cannot fill
+        ends = left[ids] // size * period + at[begin[ids] + left[ids] % size]
+        length = int(np.sort(ends)[-(-len(live) // rules.leave_at_once) - 1])
+        first_end = int(ends.min()) if first_end is None else first_end
+        used = np.minimum(left[ids], length // period * size + np.bincount(who[: length % period], minlength=len(names))[ids])
+        some = used > 0
+        k = np.full(some.sum(), len(slots))
+        shares.append((ids[some], k, done[ids[some]], size[some]))
+        shown = min(length, period)
+        slots.append((who[:shown], np.full(shown, len(slots)), nth[:shown], base + np.arange(shown), np.full(shown, period)))
+        done[ids] += used
+        left[ids] -= used
+        base += length
+        live = [s for s in live if left[code[s]]]
+    owner, *fields = (np.concatenate(x) for x in zip(*shares, strict=True))
+    order = np.argsort(owner, kind="stable")
+    stretches = pa.StructArray.from_arrays([pa.array(x[order]) for x in fields], names=["stretch", "first", "parts"])
+    offsets = np.searchsorted(owner[order], np.arange(len(names) + 1)).astype(np.int32)
+    return Plan(
+        first_end,
+        pa.table({"__source": names, "__code": np.arange(len(names)), "__stretches": pa.ListArray.from_arrays(pa.array(offsets), stretches)}),
+        pa.table(dict(zip(("__code", "__stretch", "__nth", "__slot", "__period"), (np.concatenate(x) for x in zip(*slots, strict=True)), strict=True))),
+    )
+
+
 def numbered(rows: DataFrame, have: dict[str, int], bucket_rows: int) -> DataFrame:
     """Adds __n, a row's place (from 0) in its __source, in the order of a hash of the row; have: rows of each source."""
     columns = [c for c in rows.columns if c != "__source"]
@@ -86,9 +145,11 @@ OUTPUT = ("block", "slot", "position", "in_mix")
 def mixed(documents: DataFrame, weights: dict[str, float] | None = None, rules: MixRules = MixRules(), source: str = "source") -> DataFrame:
     """The rows with block, slot, position and in_mix; columns of these names are replaced.
 
-    The mixture ends before the first slot whose source has run out: rows in it (in_mix) stand in target proportions, less
-    than one block off at any point of `position`. A NULL source counts as the empty name. Sources without a weight have
-    no slot and are not in the mixture. Rows of a source follow a hash of the row; repeated rows stand side by side.
+    `position` orders the rows: at any point of it the sources that have rows left stand in target proportions, less than
+    one block off since the last of them ran out (see leave_at_once for more than 32 sources). Without given weights all rows
+    are in the mixture (in_mix). Given weights are a target for the whole: in_mix then ends before the first slot whose source
+    has run out, and sources without a weight have no slot. A NULL source counts as the empty name. Rows of a source follow a
+    hash of the row; repeated rows stand side by side.
     """
     spark = documents.sparkSession
     kept = [c for c in documents.columns if c not in OUTPUT]
@@ -98,30 +159,27 @@ def mixed(documents: DataFrame, weights: dict[str, float] | None = None, rules:
     if len(listed) > rules.max_sources:
         raise ValueError(f"more than {rules.max_sources} sources")
     have = {r["__source"]: r["__rows"] for r in listed}
-    if weights is None:
+    whole = weights is None
+    if whole:
         weights = {s: n**rules.power for s, n in have.items()}
     weights = {s: w for s, w in weights.items() if w > 0}
     empty = [F.lit(None).cast(kind).alias(c) for c, kind in zip(OUTPUT, ("long", "long", "long", "boolean"), strict=True)]
     if not have or not weights:
         return documents.select(*kept, *empty[:3], F.lit(False).alias("in_mix"))
-    parts = whole_weights(weights, max(rules.period, 10 * len(weights)))
-    period = sum(parts.values())
-    schedule = pfair_period(parts)
-    at = {x: slot for slot, x in enumerate(schedule)}
-    # the first slot whose source has no block left
-    ends = [-(-have.get(s, 0) // rules.block_rows) for s in parts]
-    last = min(b // a * period + at[s, b % a] for (s, a), b in zip(parts.items(), ends, strict=True))
-    table = spark.createDataFrame(
-        [(s, j, slot, parts[s]) for (s, j), slot in at.items()], "__source string, __nth long, __slot long, __parts long"
-    )
-    shares = spark.createDataFrame(list(parts.items()), "__source string, __parts long")
+    plan = planned(weights, {s: -(-n // rules.block_rows) for s, n in have.items()}, rules)
+    shares, slots = spark.createDataFrame(plan.shares), spark.createDataFrame(plan.slots)
     blocks = numbered(rows, have, rules.bucket_rows).withColumn("__block", F.expr(f"__n div {rules.block_rows}"))
-    blocks = blocks.join(F.broadcast(shares), "__source", "left").withColumn("__nth", F.expr("__block % __parts"))
-    placed = blocks.join(F.broadcast(table.drop("__parts")), ["__source", "__nth"], "left").withColumn(
-        "slot", F.expr(f"(__block div __parts) * {period} + __slot")
+    # a row a source
+    blocks = blocks.join(F.broadcast(shares), "__source", "left").withColumn(
+        "__at", F.expr("element_at(filter(__stretches, x -> x.first <= __block), -1)")
+    )
+    blocks = blocks.selectExpr(
+        *(f"`{c}`" for c in kept), "__n", "__block", "__code", "__at.stretch AS __stretch",
+        "(__block - __at.first) % __at.parts AS __nth", "(__block - __at.first) div __at.parts AS __turn",
     )
+    placed = blocks.join(slots, ["__code", "__stretch", "__nth"], "left").withColumn("slot", F.expr("__turn * __period + __slot"))
+    inside = F.col("slot").isNotNull() if whole else F.coalesce(F.col("slot") < plan.first_end, F.lit(False))
     return placed.select(
         *kept, F.col("__block").alias("block"), "slot",
-        F.expr(f"slot * {rules.block_rows} + __n % {rules.block_rows}").alias("position"),
-        F.coalesce(F.col("slot") < last, F.lit(False)).alias("in_mix"),
+        F.expr(f"slot * {rules.block_rows} + __n % {rules.block_rows}").alias("position"), inside.alias("in_mix"),
     )

@@ -195,6 +195,36 @@ def test_mixture(spark, odd, empty):
     assert {r.in_mix for r in mixing.mixed(odd, {}).collect()} == {False}
 
 
+@pytest.mark.parametrize("have", [{"hot": 9000, "warm": 700, "cool": 650, "one": 1, None: 1}, {f"s{k:02}": 40 + 16 * k for k in range(40)}])
+def test_mixture_keeps_every_row(spark, have):
+    import corpus_pipeline as pipeline
+
+    names = [s for s, n in have.items() for _ in range(n)]
+    docs = frame(spark, [(k, "t", s) for k, s in enumerate(names)])
+    rows = sorted(mixing.mixed(docs).collect(), key=lambda r: r.position)
+    assert len({r.position for r in rows}) == len(rows) == len(names) and all(r.in_mix for r in rows)
+    assert sorted(r.doc_id for r in rows) == list(range(len(names)))
+    assert len({r.slot for r in rows}) == sum(-(-n // 16) for n in have.values())
+    # block by block: sources that have blocks left get their share of the slots since the last of them ran out
+    left = {s: -(-n // 16) for s, n in have.items()}
+    seen, slots = dict.fromkeys(left, 0), 0
+    block_of = {r.slot: (r.source, r.block) for r in rows}
+    taken = dict.fromkeys(left, 0)
+    for slot in sorted(block_of):
+        s, j = block_of[slot]
+        assert j == taken[s]
+        taken[s] += 1
+        seen[s] += 1
+        slots += 1
+        live = [x for x in left if taken[x] < left[x]]
+        total = sum(have[x] ** 0.5 for x in left if taken[x] < left[x] or seen[x])
+        assert all(abs(seen[x] - have[x] ** 0.5 / total * slots) < 2 + slots * len(left) / 1000 for x in live)
+        if taken[s] == left[s]:
+            seen, slots = dict.fromkeys(left, 0), 0
+    kept = pipeline.keep_mixture(spark, docs, "").collect()
+    assert [r.doc_id for r in kept] == [r.doc_id for r in rows]
+
+
 # 7 near duplicates
 
 def components_by_hand(texts, width):
