@@ -3,7 +3,7 @@
 A page is read as a sequence of text blocks, each with the path of tags from the root to it. Text length, number of
 blocks, punctuation and linked characters are summed per path. A path's ratio, length a block, is smoothed over
 the sequence of blocks, fused with its punctuation and its share of unlinked text, and weighed by what its tags say (an
-article speaks for a path, a menu or an advert rules it out). Paths above a threshold of the best are content, and so are
+article speaks for a path; the blocks of a menu or an advert are left out first). Paths above a threshold of the best are content, and so are
 the other paths within the container that they share, such as headings and lists.
 
 Every page is worked on by itself in an Arrow function; nothing is shuffled.
@@ -90,7 +90,13 @@ def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, st
     noise = tag in ASIDE or role in ROLES or bool(hidden) or (tag == "header" and not inside_main)
     if names and tag not in ("html", "body", "article", "main") and NOISE.search(names):
         noise = True
-    return noise, main and not noise, tag + (f".{found['class']}" if found.get("class") else "")
+    label = tag + (f".{found['class']}" if found.get("class") else "")
+    # an id tells paths apart where it says something: those of single paragraphs don't
+    if (own := found.get("id", "")) and (MAIN.search(own) or NOISE.search(own)):
+        label += "#" + own.replace("/", "_")
+    if role in ROLES or role in ("main", "article"):
+        label += f"[{role}]"
+    return noise, main and not noise, label
 
 
 def blocks(page: str) -> list[Block]:
@@ -186,18 +192,18 @@ def blocks(page: str) -> list[Block]:
 
 
 def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
-    """The blocks on content paths."""
+    """The blocks on content paths. Noise is left out block by block, and blocks of main elements make paths of their own."""
+    found = [b for b in found if not b.noise]
     if not found:
         return []
-    names = {p: k for k, p in enumerate(dict.fromkeys(b.path for b in found))}
-    path = np.array([names[b.path] for b in found])
+    names = {p: k for k, p in enumerate(dict.fromkeys((b.path, b.main) for b in found))}
+    path = np.array([names[b.path, b.main] for b in found])
     size = np.array([len(b.text) for b in found], float)
     number = np.bincount(path)
     length = np.bincount(path, size)
     points = np.bincount(path, [len(PUNCTUATION.findall(b.text)) for b in found])
     linked = np.bincount(path, [b.linked for b in found]) / length
-    ruled_out = np.bincount(path, [b.noise for b in found]) > 0
-    in_main = np.bincount(path, [b.main for b in found]) > 0
+    in_main = np.array([main for _, main in names])
     ratio = (length / number)[path]
     reach = np.arange(-3, 4)
     weights = np.exp(-(reach**2) / (2 * rules.sigma**2))
@@ -207,23 +213,22 @@ def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
         around, whole = around[3 : 3 + len(ratio)], whole[3 : 3 + len(ratio)]
     smooth = np.bincount(path, around / whole) / number
     fused = np.sqrt(smooth * length / number) * (1 + points / number) * (1 - linked) * np.where(in_main, rules.main_weight, 1.0)
-    fused[ruled_out | (linked > rules.most_linked)] = 0
+    fused[linked > rules.most_linked] = 0
     fused *= np.sqrt(length)  # a path of many blocks speaks for more of the page
     if fused.max() <= 0:
         return []
     best = int(fused.argmax())
     chosen = fused >= rules.threshold * fused[best]
-    listed = list(names)
-    # the container of the best path: its outermost main element, else its parent
+    listed = [p for p, _ in names]
+    # the container of the best path: the main elements, else its parent
     if in_main[best]:
-        holder = {listed[k] for k in range(len(listed)) if in_main[k]}
-        inside = np.array([p in holder for p in listed])
+        inside = in_main
     else:
         parent = listed[best].rsplit("/", 1)[0] + "/"
         inside = np.array([p.startswith(parent) for p in listed]) if parent.count("/") > 2 else np.zeros(len(listed), bool)
         if not inside.any():  # children of the body: headings beside the paragraphs, and runs of text
             inside = np.array([bool(re.fullmatch(re.escape(parent) + r"(?:h[1-6]|p|ul/li|ol/li|blockquote|pre)(?:\.[^/]*)?", p)) for p in listed])
-    take = (chosen | inside) & ~ruled_out & (linked <= rules.most_linked)
+    take = (chosen | inside) & (linked <= rules.most_linked)
     if in_main[best]:
         take &= inside
     return [b for b, k in zip(found, path, strict=True) if take[k]]

@@ -325,6 +325,18 @@ def test_main_text():
     assert len(html_text.main_text("<article>" + "<p>word, word.</p>" * 20000)) == 20000 * 12 - 1
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div id=content><p>First, long text.</p><p>Second.</p></div><div id=comments><p>Great read.</p></div>", "First, long text.\nSecond."),
+    ("<div role=main><p>First, long text.</p><p>Second.</p></div><div role=complementary><p>Great read.</p></div>", "First, long text.\nSecond."),
+    ("<article><p>First, long text.</p><p hidden>Not shown.</p><p>Second.</p></article>", "First, long text.\nSecond."),
+    ("<article><p>First, long text.</p><p style='display:none'>Not shown.</p><p aria-hidden=true>Nor this.</p></article>", "First, long text."),
+    ("<div id=content><p>First, long text.</p></div><div id=pane><p>Another text, as long.</p></div>", "First, long text."),
+    ("<article><p id=p1>First, long text.</p><p id=p2>Second.</p><h2 id=h>And</h2></article>", "First, long text.\nSecond.\nAnd"),
+])
+def test_noise_is_left_out_block_by_block(page, text):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == text
+
+
 def test_pages(spark, folder):
     pages = {r.page_id: r.html for r in read_table(spark, folder, "pages").collect()}
     rows = entry.queries()["op8_html"](spark, folder).collect()
