@@ -57,6 +57,8 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+# paths of headings, lists, paragraphs, quotations and tables, which hold text of an article however much of it is linked
+PROSE = re.compile(r"/(?:h[1-6]|li|dt|dd|p|blockquote|figcaption|caption|td|th|pre)(?:[.#\[/]|$)")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 
@@ -67,6 +69,8 @@ class Block:
     linked: int
     noise: bool
     main: bool
+    group: int = 0
+    """Main text within an element whose class or id alone names noise: the number of that element, else 0."""
 
 
 @dataclass(frozen=True)
@@ -76,42 +80,49 @@ class PathRules:
     threshold: float = 0.25
     """Paths that reach this share of the best path's fused ratio are content."""
     most_linked: float = 0.5
-    """Paths with more of their text in links are not."""
+    """Paths with more of their text in links are not, but for headings, lists and the like in the article."""
     main_weight: float = 4.0
 
 
-def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, str]:
-    """(noise, main, label): what an element's name and attributes say of its text."""
+def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool, str]:
+    """(noise, named noise, main, named main, label): what an element's name and attributes say of its text.
+
+    Classes and ids are judged name by name, and a name that says both is noise (comment-content). Noise that only names speak
+    for gives way to a main element: to one that is it by a name, tag or role of its own, or to one within it (see content).
+    """
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    names = [*found.get("class", "").split(), found.get("id", "")]
     role = found.get("role", "").lower()
-    main = tag in ("article", "main") or role in ("main", "article") or bool(names and MAIN.search(names))
+    bad = [bool(NOISE.search(x)) for x in names]
+    named = any(MAIN.search(x) and not n for x, n in zip(names, bad, strict=True))
+    called = tag in ("article", "main") or role in ("main", "article")
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
     noise = tag in ASIDE or role in ROLES or bool(hidden) or (tag == "header" and not inside_main)
-    if names and tag not in ("html", "body", "article", "main") and NOISE.search(names):
-        noise = True
+    main = named or called
+    named_noise = any(bad) and not main and tag not in ("html", "body")
     label = tag + (f".{found['class']}" if found.get("class") else "")
     # an id tells paths apart where it says something: those of single paragraphs don't
     if (own := found.get("id", "")) and (MAIN.search(own) or NOISE.search(own)):
         label += "#" + own.replace("/", "_")
     if role in ROLES or role in ("main", "article"):
         label += f"[{role}]"
-    return noise, main and not noise, label
+    return noise, named_noise, main and not noise, (named or not any(bad)) and main and not noise, label
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, without those of elements that show no text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, noise, main, path
+    # tag, noise, element of named noise, element whose named noise gave way to a main element, main, path
+    stack: list[tuple[str, bool, int, int, bool, str]] = [("", False, 0, 0, False, "")]
     texts: list[str] = []
-    links, unseen, linked, k = 0, 0, 0, 0
+    links, unseen, linked, k, groups = 0, 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(texts).split())
         if text:
-            _, noise, main, path = stack[-1]
-            out.append(Block(path, text, min(linked, len(text)), noise, main))
+            _, noise, named, group, main, path = stack[-1]
+            out.append(Block(path, text, min(linked, len(text)), noise or named > 0, main and not named, group))
         texts.clear()
         linked = 0
 
@@ -177,10 +188,15 @@ def blocks(page: str) -> list[Block]:
             elif stack[i][0] in KEEPS_IN:
                 break
         close()
-        _, noise, main, path = stack[-1]
-        own_noise, own_main, label = _flags(tag, m["attributes"], main)
+        _, noise, named, group, main, path = stack[-1]
+        own_noise, own_named, own_main, wins, label = _flags(tag, m["attributes"], main)
+        if named and wins:
+            named, group = 0, named
+        elif own_named and not named:
+            groups += 1
+            named = groups
         if not m["attributes"].rstrip().endswith("/") or tag not in ("svg", "math"):
-            stack.append((tag, noise or own_noise, main or own_main, f"{path}/{label}"))
+            stack.append((tag, noise or own_noise, named, group, main or own_main, f"{path}/{label}"))
             unseen += tag in UNSEEN
             links = 0
         if tag in RAW:
@@ -192,8 +208,19 @@ def blocks(page: str) -> list[Block]:
 
 
 def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
-    """The blocks on content paths. Noise is left out block by block, and blocks of main elements make paths of their own."""
+    """The blocks on content paths. Noise is left out block by block, and blocks of main elements make paths of their own.
+
+    Main text within named noise is content where it holds more unlinked text than all other main text: the article in a
+    wrapper of an odd name, but not the teasers or comments beside an article.
+    """
     found = [b for b in found if not b.noise]
+    free: dict[int, int] = {}
+    for b in found:
+        if b.main:
+            free[b.group] = free.get(b.group, 0) + len(b.text) - b.linked
+    most = max((n for group, n in free.items() if group), default=0)
+    holds = {group for group, n in free.items() if n > free.get(0, 0) and n >= rules.threshold * most}
+    found = [b for b in found if not b.group or b.group in holds]
     if not found:
         return []
     names = {p: k for k, p in enumerate(dict.fromkeys((b.path, b.main) for b in found))}
@@ -213,13 +240,14 @@ def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
         around, whole = around[3 : 3 + len(ratio)], whole[3 : 3 + len(ratio)]
     smooth = np.bincount(path, around / whole) / number
     fused = np.sqrt(smooth * length / number) * (1 + points / number) * (1 - linked) * np.where(in_main, rules.main_weight, 1.0)
-    fused[linked > rules.most_linked] = 0
+    listed = [p for p, _ in names]
+    heavy = linked > rules.most_linked
+    fused[heavy] = 0
     fused *= np.sqrt(length)  # a path of many blocks speaks for more of the page
     if fused.max() <= 0:
         return []
     best = int(fused.argmax())
     chosen = fused >= rules.threshold * fused[best]
-    listed = [p for p, _ in names]
     # the container of the best path: the main elements, else its parent
     if in_main[best]:
         inside = in_main
@@ -228,9 +256,10 @@ def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
         inside = np.array([p.startswith(parent) for p in listed]) if parent.count("/") > 2 else np.zeros(len(listed), bool)
         if not inside.any():  # children of the body: headings beside the paragraphs, and runs of text
             inside = np.array([bool(re.fullmatch(re.escape(parent) + r"(?:h[1-6]|p|ul/li|ol/li|blockquote|pre)(?:\.[^/]*)?", p)) for p in listed])
-    take = (chosen | inside) & (linked <= rules.most_linked)
     if in_main[best]:
-        take &= inside
+        take = inside & (~heavy | np.array([bool(PROSE.search(p)) for p in listed]))
+    else:
+        take = (chosen | inside) & ~heavy
     return [b for b, k in zip(found, path, strict=True) if take[k]]
 
 

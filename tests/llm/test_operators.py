@@ -337,6 +337,29 @@ def test_noise_is_left_out_block_by_block(page, text):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == text
 
 
+ARTICLE = "<h2>On things</h2><p>First, long text of an article.</p><p>Second, with more.</p>"
+ARTICLE_TEXT = "On things\nFirst, long text of an article.\nSecond, with more."
+
+
+@pytest.mark.parametrize("page, text", [
+    *((f"<div {names}>{ARTICLE}</div><div><p>Elsewhere.</p></div>", ARTICLE_TEXT) for names in (
+        "class='post category-legal'", "class='entry tag-social'", "id='content' class='side-by-side'", "class='story search'", "role=main class=notice",
+    )),
+    (f"<div class='side-by-side'><div id=content>{ARTICLE}</div></div><div><p>Elsewhere.</p></div>", ARTICLE_TEXT),
+    (f"<main><div class='layout side-by-side'><article>{ARTICLE}</article></div><p>Small.</p></main>", ARTICLE_TEXT + "\nSmall."),
+    # noise beside an article stays noise
+    (f"<article>{ARTICLE}</article><div class=related><article><p><a href=1>Read this next</a></p></article></div>", ARTICLE_TEXT),
+    (f"<article>{ARTICLE}<div class=comments><article><p>Great read.</p></article></div></article>", ARTICLE_TEXT),
+    (f"<div class=side><article>{ARTICLE}<div class=comments><article><p>Great.</p></article></div></article></div>", ARTICLE_TEXT),
+    (f"<article>{ARTICLE}</article><div class=comments><div class=comment-content><p>Great read, thanks for all of it, really, it is.</p></div></div>", ARTICLE_TEXT),
+    # linked headings and lists of references in an article
+    ("<article><h2><a href=1>Linked title</a></h2><p>First, long text.</p><ol><li><a href=2>Some reference</a><li><a href=3>Another</a></ol>"
+     "<div><a href=4>Tweet</a> <a href=5>Mail</a></div></article>", "Linked title\nFirst, long text.\nSome reference\nAnother"),
+])
+def test_main_wins_over_names_of_noise(page, text):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == text
+
+
 def test_pages(spark, folder):
     pages = {r.page_id: r.html for r in read_table(spark, folder, "pages").collect()}
     rows = entry.queries()["op8_html"](spark, folder).collect()
