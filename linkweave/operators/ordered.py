@@ -7,9 +7,11 @@ table with one row per (key, bucket). A key that holds a third of all rows is ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.session import cut_lineage
+
 WIDTH = 1_000_000
 
 
@@ -59,3 +61,19 @@ def _carried(df, key, order, value, name, how, width) -> DataFrame:
         else "greatest(__near, __carried)"  # greatest skips NULLs
     )
     return joined.selectExpr(*df.columns, f"{combined} AS {name}")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place (from 0) along an order of the whole frame.
+
+    Rows are dealt out by range, sorted and written; a row's place is its place in its file after the rows of the
+    files before. Only one row a file is ordered as a whole. Rows that are equal in `order` stand in any order.
+    """
+    ranges = cut_lineage(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges"
+    ).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = ranges.groupBy("__file").agg(F.min("__part").alias("__part"), F.count(F.lit(1)).alias("__rows")).selectExpr(
+        "__file", "coalesce(sum(__rows) OVER (ORDER BY __part, __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before"
+    )
+    # a row for each task that wrote, so for each shuffle partition
+    return ranges.join(F.broadcast(files), "__file").select(*rows.columns, (F.col("__before") + F.col("__row")).alias(name))
