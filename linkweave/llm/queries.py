@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import chat, decontamination, fingerprints, html_text, mixing, near_duplicates, quality, sharding, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from linkweave.llm import (
+    chat, decontamination, fingerprints, html_text, line_dedup, merkle, mixing, near_duplicates, quality, resampling, sharding, token_counts, toxicity,
+)
 from linkweave.plans.tables import read_table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -56,6 +60,23 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.formatted_turns(chat.canonical_turns(rows)))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.expr(f"IF(crc32(binary(string(doc_id))) % 5 = 0, translate(text, '{UPPER}', '{LOWER}'), text)")
+    return merkle.tamper_checked(read_table(spark, folder, "documents"), lowered)
+
+
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.scored(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"), carry=())
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_dedup.deduplicated(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,10 +85,24 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 _JOBS = (
     op1_fingerprints, op2_toxicity, op3_quality, op4_decontamination, op5_sharding, op6_mixing, op7_near_duplicates, op8_html,
-    op9_token_counts, op10_chat, pipeline,
+    op9_token_counts, op10_chat, op11_merkle, op12_resampling, op13_line_dedup, pipeline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {job.__name__: job for job in _JOBS}
 
+
+
+def _field_sql(x: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+# CRC-32 of the decimal id, bit by bit
+_BITS = "list_reduce(range(8), lambda r, j: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b))"
+_CRC = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT)), lambda c, b: {_BITS}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
 _SHARDS = ", ".join(f"'{s}'" for s in sharding.SHARDS)
 ORACLES: dict[str, str] = {
     # the lookup table filled turn by turn in a recursive query
@@ -109,4 +144,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM spoken GROUP BY conv_id""",
+    "op13_line_dedup": f"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+ keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM lines),
+ often AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+ marked AS (SELECT doc_id, line, pos, keeper IS NOT NULL AND keeper <> doc_id AS lost FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
+    # levels by recursion, first of each source, then of the sources' roots; proofs by joining leaves with each level
+    "op11_merkle": f"""
+WITH RECURSIVE tampered AS (
+  SELECT *, CASE WHEN {_CRC} % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS changed FROM documents),
+ leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("changed")} AS changed_leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM tampered),
+ low(source, level, i, h, n) AS (
+  SELECT source, 0, i, leaf, count(*) OVER (PARTITION BY source) FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), count(*) OVER (PARTITION BY source) FROM low WHERE n > 1 GROUP BY source, level, i // 16),
+ subroots AS (SELECT source, h AS subroot, level AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS q FROM low WHERE n = 1),
+ high(level, i, h, n) AS (
+  SELECT 0, q, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), count(*) OVER () FROM high WHERE n > 1 GROUP BY level, i // 16),
+ root AS (SELECT h AS root FROM high WHERE n = 1),
+ near AS (SELECT l.doc_id, s.level, string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < l.i // s.w) AS b, string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > l.i // s.w) AS a
+  FROM (SELECT doc_id, source, i FROM leaves) l JOIN (SELECT *, CAST(16 ** level AS BIGINT) AS w FROM low WHERE n > 1) s
+  ON l.source IS NOT DISTINCT FROM s.source AND s.i // 16 = l.i // (s.w * 16) GROUP BY ALL),
+ far AS (SELECT p.q, s.level, string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.q // s.w) AS b, string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.q // s.w) AS a
+  FROM subroots p JOIN (SELECT *, CAST(16 ** level AS BIGINT) AS w FROM high WHERE n > 1) s ON s.i // 16 = p.q // (s.w * 16) GROUP BY ALL),
+ steps AS (
+  SELECT doc_id, level, coalesce(b, '') AS b, coalesce(a, '') AS a FROM near
+  UNION ALL SELECT l.doc_id, s.top + f.level, coalesce(f.b, ''), coalesce(f.a, '') FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN far f USING (q)),
+ proofs AS (SELECT doc_id, sha256(string_agg(b || a, '' ORDER BY level)) AS proof_sha256, list(b ORDER BY level) AS bs, list(a ORDER BY level) AS ends FROM steps GROUP BY doc_id),
+ climb(doc_id, level, h) AS (
+  SELECT doc_id, 0, changed_leaf FROM leaves
+  UNION ALL SELECT c.doc_id, level + 1, sha256(bs[level + 1] || h || ends[level + 1]) FROM climb c JOIN proofs USING (doc_id) WHERE level < len(bs)),
+ folded AS (SELECT doc_id, arg_max(h, level) AS folded_root FROM climb GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source CROSS JOIN root LEFT JOIN proofs USING (doc_id) JOIN folded USING (doc_id)""",
 }
