@@ -16,29 +16,51 @@ from linkweave.functions.text import (
     with_nfkc,
 )
 from linkweave.functions.values import specificity, valid_join_value
+from linkweave.operators.ordered import numbered
 from linkweave.session import spread
 from linkweave.sources.catalog import is_text
 
 FILE_STRIDE = 1 << 40
 
 
+ROW = "__row"
+"""Column of a frame that was numbered where it was read (text formats); it is no column of the table."""
+
+
 def with_row_number(df: DataFrame) -> DataFrame:
     """Adds `row_no`: 1-based within a file, stable between runs; further files start at multiples of 2^40.
 
-    Needs a file source that tells its row index (Parquet).
+    Needs a file source that tells its row index (Parquet), or a frame with a number a row already.
     """
-    files = sorted(df.inputFiles())
+    if ROW in df.columns:
+        return df.withColumnRenamed(ROW, "row_no")
     index = F.col("_metadata.row_index") + F.lit(1)
-    if len(files) <= 1:
+    if len(df.inputFiles()) <= 1:
         return df.select("*", index.alias("row_no"))
-    # the listing is already on the driver; one row per file
-    ordinals = df.sparkSession.createDataFrame(
-        list(enumerate(files)), "file_ordinal long, file_path string"
+    rows = df.select("*", index.alias("row_no"), F.col("_metadata.file_path").alias("__file"))
+    return rows.join(file_ordinals(df), "__file").withColumn("row_no", F.expr(f"row_no + ordinal * {FILE_STRIDE}")).drop("__file", "ordinal")
+
+
+def file_ordinals(df: DataFrame) -> DataFrame:
+    """(__file, ordinal): the files that a frame has rows of, numbered from 0 by path. Reads no column of the table."""
+    return numbered(df.select(F.col("_metadata.file_path").alias("__file")).distinct(), [F.col("__file").asc()], "ordinal")
+
+
+def join_cells(
+    df: DataFrame, columns: list[tuple[str, str]], rules: ValueRules = ValueRules(), carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """row_no, the chosen columns with their values in normal form, NULL where they can't link, and carried columns as they are.
+
+    Only those columns are read."""
+    types = {c: df.schema[c].dataType for c, _ in columns}
+    # one projection per step, so that each reads a finished text instead of repeating its expression
+    texts = df.selectExpr("row_no", *carry, *[f"{stringify(f'`{c}`', t)} AS `{c}`" for c, t in types.items()])
+    composed = with_nfkc(texts, *[c for c, t in types.items() if is_text(t)])
+    folded = composed.selectExpr(
+        "row_no", *carry, *[f"{_folded(f'`{c}`', t)} AS `{c}`" for c, t in types.items()]
     )
-    numbered = df.select("*", index.alias("row_no"), F.col("_metadata.file_path").alias("file_path"))
-    joined = numbered.join(ordinals, "file_path")
-    return joined.withColumn("row_no", F.col("row_no") + F.col("file_ordinal") * FILE_STRIDE).drop(
-        "file_path", "file_ordinal"
+    return folded.selectExpr(
+        "row_no", *carry, *[f"if({_valid(f'`{c}`', kind, types[c], rules)}, `{c}`, NULL) AS `{c}`" for c, kind in columns]
     )
 
 
@@ -48,17 +70,7 @@ def table_occurrences(
     """(table, column, row_no, value) of the chosen columns. Only those columns are read."""
     if "row_no" not in df.columns:
         df = with_row_number(df)
-    types = {c: df.schema[c].dataType for c, _ in columns}
-    # one projection per step, so that each reads a finished text instead of repeating its expression
-    texts = df.selectExpr("row_no", *[f"{stringify(f'`{c}`', t)} AS `{c}`" for c, t in types.items()])
-    composed = with_nfkc(texts, *[c for c, t in types.items() if is_text(t)])
-    folded = composed.selectExpr(
-        "row_no", *[f"{_folded(f'`{c}`', t)} AS `{c}`" for c, t in types.items()]
-    )
-    cells = folded.selectExpr(
-        "row_no", *[f"if({_valid(f'`{c}`', kind, types[c], rules)}, `{c}`, NULL) AS `{c}`" for c, kind in columns]
-    )
-    tall = cells.unpivot(["row_no"], [c for c, _ in columns], "column", "value")
+    tall = join_cells(df, columns, rules).unpivot(["row_no"], [c for c, _ in columns], "column", "value")
     return tall.where(F.col("value").isNotNull()).select(F.lit(table).alias("table"), "column", "row_no", "value")
 
 

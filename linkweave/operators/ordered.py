@@ -70,10 +70,10 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     files before. Only one row a file is ordered as a whole. Rows that are equal in `order` stand in any order.
     """
     ranges = cut_lineage(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges"
-    ).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    files = ranges.groupBy("__file").agg(F.min("__part").alias("__part"), F.count(F.lit(1)).alias("__rows")).selectExpr(
-        "__file", "coalesce(sum(__rows) OVER (ORDER BY __part, __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before"
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__n_part", F.spark_partition_id()), "ranges"
+    ).select("*", F.col("_metadata.file_name").alias("__n_file"), F.col("_metadata.row_index").alias("__n_row"))
+    files = ranges.groupBy("__n_file").agg(F.min("__n_part").alias("__n_part"), F.count(F.lit(1)).alias("__n_rows")).selectExpr(
+        "__n_file", "coalesce(sum(__n_rows) OVER (ORDER BY __n_part, __n_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __n_before"
     )
     # a row for each task that wrote, so for each shuffle partition
-    return ranges.join(F.broadcast(files), "__file").select(*rows.columns, (F.col("__before") + F.col("__row")).alias(name))
+    return ranges.join(F.broadcast(files), "__n_file").select(*rows.columns, (F.col("__n_before") + F.col("__n_row")).alias(name))

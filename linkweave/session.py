@@ -68,15 +68,18 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-SPREAD_BYTES = 1 << 20
+SPREAD_BYTES = (1 << 20, 8 << 20)
+"""Tables smaller than the first, or larger than the second for each core, are read as they are split."""
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that Spark reads in one task, dealt out to all cores: one split at most is ever shuffled.
+    """Rows of a table with fewer splits than cores, dealt out to all of them.
 
-    A table of several splits stays as it is, and so does one too small to matter.
+    A Parquet file is read a row group a task, so a small one occupies one core however it is cut. The bound keeps the
+    shuffle this costs below a few megabytes a core.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if df.isStreaming or int(str(size)) < SPREAD_BYTES or df.rdd.getNumPartitions() > 1:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or not SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] * cores or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)

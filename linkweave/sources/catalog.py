@@ -42,7 +42,7 @@ def schema_catalog(
     rows = [
         (table, position, unicodedata.normalize("NFKC", field.name).strip(), field.dataType.simpleString())
         for table, df in sorted(tables.items())
-        for position, field in enumerate(df.schema.fields)
+        for position, field in enumerate(f for f in df.schema.fields if f.name != "__row")  # a row number isn't a column
     ]
     columns = spark.createDataFrame(rows, "table string, position int, name string, dtype string")
     meaning = column_meaning(columns, rules)
@@ -90,7 +90,8 @@ def role_score(stem: str, goal: str | None = None) -> str:
 def seed_tables(tables: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(table, role_score, row_count?, column_count, size) -> seeds in reading order (`seed_order`).
 
-    Without a table that fits the budgets, the smallest one is taken.
+    Without a table that fits the budgets, the smallest one is taken; if its cells and its file are both above them, only its
+    first rows are (`bootstrap`).
     """
     cells = F.col("row_count") * F.col("column_count")
     weight = F.when(cells.isNull() | (cells == 0), F.col("size")).otherwise(cells)
@@ -106,6 +107,7 @@ def seed_tables(tables: DataFrame, limits: Limits = Limits()) -> DataFrame:
         ranked.withColumn("by_size", smallest)
         .where(F.col("fits") | ((F.col("any_fits") == 0) & (F.col("by_size") == 1)))
         .withColumn("seed_order", order)
+        .withColumn("bootstrap", F.coalesce((cells > limits.seed_cell_budget) & (F.col("size") > limits.seed_file_bytes), F.lit(False)))
         .drop("fits", "any_fits", "by_size", "weight")
     )
 

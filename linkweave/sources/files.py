@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import quoted, raw, when
+from linkweave.operators.ordered import numbered
 from linkweave.session import cut_lineage
+from linkweave.sources.catalog import unique_headers
 
 # Kinds by file extension.
 TABULAR = (".csv", ".tsv", ".xlsx", ".jsonl", ".ndjson", ".parquet", ".sqlite", ".sqlite3", ".db")
@@ -43,11 +45,7 @@ def file_kind(ext: str) -> str:
 
 
 def numbered_files(files: DataFrame) -> DataFrame:
-    """Adds extension, kind and a 1-based id by folded path to (path, size, sha256, ...).
-
-    The id is a global rank. It is built from a range-partitioned sort: ranks inside each partition plus
-    the partition's offset, so no single task ranks the whole listing.
-    """
+    """Adds extension, kind and a 1-based id by folded path to (path, size, sha256, ...)."""
     described = files.selectExpr("*", f"{extension('path')} AS extension").selectExpr(
         "*", f"{file_kind('extension')} AS kind", "lower(path) AS order_key"
     )
@@ -55,26 +53,15 @@ def numbered_files(files: DataFrame) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """1-based rank over all rows. Only one count per partition is summed up in one place.
-
-    The partitioned rows are written once, so that ranks and counts speak of the same partitions.
-    """
-    spread = cut_lineage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    local = spread.selectExpr("*", f"row_number() OVER (PARTITION BY part ORDER BY {', '.join(order)}) AS local_rank")
-    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.selectExpr(
-        "part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
-    )
-    return local.join(F.broadcast(offsets), "part").selectExpr(
-        "* EXCEPT (part, local_rank, before)", f"bigint(local_rank + before) AS {name}"
-    )
+    """1-based rank over all rows."""
+    return numbered(df, [F.col(c).asc() for c in order], name).withColumn(name, F.col(name) + 1)
 
 
 def inventory(spark: SparkSession, folder: str, inline_bytes: int = INLINE_BYTES) -> DataFrame:
     """Files below a folder: path, size, modified, sha256, extension, kind, id.
 
     Small files are hashed from their row. Larger ones do not fit a row and are hashed as a stream by
-    the task that holds their path.
+    the task that holds their path. Spark lists no empty files.
     """
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -124,28 +111,54 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, value) of the lines of text files; the number is stable between runs.
+def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", pattern: str | None = None) -> DataFrame:
+    """(path, ordinal, line_no, row_no, value) of the lines of text files; the numbers depend on the files alone.
 
-    A line's place within its split is its own; the lines of earlier splits are added from one count a split.
+    A line's place within its split is its own; the lines of a file's earlier splits are added from one count a split, and
+    row_no counts further files from multiples of 2^40, by path. `pattern` is a glob for the names of files below a folder.
     """
-    place = (1 << 33) - 1  # monotonically_increasing_id: split in the upper bits, place in the lower 33
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
-    sizes = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.selectExpr(
-        "part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
+    reader = spark.read.option("encoding", encoding).option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    lines = reader.text(path).select(
+        F.monotonically_increasing_id().alias("at"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
     )
-    return lines.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(offsets), "part").selectExpr(
-        f"bigint((at & {place}L) + before + 1) AS row_no", "value"
+    splits = cut_lineage(lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), "splits")
+    files = numbered(splits.select("path").distinct(), [F.col("path").asc()], "ordinal")
+    before = splits.selectExpr(
+        "path", "start", "first", "coalesce(sum(n) OVER (PARTITION BY path ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before"
+    ).join(files, "path")
+    return lines.join(before, ["path", "start"]).selectExpr("path", "ordinal", "at - first + before + 1 AS line_no", "value").selectExpr(
+        "path", "ordinal", "line_no", f"ordinal * {1 << 40} + line_no AS row_no", "value"
     )
 
 
+def scan_delimited(spark: SparkSession, path: str | list[str], separator: str | None = None, encoding: str = "utf-8") -> DataFrame:
+    """A CSV or TSV table as text columns with its row numbers (`__row`): lines after the header of each file.
+
+    Blank lines are no rows, cells that short rows lack are NULL, and a quoted cell ends on its line.
+    """
+    first = path if isinstance(path, str) else path[0]
+    if separator is None:
+        separator = "\t" if first.lower().endswith(".tsv") else sniff_separator(spark, first, encoding)
+    lines = numbered_lines(spark, path, encoding)
+    head = lines.where("ordinal = 0 AND line_no = 1").first()
+    cells = next(csv.reader([head["value"].lstrip("\ufeff")], delimiter=separator), []) if head else []
+    named = spark.createDataFrame([("", i, c) for i, c in enumerate(cells)], "table string, position int, header string")
+    names = [r["query_name"] for r in unique_headers(named).orderBy("position").collect()]
+    if not names:
+        return lines.selectExpr("row_no AS __row").limit(0)
+    fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    options = f"map('sep', {quoted([separator])}, 'escape', '\"')"
+    rows = lines.where("line_no > 1 AND trim(value) <> ''")
+    return rows.selectExpr("row_no - 1 AS __row", f"from_csv(value, {quoted([fields])}, {options}) AS r").selectExpr("__row", "r.*")
+
+
 def read_json_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """JSON-lines scan: bad lines are skipped and nested values stay JSON text.
 
     The header is the union of the keys of all lines, in the order met; with `sample`, of the first so many lines.
     """
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, path).select("row_no", "value")
     head = lines if sample is None else lines.where(F.col("row_no") <= sample)
     keys = head.selectExpr("row_no", "posexplode(json_object_keys(value)) AS (p, k)")
     # a row a key, whatever the number of lines
@@ -234,3 +247,32 @@ def hide_deleted(files: DataFrame, tombstones: DataFrame) -> DataFrame:
         .join(dead, "dead", "left_semi").select("path").distinct()
     )
     return files.join(hit, "path", "left_anti")
+
+
+TABLE_ROOT = r"^(.*?[.](?:parquet|csv|tsv|jsonl|ndjson))(?:/.*)?$"
+
+
+def read_folder(spark: SparkSession, folder: str, files: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """({table: rows}, documents) of a folder and its inventory. A table is a file, or a folder named like one.
+
+    Tables in text formats bring their row numbers along (`__row`). documents: (path, line_no, text), one row a line.
+    Names of tables reach the driver, names of files don't.
+    """
+    roots = files.selectExpr(f"lower(regexp_extract(path, {raw('(?i)' + TABLE_ROOT)}, 1)) AS folded", f"regexp_extract(path, {raw('(?i)' + TABLE_ROOT)}, 1) AS root")
+    tables = {}
+    for row in roots.where("root <> ''").groupBy("root").agg(F.first("folded").alias("folded")).orderBy("root").collect():
+        path, kind = f"{folder.rstrip('/')}/{row['root']}", row["folded"].rsplit(".", 1)[1]
+        if kind == "parquet":
+            tables[row["root"]] = spark.read.parquet(path)
+        elif kind in ("csv", "tsv"):
+            tables[row["root"]] = scan_delimited(spark, path)
+        else:
+            tables[row["root"]] = read_json_lines(spark, path).withColumnRenamed("row_no", "__row")
+    names = "{" + ",".join("*" + e for e in TEXT) + "}"
+    root = folder if ":" in folder else "file:" + folder
+    if files.where(f"extension IN ({quoted(TEXT)})").isEmpty():
+        documents = spark.createDataFrame([], "path string, line_no long, text string")
+    else:
+        lines = numbered_lines(spark, folder, pattern=names)
+        documents = lines.selectExpr(f"ltrim('/', replace(path, {quoted([root.rstrip('/')])}, '')) AS path", "line_no", "value AS text")
+    return tables, documents

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from linkweave.operators import cards as C
 from linkweave.operators import claims as V
 from linkweave.sources import files as X
@@ -57,3 +59,13 @@ def test_an_included_file_is_used_by_a_card_of_two_files(spark):
     assert V.coverage_rules(claims).count() == 0
     alone = V.coverage_rules(V.replace(claims, cards=claims.cards.drop("files"))).collect()
     assert [(r["rule"], r["subject"]) for r in alone] == [("included_file_unused", "b.csv")]
+
+
+def test_both_ways_of_hashing_agree(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"f{k % 2}" / f"{k}.txt").write_bytes(bytes(range(k * 7 + 1)) * 1000)
+    want = {f"f{k % 2}/{k}.txt": hashlib.sha256(bytes(range(k * 7 + 1)) * 1000).hexdigest() for k in range(5)}
+    for limit in (1 << 20, 10_000, -1):
+        got = {r["path"]: r["sha256"] for r in X.inventory(spark, str(tmp_path), limit).collect()}
+        assert got == want
