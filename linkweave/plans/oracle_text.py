@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linkweave.config import WAREHOUSE_HEADERS
+from linkweave.sources.catalog import ROLE_TERMS
 
 SCHEMAS = {
     "region": "r_regionkey:i r_name:s",
@@ -42,11 +43,8 @@ def count_of(x: str, markers) -> str:
     return "(" + " + ".join(f"contains({x},{lit(m)})::int" for m in markers) + ")"
 
 
-def catalog_cte(tables=None) -> str:
-    """cat(tbl, position, name, key, kind, base) under the warehouse rules."""
-    rows = ", ".join(
-        f"('{t}',{i},'{c}')" for t in sorted(tables or COLUMNS) for i, (c, _) in enumerate(COLUMNS[t])
-    )
+def meaning_ctes(source: str, target: str) -> str:
+    """`target`: the rows of `source`, which have a name, with key, kind and base under the warehouse rules."""
     r = WAREHOUSE_HEADERS
     key = "regexp_replace(lower(regexp_replace(name,'^[a-z]{1,2}_','')),'[^a-z0-9]+','','g')"
     refers = any_of("key", r.reference)
@@ -70,9 +68,17 @@ def catalog_cte(tables=None) -> str:
         f" when kind='code' then {peel(r.code)} when kind='name' then {peel(r.name)} else key end"
     )
     return (
-        f"names(tbl,position,name) as (values {rows}), keyed as (select *, {key} as key from names),"
-        f" kinds as (select *, {kind} as kind from keyed), cat as (select *, {base} as base from kinds)"
+        f"{target}_keyed as (select *, {key} as key from {source}), {target}_kinds as (select *, {kind} as kind from {target}_keyed),"
+        f" {target} as (select *, {base} as base from {target}_kinds)"
+    )
+
+
+def catalog_cte(tables=None) -> str:
+    """cat(tbl, position, name, key, kind, base) under the warehouse rules."""
+    rows = ", ".join(
+        f"('{t}',{i},'{c}')" for t in sorted(tables or COLUMNS) for i, (c, _) in enumerate(COLUMNS[t])
     )
+    return f"names(tbl,position,name) as (values {rows}), {meaning_ctes('names', 'cat')}"
 
 
 # columns with a join kind under the warehouse rules
@@ -86,13 +92,13 @@ JOINABLE = {
 }
 
 
-def cells_cte(tables=None) -> str:
-    """cells(tbl, col, rn, v): valid normalised values of the joinable columns."""
+def cells_cte(tables=None, texts=()) -> str:
+    """cells(tbl, col, rn, v): valid normalised values of the joinable columns. A zero is no value, but in tables read as text."""
     parts = []
     for t in sorted(tables or JOINABLE):
         types = dict(COLUMNS[t])
         for c in JOINABLE[t]:
-            text = f"case when {c}=0 then '' else cast({c} as varchar) end" if types[c] in "id" else f"coalesce({c},'')"
+            text = f"case when {c}=0 and {t not in texts} then '' else coalesce(cast({c} as varchar),'') end" if types[c] in "id" else f"coalesce({c},'')"
             v = fold(f"regexp_replace({text},'\\s+','','g')")
             parts.append(f"select '{t}' as tbl, '{c}' as col, row_number() over () as rn, {v} as v from {t}")
     raw = " union all ".join(parts)
@@ -106,7 +112,7 @@ def cells_cte(tables=None) -> str:
     )
 
 
-def values_cte(tables=None) -> str:
+def values_cte(tables=None, texts=()) -> str:
     """vals: one row per (tbl, col, v) with fingerprint, preview, specificity and the catalog's columns."""
     spec = (
         "case when kind in ('email','phone','url') then 3 when kind in ('id','code','reference') then"
@@ -119,7 +125,7 @@ def values_cte(tables=None) -> str:
         " else left(v,4)||'...'||right(v,4) end"
     )
     return (
-        f"{catalog_cte()}, {cells_cte(tables)},"
+        f"{catalog_cte()}, {cells_cte(tables, texts)},"
         " dist as (select tbl,col,v,min(rn) as rn,count(*) as n from cells group by 1,2,3),"
         f" vals as (select d.*, position, key, kind, base, sha256(v) as fp, {preview} as preview, {spec} as spec,"
         " 'table:'||d.tbl||';row:'||d.rn||';column:'||d.col as loc from dist d join cat on d.tbl=cat.tbl and d.col=cat.name)"
@@ -140,9 +146,8 @@ def relation_id(s: str, t: str, kind: str, sc: str, tc: str) -> str:
     return f"'R-'||left(sha1(concat_ws(chr(0),{s},{t},{kind},{sc},{tc})),12)"
 
 
-OVERLAP = (
-    values_cte()
-    + ", prof as (select * from (select *, row_number() over (partition by tbl,col order by fp) as r from vals) where r<=128),"
+OVERLAP_STEPS = (
+    ", prof as (select * from (select *, row_number() over (partition by tbl,col order by fp) as r from vals) where r<=128),"
     " pairs as (select a.fp, a.tbl as s, b.tbl as t, a.col as sc, b.col as tc, a.loc as sl, b.loc as tl, a.preview as sp,"
     f" b.preview as tp, a.spec as ss, b.spec as ts, {compat('a', 'b')} as compat from prof a join prof b on a.fp=b.fp and a.tbl<b.tbl),"
     " good as (select *, least(ss,ts) as spec, count(*) over w as shared, row_number() over (w order by fp) as seq"
@@ -159,7 +164,77 @@ OVERLAP = (
     " count(*) as evidence_count, 0::bigint as omitted_evidence_count from ev group by rid,s,t,type,sc,tc)"
 )
 
+OVERLAP = values_cte() + OVERLAP_STEPS
+
 REL_COLUMNS = (
     "id, source, target, type, direction, verdict, confidence, source_column, target_column, explanation,"
     " evidence_count, omitted_evidence_count"
 )
+
+# Text columns whose rows hold entities, tables of numbers left out.
+TEXT_ROWS = {t: [c for c, k in cols if k == "s"] for t, cols in COLUMNS.items() if any(k == "s" for _, k in cols)}
+
+
+def discovery_ctes() -> str:
+    """The directed probe as SQL, for data with one table at most above the seed budget: seeds, their links, its probe, sample overlaps.
+
+    Ends in `links`, `ev` (evidence once) and `found` (relations).
+    """
+    counts = " union all ".join(f"select '{t}' as tbl, count(*) as n, count(*)*{len(COLUMNS[t])} as cells from {t}" for t in COLUMNS)
+    joined = " union all ".join(
+        f"select '{t}' as tbl, row_number() over () as rn, concat_ws(chr(9), {', '.join(f'nullif({c},chr(32))' for c in cols)}) as x from {t}" for t, cols in TEXT_ROWS.items()
+    )
+    clean = "lower(regexp_replace(regexp_replace({0}, '[.,;:!?)]+$', ''), '\\s+', '', 'g'))"
+    label = "([A-Za-z][A-Za-z0-9_ -]{1,30})\\s*[:#]\\s*([A-Za-z0-9][A-Za-z0-9_./-]{3,80})"
+    found = (
+        f"select tbl, rn, 'email' as sk, 'email' as name, {clean.format('m')} as v from (select tbl, rn, unnest(regexp_extract_all(x, '(?i)[\\w.+-]{{1,64}}@[a-z0-9-]+(?:\\.[a-z0-9-]+)+')) as m from rt)"
+        f" union all select tbl, rn, 'url', 'url', {clean.format('m')} from (select tbl, rn, unnest(regexp_extract_all(x, '(?i)https?://[^\\s<>\"'']{{6,300}}')) as m from rt)"
+        f" union all select tbl, rn, 'label', l, lower(m) from (select tbl, rn, unnest(regexp_extract_all(x, '{label}', 1)) as l, unnest(regexp_extract_all(x, '{label}', 2)) as m from rt)"
+    )
+    spec = (
+        "case when {k} in ('email','phone','url','uuid') then 3 when {k} in ('id','code','reference','labeled_value') then"
+        " case when length(v)>=8 or (regexp_matches(v,'[a-z]') and regexp_matches(v,'[0-9]')) then 3 else 2 end when length(v)>=8 then 2 else 1 end"
+    )
+    scored = (
+        "round(least(0.99, 0.82+0.12*c+0.015*spec),3) as confidence,"
+        " case when (c>=0.95 and spec>=2) or (c>=0.82 and spec>=3) then 'confirmed' else 'supported_hypothesis' end as verdict"
+    )
+    ends = ", ".join(f"{p}.{c} as {p}_{c}" for p in "st" for c in ("tbl", "col", "loc", "preview", "spec"))
+    hit = f"{ends}, t.fp, {{compat}} as raw, least(s.spec, t.spec) as sp"
+    order = {"rid": relation_id("a_tbl", "b_tbl", "type", "a_col", "b_col")}
+    swapped = ", ".join(f"case when s_tbl>t_tbl then {p}_{c} else {q}_{c} end as {e}_{c}" for p, q, e in (("t", "s", "a"), ("s", "t", "b")) for c in ("tbl", "col", "loc", "spec"))
+    return (
+        f"{values_cte()}{OVERLAP_STEPS}, sized as ({counts}),"
+        f" placed as (select tbl, row_number() over (order by {count_of('tbl', ROLE_TERMS)} desc, cells, tbl) as place from sized where cells<=100000),"
+        " cand_c as (select fp, tbl, col, key, kind, base, loc, preview, spec, printf('%06d/0/%04d/%s', place, position, fp) as ord"
+        " from (select *, row_number() over (partition by tbl,col order by fp) as r from vals) join placed using (tbl) where r<=256),"
+        f" rt as ({joined}), te as (select tbl, sk, name, v, min(rn) as rn from ({found}) group by all),"
+        f" {meaning_ctes('te', 'tm')},"
+        " tk as (select tbl, name as col, v, rn, sha256(v) as fp, case when sk<>'label' then sk else key end as key,"
+        " case when sk<>'label' then sk when kind='other' then 'labeled_value' else kind end as kind, case when sk<>'label' then sk else base end as base from tm),"
+        " tf as (select * from (select *, row_number() over (partition by tbl, fp order by rn, col, kind) as k from tk) where k=1),"
+        f" cand_t as (select fp, tbl, col, key, kind, base, 'table:'||tbl||';row:'||rn as loc, '' as preview, {spec.format(k='kind')} as spec,"
+        " printf('%06d/1/0000/%s', place, fp) as ord from (select *, row_number() over (partition by tbl order by fp) as r from tf) join placed using (tbl) where r<=2000),"
+        " cand as (select * from cand_c union all select * from cand_t),"
+        " adm as (select fp from cand group by fp order by min(ord), fp limit 20000),"
+        " seeds as (select * from (select *, row_number() over (partition by fp order by ord, loc) as k from cand where fp in (select fp from adm)) where k<=4),"
+        f" ss as (select {hit.format(compat=compat('s', 't'))}, '0/'||t.ord as seq, 'Exact normalized values match across compatible columns (column compatibility %.2f).' as n"
+        " from cand t join seeds s on s.fp=t.fp and s.ord<t.ord and s.tbl<>t.tbl),"
+        f" pc as (select x.tbl, x.col, x.rn, x.v, cat.position, cat.key, cat.kind, cat.base, sha256(v) as fp, '' as preview, {spec.format(k='cat.kind')} as spec,"
+        " 'table:'||x.tbl||';row:'||x.rn||';column:'||x.col as loc from cells x join cat on x.tbl=cat.tbl and x.col=cat.name where x.tbl not in (select tbl from placed)),"
+        f" ph as (select {hit.format(compat=compat('s', 't'))}, t.rn, t.position from pc t join seeds s on s.fp=t.fp and s.tbl<>t.tbl),"
+        " pn as (select *, dense_rank() over (partition by t_tbl, fp order by rn, position) as cr, count(*) over (partition by t_tbl, fp order by rn, position) as upto,"
+        " count(*) over (partition by t_tbl, fp, rn, position) as own from ph where raw>=0.70 or sp>=3),"
+        " pm as (select * exclude (cr, upto, own) from pn where cr<=50 and upto-own<50),"
+        " pp as (select * exclude (rn, position), printf('1/%06d/%020d/%06d', 1, rn, position) as seq,"
+        " 'A bounded seed exactly matches this candidate column (column compatibility %.2f).' as n from pm),"
+        f" seeded as (select *, {scored} from (select *, greatest(raw, 0.78) as c, sp as spec from (select * from ss union all select * from pp) where raw>=0.70 or sp>=3)),"
+        " links as (select s_tbl, t_tbl, s_col, t_col, s_loc, t_loc, s_spec, t_spec, fp, 'seeded_value_link' as type, confidence, verdict, printf(n, c) as note, seq from seeded"
+        " union all select s, t, sc, tc, sl, tl, ss, ts, fp, type, confidence, verdict, note, '2/'||lpad(seq::varchar, 20, '0') from ev),"
+        f" canon as (select {swapped}, fp, type, confidence, verdict, note, seq from links), keyed_links as (select *, {order['rid']} as rid from canon),"
+        " once as (select * from (select *, row_number() over (partition by rid, fp, a_loc, b_loc order by seq, note) as k from keyed_links) where k=1),"
+        " found as (select rid as id, a_tbl as source, b_tbl as target, type, 'undirected' as direction,"
+        " case when bool_or(verdict='confirmed') then 'confirmed' else 'supported_hypothesis' end as verdict, max(confidence) as confidence,"
+        " a_col as source_column, b_col as target_column, arg_min(note, (seq, fp, a_loc, b_loc)) as explanation, count(*) as evidence_count,"
+        " greatest(count(*)-12, 0)::bigint as omitted_evidence_count from once group by rid, a_tbl, b_tbl, type, a_col, b_col)"
+    )

@@ -20,6 +20,7 @@ from linkweave.operators.occurrences import (
 from linkweave.plans import discovery as D
 from linkweave.plans import oracle_text as O
 from linkweave.plans.registry import query
+from linkweave.plans.store import Store
 from linkweave.plans.tables import read_table, read_tables
 from linkweave.session import cut_lineage, fresh_folder
 from linkweave.sources import catalog as S
@@ -534,17 +535,58 @@ def expandable_columns(spark, folder):
     return L.expandable_columns(catalog, opened, stats).select("table", "column", "ratio")
 
 
-@query()
+@query(f"with {O.discovery_ctes()} select {O.REL_COLUMNS} from found")
 def directed_discovery(spark, folder):
     """The whole directed probe: seeds, greedy scans, follow-up seeds, sample overlaps, relations."""
     return D.discover(spark, read_tables(spark, folder), RULES)["relations"]
 
 
-@query()
+@query(
+    f"with {O.discovery_ctes()}, opened as (select tbl from sized where tbl not in (select tbl from placed)),"
+    " fr as (select tbl, col, fp from pc where exists (select 1 from pm where pm.t_tbl=pc.tbl and pm.rn=pc.rn) group by 1,2,3),"
+    " fk as (select * from (select *, row_number() over (partition by tbl, col order by fp) as r from fr) where r<=128)"
+    f" select count(*) as tables, count(*) as completed, {len(O.JOINABLE)} as readable, (select count(*) from opened) as probe_steps, sum(n)::bigint as rows_scanned,"
+    " (select count(*) from pm) as matches, (select count(*) from fk) as frontier_values, 'complete' as status, (select count(distinct fp) from seeds) as seed_values,"
+    " (select count(*) from prof) as profile_values, (select count(*) from found) as relations, (select count(*) from found where verdict='confirmed') as confirmed from sized"
+)
 def discovery_coverage(spark, folder):
     return D.coverage(D.discover(spark, read_tables(spark, folder), RULES))
 
 
+@query(f"with {O.discovery_ctes()} select {O.REL_COLUMNS}, true as second_run_read_nothing from found")
+def resumed_discovery(spark, folder):
+    """A discovery run again with the passes its first run has kept: the same relations, and no table is read."""
+    tables, kept = read_tables(spark, folder), fresh_folder(spark, "kept")
+    D.discover(spark, tables, RULES, store=Store(spark, kept))
+    store = Store(spark, kept)
+    rows = D.discover(spark, tables, RULES, store=store)["relations"]
+    return rows.withColumn("second_run_read_nothing", F.lit(not store.made))
+
+
+MIXED = {"customer": "csv", "nation": "tsv", "supplier": "jsonl", "region": "csv", "part": "ndjson"}
+"""Tables written in text formats; the others stay Parquet."""
+
+
+def mixed_folder(spark, folder, names=tuple(O.JOINABLE)) -> str:
+    """The tables of a folder, some of them as text."""
+    out = fresh_folder(spark, "mixed")
+    for name in names:
+        df, kind = read_table(spark, folder, name), MIXED.get(name, "parquet")
+        if kind in ("csv", "tsv"):
+            df.write.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(f"{out}/{name}.{kind}")
+        else:
+            (df.write.parquet if kind == "parquet" else df.write.json)(f"{out}/{name}.{kind}")
+    return out
+
+
+@query(f"with {O.values_cte(texts=MIXED)}{O.OVERLAP_STEPS} select {O.REL_COLUMNS} from rel")
+def mixed_folder_relations(spark, folder):
+    """Relations of a folder of Parquet, CSV, TSV and JSON-lines tables; text keeps its zeros."""
+    out = mixed_folder(spark, folder)
+    tables, _ = X.read_folder(spark, out, X.inventory(spark, out))
+    return D.profile_relations(spark, {name.split(".")[0]: df for name, df in tables.items()}, RULES)
+
+
 @query(
     "with f as (select doc_id, sha256(text) as sha256 from documents), g as (select sha256, min(doc_id) as source, count(*) as copies from f group by 1 having count(*)>1)"
     f" select {O.relation_id("printf('%010d', source)", "printf('%010d', doc_id)", O.lit('exact_duplicate'), O.lit('whole-file'), O.lit('whole-file'))} as id,"
