@@ -43,13 +43,14 @@ def column_overlap(profiles: DataFrame, threshold: float = 0.72) -> DataFrame:
     """Pairs (s_, t_) of sample rows of different files that share a fingerprint, with compat and spec.
 
     The samples hold one row per (column, value), at most k per column, so a value that fills a third of
-    a table is a single row here. The compatibility test is part of the join: only real links leave it.
+    a table is a single row here. Rows meet by fingerprint and by a label of compatibility, so a value that stands in thousands
+    of columns makes a row only for those pairs of columns that agree. Two columns may share several labels; each label has a
+    score of its own, and the pair is taken under the one that is its compatibility.
     """
-    pairs = side(profiles, "s").join(side(profiles, "t"), "fingerprint").where("s_file < t_file")
-    scored = pairs.selectExpr(
-        "*", f"{compatibility('s', 't')} AS compat", "least(s_specificity, t_specificity) AS spec"
-    )
-    return scored.where(f"compat >= {threshold}")
+    labelled = profiles.selectExpr("*", f"inline({compatibility_groups()})").where(f"score >= {threshold}")
+    pairs = side(labelled, "s", "label", "score").join(side(labelled, "t", "label"), ["fingerprint", "label"]).where("s_file < t_file")
+    scored = pairs.selectExpr("* EXCEPT (label)", f"{compatibility('s', 't')} AS compat").where("compat = score")
+    return scored.selectExpr("* EXCEPT (score)", "least(s_specificity, t_specificity) AS spec")
 
 
 def profile_links(profiles: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import quote, when
+from linkweave.session import cut_lineage
 
 
 def with_norm(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -26,60 +30,137 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str =
     return scored.drop("vector", "norm").orderBy(F.desc("similarity"), key).limit(k)
 
 
-QUERY_VALUES = 4_000_000
+BLOCK_QUERIES = 2048
+"""Queries that meet the chunks at a time; their vectors are one row."""
+
+BLOCK_VALUES = 1 << 20
+"""Numbers of a block of chunks."""
+
+
+def _matrix(vectors: pa.Array, count: int) -> np.ndarray:
+    """Rows of unit length of a list array. All vectors have one length."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(count, -1) if count else flat.reshape(0, 1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, queries: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, score) of the k best of each row of scores, equal scores by chunk; a query is not its own result."""
+    scores = np.where(queries[:, None] == chunks[None, :], -2.0, np.round(scores, 6))
+    at = max(scores.shape[1] - k, 0)
+    least = np.partition(scores, at, axis=1)[:, at]
+    q, c = np.nonzero((scores >= least[:, None]) & (scores > -2.0))  # with all that tie with the last
+    order = np.lexsort((chunks[c], -scores[q, c], q))
+    q, c = q[order], c[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return queries[q[first]], chunks[c[first]], scores[q[first], c[first]]
+
+
+def chunk_blocks(vectors: DataFrame, key: str) -> DataFrame:
+    """(ids, vectors): rows of many chunks each, packed where they are read."""
+
+    def pack(batches):
+        for batch in batches:
+            width = max(len(batch.column(1).flatten()) // max(batch.num_rows, 1), 1)
+            for low in range(0, batch.num_rows, max(BLOCK_VALUES // width, 1)):
+                part = batch.slice(low, max(BLOCK_VALUES // width, 1))
+                yield pa.RecordBatch.from_arrays([_one(part.column(0)), _one(part.column(1))], names=["ids", "vectors"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    return rows.mapInArrow(pack, "ids array<long>, vectors array<array<double>>")
+
+
+def _one(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def vector_top_k_many(
     vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id"
 ) -> DataFrame:
-    """Top-k of many queries over all chunks, exact, without shuffling a chunk or forming a pair row.
+    """Top-k of many queries over all chunks, exact, without forming a pair row.
 
-    Each task multiplies its chunks with a block of queries, batch by batch, and keeps k per query; only those
-    are merged. The queries travel to the tasks in blocks of QUERY_VALUES numbers, each with one pass over the chunks.
+    Queries are dealt into blocks of BLOCK_QUERIES, one row each, and blocks of chunks meet blocks of queries in an equi-join on the
+    block's number: Spark broadcasts the queries while they are small and else deals the blocks out. Each meeting is one product of
+    matrices that leaves k rows a query; only those are ranked again. Nothing but a count reaches the driver.
     """
-    asked = queries.select(F.col(query_key).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    values = asked.agg(F.sum(F.size("vector"))).first()[0] or 0
-    blocks = max(1, -(-values // QUERY_VALUES))
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
-        part = _block_top_k(vectors, rows, k, key, query_key)
-        found = part if found is None else found.unionAll(part)
-    return found
-
-
-def _block_top_k(vectors: DataFrame, rows: list, k: int, key: str, query_key: str) -> DataFrame:
-    ids = [row["id"] for row in rows]
-    schema = f"{query_key} long, {key} long, similarity double"
-    if not ids:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    matrix = np.array([row["vector"] for row in rows], dtype="float64")
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def best(batches):
-        kept = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            block = np.array(batch["vector"].tolist(), dtype="float64")
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-            scores = np.round(matrix @ block.T, 6)
-            chunk_ids = batch[key].to_numpy()
-            frames = [] if kept is None else [kept]
-            for i, query in enumerate(ids):
-                row = np.where(chunk_ids == query, -2.0, scores[i])  # a query is not its own result
-                order = np.lexsort((chunk_ids, -row))[:k]
-                frames.append(pd.DataFrame({query_key: query, key: chunk_ids[order], "similarity": row[order]}))
-            kept = pd.concat(frames).sort_values([query_key, "similarity", key], ascending=[True, False, True])
-            kept = kept[kept["similarity"] > -2.0].groupby(query_key).head(k)
-        if kept is not None:
-            yield kept
-
-    chunks = vectors.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    ranked = chunks.mapInPandas(best, schema).selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank"
+    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    packed = cut_lineage(
+        asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.expr("array_sort(collect_list(struct(id, vector))) AS asked"))
+        .selectExpr("block", "asked.id AS query_ids", "asked.vector AS queries"), "queries",
     )
-    return ranked.where(f"rank <= {k}")
+    meetings = chunk_blocks(vectors, key).withColumn("block", F.expr(f"explode(sequence(0L, {blocks - 1}L))")).join(packed, "block")
+
+    def score(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vectors, query_ids, queries = (batch.column(c)[row].values for c in ("ids", "vectors", "query_ids", "queries"))
+                asked, chunks = query_ids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+                q, c, s = _best(_matrix(queries, len(asked)) @ _matrix(vectors, len(chunks)).T, asked, chunks, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=[query_key, key, "similarity"])
+
+    best = meetings.select("ids", "vectors", "query_ids", "queries").mapInArrow(score, f"{query_key} long, {key} long, similarity double")
+    return best.selectExpr("*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank").where(f"rank <= {k}")
+
+
+@dataclass(frozen=True)
+class HyperplaneRules:
+    tables: int = 12
+    """Independent sets of planes: a chunk stands in one bucket of each."""
+    probes: int = 4
+    """Further buckets a table that a query looks into: those across the planes it lies nearest to."""
+    bucket: int = 64
+    """Chunks a bucket to aim at; sets the number of planes from the number of chunks."""
+    seed: int = 7
+
+
+def _bucketed(rows: DataFrame, bits: int, rules: HyperplaneRules, probes: int) -> DataFrame:
+    """(id, bucket) of rows (id, vector): the sides of the planes that a vector lies on, and its next best sides."""
+
+    def place(batches):
+        turn = np.random.default_rng(rules.seed)
+        planes = None
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column(1), len(ids))
+            if planes is None and len(ids):
+                planes = turn.standard_normal((x.shape[1], rules.tables * bits))
+            for t in range(rules.tables if len(ids) else 0):
+                side = x @ planes[:, t * bits : (t + 1) * bits]
+                code = (side > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                near = np.argsort(np.abs(side), axis=1)[:, :probes]
+                codes = np.column_stack([code, *(code ^ (1 << near[:, p].astype(np.int64)) for p in range(min(probes, bits)))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, codes.shape[1])), pa.array((t << 48) + codes.ravel())], names=["id", "bucket"]
+                )
+
+    return rows.mapInArrow(place, "id long, bucket long")
+
+
+def vector_top_k_probed(
+    vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", rules: HyperplaneRules = HyperplaneRules()
+) -> DataFrame:
+    """Top-k of many queries among the chunks that share a bucket of random hyperplanes with them, by their exact similarity.
+
+    Every chunk is indexed. A query meets the buckets on its own sides of the planes and those across its nearest planes, so the work a query
+    grows with the size of the buckets and not with the chunks; a few neighbours may be missed (see vector_recall).
+    """
+    chunks = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    bits = min(40, max(1, math.ceil(math.log2(max(chunks.count(), 2) / rules.bucket)))) if rules.bucket else 1
+    index = _bucketed(chunks, bits, rules, 0)
+    probes = _bucketed(asked, bits, rules, rules.probes).withColumnRenamed("id", query_key)
+    pairs = probes.join(index.withColumnRenamed("id", key), "bucket").where(F.col(query_key) != F.col(key)).select(query_key, key).distinct()
+    unit = "transform(vector, x -> x / greatest(sqrt(aggregate(vector, 0D, (a, y) -> a + y * y)), 1e-300D))"
+    met = pairs.join(chunks.selectExpr(f"id AS {key}", f"{unit} AS c"), key).join(asked.selectExpr(f"id AS {query_key}", f"{unit} AS q"), query_key)
+    scored = met.selectExpr(query_key, key, "round(aggregate(zip_with(c, q, (a, b) -> a * b), 0D, (a, x) -> a + x), 6) AS similarity")
+    return scored.selectExpr("*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank").where(f"rank <= {k}")
+
+
+def vector_recall(exact: DataFrame, found: DataFrame, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
+    """(wanted, met, recall): how many of the exact neighbours an approximate search has found."""
+    both = exact.select(query_key, key).join(found.select(query_key, key, F.lit(1).alias("hit")), [query_key, key], "left")
+    return both.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("met")).selectExpr("*", "met / greatest(wanted, 1) AS recall")
 
 
 def assemble_context(hits: DataFrame, group: list[str] | None = None) -> DataFrame:

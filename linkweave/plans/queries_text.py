@@ -420,10 +420,30 @@ def vector_top_k(spark, folder):
 )
 def vector_top_k_many(spark, folder):
     """Five nearest chunks of each query; the vectors numbered like a supplier are the queries."""
+    return R.vector_top_k_many(*chunks_and_queries(spark, folder), 5).select("query_id", "rank", "similarity")
+
+
+def chunks_and_queries(spark, folder) -> tuple[DataFrame, DataFrame]:
     chunks = read_table(spark, folder, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     suppliers = read_table(spark, folder, "supplier").selectExpr("s_suppkey AS chunk_id")
-    queries = chunks.join(suppliers, "chunk_id", "left_semi").selectExpr("chunk_id AS query_id", "embedding")
-    return R.vector_top_k_many(chunks, queries, 5).select("query_id", "rank", "similarity")
+    return chunks, chunks.join(suppliers, "chunk_id", "left_semi").selectExpr("chunk_id AS query_id", "embedding")
+
+
+@query(
+    "with q as (select count(*) as n from embeddings join supplier on vec_id=s_suppkey)"
+    " select n * least(5, (select count(*) - 1 from embeddings)) as wanted, true as recalled from q"
+)
+def vector_probe_recall(spark, folder):
+    """Whether the search by hyperplane buckets finds nine in ten of the exact five neighbours of all queries."""
+    chunks, queries = chunks_and_queries(spark, folder)
+    exact = cut_lineage(R.vector_top_k_many(chunks, queries, 5))
+    return R.vector_recall(exact, R.vector_top_k_probed(chunks, queries, 5)).selectExpr("wanted", "recall >= 0.9 AS recalled")
+
+
+@query()
+def vector_top_k_probed(spark, folder):
+    """Five near chunks of each query from the buckets of random hyperplanes, by exact similarity."""
+    return R.vector_top_k_probed(*chunks_and_queries(spark, folder), 5).select("query_id", "chunk_id", "rank", "similarity")
 
 
 @query(
