@@ -67,7 +67,8 @@ def repeated_lines(documents: DataFrame, rules: LineRules = LineRules(), key: st
     held = found.groupBy("a", "b").agg(
         (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("documents"), F.max("id").alias("keeper")
     )
-    return found.join(held.where(f"documents >= {rules.min_documents}"), ["a", "b"])
+    # written too: joined as an aggregate, a line with many places could not be split among tasks
+    return found.join(cut_lineage(held.where(f"documents >= {rules.min_documents}"), "held"), ["a", "b"])
 
 
 def deduplicated(documents: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
