@@ -15,6 +15,7 @@ from linkweave.plans.tables import read_table, read_tables
 from linkweave.session import cut_lineage, fresh_folder
 from linkweave.sources import catalog as S
 from linkweave.streaming import jobs as J
+from linkweave.streaming import ordered as Z
 from linkweave.streaming import state as V
 
 # One text for both engines: events as the log of agent runs. Every value is made from a row's own columns.
@@ -488,13 +489,95 @@ def session_counts(spark, folder):
     return J.session_counts(read_table(spark, folder, "events").selectExpr("user_id AS run_id", "ts"))
 
 
-@query(f"with {RUN} select run_id as scope, call_id, count(*) > 0 as seen from ev group by 1,2")
+# Rows as they arrive: each up to a quarter of the whole span after its time, in five files, so a batch each; a last row far
+# ahead closes the stream.
+_DELAY, _FILES = 0.25, 5
+
+
+def arrivals(spark, rows: DataFrame, closing: dict[str, str]) -> tuple[DataFrame, str]:
+    """(stream, lateness that lets all of it through) of rows with ts and seq; `closing` has the columns of the last row (SQL)."""
+    out, rows = fresh_folder(spark, "arrivals"), cut_lineage(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    delay = max(1, int((high - low) * _DELAY))
+    width = max(1, (high - low + delay) // _FILES + 1)
+    placed = rows.withColumn("file", F.expr(f"(unix_micros(ts) - {low} + pmod(xxhash64(seq), {delay})) div {width}"))
+    for n in range(_FILES):
+        placed.where(f"file = {n}").drop("file").coalesce(1).write.parquet(f"{out}/events.parquet/{n}")
+    last = rows.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(high + 1000 * width)), **{c: F.expr(x) for c, x in closing.items()}})
+    last.coalesce(1).write.parquet(f"{out}/events.parquet/{_FILES}")
+    return J.table_stream(spark, out, "events", files_per_batch=1), f"{(delay + width) // 1_000_000 + 1} seconds"
+
+
+@query(
+    f"with {RUN}, a as ({_ATT}), i as (select *, sha256(concat_ws(chr(0), name, arguments)) as input from a),"
+    " f as (select *, first_value(input) over (partition by scope, call_id order by seq) as fi, row_number() over (partition by scope, call_id order by seq) as rn from i),"
+    " d as (select *, min(seq) filter (status='succeeded' and input=fi) over (partition by scope, call_id) as done from f),"
+    " k as (select scope, call_id, result as kept from d where seq=done)"
+    " select scope, call_id, seq, case when rn=1 then 'execute' when input<>fi then 'collision' when done<seq then 'replay' when retry_safe then 'retry' else 'uncertain' end as answer,"
+    " case when rn>1 and input=fi and done<seq then kept end as result from d left join k using (scope, call_id)"
+)
 def streamed_ledger(spark, folder):
-    """Each call once, replays inside the watermark dropped by the stream."""
+    """Answers of a ledger on a stream whose attempts come out of order: the stored result is replayed, other inputs collide."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    calls = spark.sql(_ATT.replace("from ev", "from {ev}"), ev=runs(spark, folder)).withColumn("ts", F.expr("timestamp_seconds(1700000000 + seq * 60)"))
+    stream, late = arrivals(spark, calls, {"scope": "-1L"})
     out = fresh_folder(spark, "calls")
-    calls = run_stream(spark, folder).withColumnRenamed("run_id", "scope")
-    J.run_to_folder(J.once_per_call(calls, "60 days").select("scope", "call_id"), out)
-    return J.read_batches(spark, out).selectExpr("scope", "call_id", "true AS seen")
+    J.run_to_folder(Z.ledger_stream(stream, late), out)
+    return J.read_batches(spark, out).select("scope", "call_id", "seq", "answer", "result")
+
+
+@query(RATES + ' select user_id, t as "at", accepted, retry_after from f')
+def ordered_rate_limits(spark, folder):
+    """The rate limit on a stream of requests that come out of order: the same answers as in batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    requests = read_table(spark, folder, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("seq"))
+    stream, late = arrivals(spark, requests, {"user_id": "-1L"})
+    out = fresh_folder(spark, "limits")
+    J.run_to_folder(Z.ordered_rate_limits(stream, late), out)
+    return J.read_batches(spark, out).select("user_id", "at", "accepted", "retry_after")
+
+
+@query(
+    f"with {RUN} select task_id, count(*) as revision, case max_by(action,seq) when 'complete' then 'completed' when 'block' then 'blocked' when 'plan' then 'planned' else 'running' end as status, {_FOLD} from ev where type='agent_progress' group by 1"
+)
+def ordered_task_states(spark, folder):
+    """Progress states folded by a stream in the order of the events and not of their arrival."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    events = runs(spark, folder).where("type = 'agent_progress'").withColumn("why", F.lit("")).withColumn("ts", F.expr("timestamp_seconds(1700000000 + seq * 60)"))
+    stream, late = arrivals(spark, events.select("task_id", "ts", "seq", "action", "artifact", *H.FIELD_CHARS), {"task_id": "-1L"})
+    out = fresh_folder(spark, "tasks")
+    J.run_to_folder(Z.ordered_progress(stream, late), out)
+    fields = [f for f in H.FIELD_CHARS if f != "why"]
+    last = J.read_batches(spark, out).groupBy("task_id").agg(F.expr(f"max_by(struct(revision, status, {', '.join(fields)}), revision) AS v"))
+    return last.select("task_id", "v.*")
+
+
+@query(f"with {RUN} select time_bucket(interval '1 hour', ts) as window_start, type, status, count(*) as events, true as some_late from ev group by 1,2,3")
+def counts_with_late_rows(spark, folder):
+    """Events per hour from rows on time and those that came after their hour had closed, kept aside and added later."""
+    rows = runs(spark, folder).select("ts", "seq", "type", "status")
+    stream, _ = arrivals(spark, rows, {"type": "'close'"})
+    out = fresh_folder(spark, "late-counts")
+    J.counts_with_late(stream, out, late="1 day")
+    some = J.late_rows(spark, out).limit(1).count() == 1
+    return J.merged_counts(spark, out).where("type <> 'close'").withColumns({
+        "window_start": F.col("window_start").cast("timestamp_ntz"), "some_late": F.lit(some)
+    })
+
+
+@query(
+    "with s as (select user_id as run_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as opens from events),"
+    " n as (select *, sum(opens) over (partition by run_id order by ts rows unbounded preceding) as n from s)"
+    " select run_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as events from n group by run_id, n"
+)
+def streamed_sessions(spark, folder):
+    """Sessions of users from a stream whose events come out of order; a session is written once it can't grow."""
+    rows = read_table(spark, folder, "events").selectExpr("user_id AS run_id", "ts", "event_id AS seq")
+    stream, late = arrivals(spark, rows, {"run_id": "-1L"})
+    out = fresh_folder(spark, "sessions")
+    J.run_to_folder(J.session_counts(stream, late=late), out)
+    found = J.read_batches(spark, out).select("run_id", "session_start", "session_end", "events")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query(

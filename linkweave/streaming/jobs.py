@@ -80,7 +80,7 @@ def probe_stream(
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour", keys=("type", "status")) -> DataFrame:
-    """Events and calls per tumbling window; rows later than the watermark are left to `late_rows`."""
+    """Events and calls per tumbling window; rows later than the watermark are lost here, counts_with_late keeps them."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("events"), F.approx_count_distinct("call_id").alias("calls")
     ).selectExpr("w.start AS window_start", *keys, "events", "calls")
@@ -93,6 +93,42 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     ).selectExpr(key, "w.start AS session_start", "w.end AS session_end", "events")
 
 
+def counts_with_late(stream: DataFrame, out: str, window: str = "1 hour", late: str = "1 hour", keys: tuple[str, ...] = ("type", "status")) -> None:
+    """Counts per window, batch by batch; rows whose window has closed when they come are kept aside whole, in `out`/late.
+
+    A window closes when the newest time of earlier batches, less `late`, has passed its end. Each batch leaves partial counts, its late rows
+    and the newest time so far in folders of its own, so a retry replaces them.
+    """
+    spark = stream.sparkSession
+
+    def split(batch: DataFrame, number: int) -> None:
+        mark = spark.read.parquet(f"{out}/mark/batch={number - 1}").first()["newest"] if number else None
+        placed = batch.withColumn("w", F.window("ts", window))
+        closed = F.coalesce(F.col("w.end") <= F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {late}"), F.lit(False))
+        marked = placed.withColumn("is_late", closed).persist()
+        marked.where("NOT is_late").groupBy(F.col("w.start").alias("window_start"), *keys).agg(F.count(F.lit(1)).alias("events")).write.mode(
+            "overwrite").parquet(f"{out}/counts/batch={number}")
+        marked.where("is_late").drop("w", "is_late").write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        marked.agg(F.greatest(F.max("ts"), F.lit(mark).cast("timestamp")).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{out}/mark/batch={number}")
+        marked.unpersist()
+
+    query = stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that came after their window had closed."""
+    return spark.read.parquet(f"{out}/late").drop("batch")
+
+
+def merged_counts(spark: SparkSession, out: str, window: str = "1 hour", keys: tuple[str, ...] = ("type", "status")) -> DataFrame:
+    """Counts of rows on time and late rows together."""
+    on_time = spark.read.parquet(f"{out}/counts").select("window_start", *keys, "events")
+    after = late_rows(spark, out).groupBy(F.window("ts", window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
+    both = on_time.unionByName(after.select(F.col("w.start").alias("window_start"), *keys, "events"))
+    return both.groupBy("window_start", *keys).agg(F.sum("events").alias("events"))
+
+
 def newest_batch(spark: SparkSession, out: str, keys: list[str], values: list[str]) -> DataFrame:
     """Final values of a stream in update mode: the newest batch of each key wins."""
     packed = f"max_by(struct({', '.join(values)}), batch)"

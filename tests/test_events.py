@@ -13,6 +13,7 @@ from linkweave.operators import preview as P
 from linkweave.operators import records as N
 from linkweave.session import cut_lineage, fresh_folder
 from linkweave.streaming import jobs as J
+from linkweave.streaming.ordered import ledger_stream
 from linkweave.streaming.state import fold_progress_stream
 
 
@@ -229,3 +230,61 @@ def test_progress_state(spark):
     assert (row["revision"], row["status"], row["objective"], row["title"], row["result"]) == (3, "completed", "goal", "U", "done")
     assert H.unique_tail(["a", "b"], ["a", " c ", ""], keep=2) == ["b", "c"]
     assert df.agg(F.count("*")).first()[0] == 3
+
+
+def shuffled_parts(rows, parts, turn):
+    """Rows (the first field a time in seconds) as they come with delays of up to 300 s, in files; then one that closes the stream."""
+    late = sorted(rows, key=lambda r: r[0] + turn.randrange(300))
+    size = -(-len(late) // parts)
+    return [late[k : k + size] for k in range(0, len(late), size)]
+
+
+def test_streams_answer_in_event_order(spark):
+    """Whatever the order of arrival within the lateness: the answers of a plain loop over the events in their order."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    turn = random.Random(4)
+    start = 1_700_000_000
+    calls = [
+        (start + 20 * n, 1, f"c{turn.randrange(6)}", n, "tool", f"a{turn.randrange(8) // 6}", turn.choice(["failed", "failed", "running", "succeeded"]), f"r{n}", turn.random() < 0.7)
+        for n in range(150)
+    ]
+    schema = "t long, scope long, call_id string, seq long, name string, arguments string, status string, result string, retry_safe boolean"
+    parts = shuffled_parts(calls, 4, turn)
+    assert [r[3] for p in parts for r in p] != sorted(r[3] for r in calls)
+    folder = files_of(spark, [*parts, [(start + 10**6, -1, "end", 0, "", "", "", "", True)]], schema)
+    out = fresh_folder(spark, "answers")
+    stream = J.table_stream(spark, folder, "events", files_per_batch=1).withColumn("ts", F.timestamp_seconds("t"))
+    J.run_to_folder(ledger_stream(stream, "2000 seconds"), out)
+    want, first, stored = set(), {}, {}
+    for t, scope, call, seq, name, given, status, result, safe in calls:
+        if call not in first:
+            first[call], answer, known = given, "execute", None
+        elif given != first[call]:
+            answer, known = "collision", None
+        else:
+            answer, known = ("replay", stored[call]) if call in stored else ("retry" if safe else "uncertain", None)
+        if status == "succeeded" and given == first[call]:
+            stored.setdefault(call, result)
+        want.add((scope, call, seq, answer, known))
+    got = J.read_batches(spark, out)
+    assert {tuple(r) for r in got.drop("batch").collect()} == want and {a[3] for a in want} == {"execute", "collision", "replay", "retry", "uncertain"}
+    assert got.select("batch").distinct().count() >= 3
+
+
+def test_late_rows_are_kept_and_merged(spark):
+    turn = random.Random(8)
+    rows = [(1_700_000_000 + 60 * turn.randrange(600), n, turn.choice("ab"), "x") for n in range(400)]
+    parts = [rows[k : k + 100] for k in range(0, 400, 100)]  # in no order of time at all
+    folder = files_of(spark, parts, "t long, seq long, type string, status string")
+    stream = J.table_stream(spark, folder, "events", files_per_batch=1).withColumn("ts", F.timestamp_seconds("t"))
+    out = fresh_folder(spark, "late")
+    J.counts_with_late(stream, out, "10 minutes", "1 hour")
+    # a row is late once an earlier batch has passed the end of its window by an hour
+    late, newest = set(), None
+    for part in parts:
+        late |= {r[1] for r in part if newest is not None and r[0] // 600 * 600 + 600 <= newest - 3600}
+        newest = max([r[0] for r in part] + ([newest] if newest else []))
+    assert late and {r["seq"] for r in J.late_rows(spark, out).collect()} == late
+    batch = spark.createDataFrame(rows, "t long, seq long, type string, status string").withColumn("ts", F.timestamp_seconds("t"))
+    want = batch.groupBy(F.window("ts", "10 minutes").start.alias("window_start"), "type", "status").agg(F.count("*").alias("events"))
+    assert sorted(map(str, J.merged_counts(spark, out, "10 minutes").collect())) == sorted(map(str, want.collect()))

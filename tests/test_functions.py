@@ -158,3 +158,35 @@ def test_business_roles(spark):
     assert [r[0] for r in one(spark, [(h,) for h in heads], "h string", business_role("h"))] == [
         "actor", "time", "state", "state", "measure", "object", "time",
     ]
+
+
+def test_vector_search_of_many_queries(spark):
+    """Exact in blocks, whatever their number, with ties by id; buckets find nine in ten of the same."""
+    import numpy as np
+
+    from linkweave.operators import search as R
+
+    turn = np.random.default_rng(3)
+    centres = turn.standard_normal((12, 16))
+    x = np.vstack([centres[k % 12] + 0.6 * turn.standard_normal(16) for k in range(600)])
+    x[40:60] = x[40]  # equal vectors
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id long, embedding array<double>").repartition(5)
+    chunks = chunks.unionByName(spark.createDataFrame([(999, None)], chunks.schema))
+    queries = chunks.where("chunk_id % 4 = 0").selectExpr("chunk_id AS query_id", "embedding")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 600, 4):
+        s = np.round(unit @ unit[q], 6)
+        want[q] = [(int(c), float(s[c])) for c in np.lexsort((np.arange(600), -s)) if c != q][:7]
+    for block in (R.BLOCK_QUERIES, 20):
+        R.BLOCK_QUERIES, kept = block, R.BLOCK_QUERIES
+        exact = R.vector_top_k_many(chunks, queries, 7)
+        got = {}
+        for r in exact.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["similarity"]))
+        R.BLOCK_QUERIES = kept
+        assert got == want
+    probed = R.vector_top_k_probed(chunks, queries, 7, rules=R.HyperplaneRules(bucket=16))
+    found = R.vector_recall(exact, probed).first()
+    assert found["wanted"] == 7 * 150 and found["recall"] >= 0.9
+    assert R.vector_top_k_many(chunks, queries.limit(0), 7).count() == R.vector_top_k_probed(chunks.limit(0), queries, 7).count() == 0

@@ -234,3 +234,19 @@ def test_late_json_keys_are_kept(spark, tmp_path):
     rows = read_json_lines(spark, str(tmp_path / "x.jsonl"))
     assert rows.columns == ["row_no", "a", "late"] and rows.count() == 150 and rows.where("late = 2").count() == 1
     assert read_json_lines(spark, str(tmp_path / "x.jsonl"), sample=100).columns == ["row_no", "a"]
+
+
+def test_a_value_of_many_columns_meets_by_label(spark):
+    """Only columns that agree make a row, once a pair, by the best of the labels they share."""
+    kinds = [("id", f"k{n}", f"b{n}") for n in range(40)] + [("other", f"o{n}", f"p{n}") for n in range(40)] + [("id", "k1", "b1"), ("name", "n", "b"), ("name", "m", "b")]
+    rows = [(f"t{n:02}", f"c{n}", key, kind, base, "l", "p", 3, "f" * 64) for n, (kind, key, base) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "table string, column string, key string, kind string, base string, locator string, preview string, specificity int, fingerprint string")
+    got = {(r["s_table"], r["t_table"]): r["compat"] for r in L.column_overlap(df).collect()}
+    assert L.column_overlap(df).count() == len(got)
+
+    def agreement(a, b):
+        (ka, ha, ba), (kb, hb, bb) = kinds[a], kinds[b]
+        return 1.0 if ha == hb else 0.96 if ba == bb else 0.82 if ka == kb == "id" else 0.76 if ka == kb == "name" else 0.0
+
+    want = {(f"t{a:02}", f"t{b:02}"): agreement(a, b) for a in range(len(kinds)) for b in range(a + 1, len(kinds))}
+    assert got == {pair: x for pair, x in want.items() if x >= 0.72}
