@@ -5,6 +5,10 @@ documents in two passes without a shuffle of texts. The first counts the documen
 An item's seeds are those n-grams that are not far more frequent than the item's usual ones, so an item
 always keeps at least half of its n-grams however often it was copied. The second pass aligns the item with the
 words around each seed; copies with changed, added or left out words score less, but are found.
+
+An n-gram is three words of four or five neighbours: which of them it leaves out is no part of it. So three words of the item meet
+the same three of the text where a word between them was changed, put in or left out, and a copy need not keep any three words in a
+row.
 """
 
 from __future__ import annotations
@@ -17,18 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.textbytes import MARKS, Words, pieces, runs, text_bytes
+from linkweave.llm.textbytes import MARKS, Words, mixed, pieces, text_bytes
 
 
 @dataclass(frozen=True)
 class LeakRules:
-    seed_words: int = 3
-    """Words an n-gram; a shorter item is one seed of all its words."""
+    least_words: int = 4
+    """Items with fewer words are found, but say too little to remove a document for."""
     frequent: float = 4.0
     """An n-gram in more documents than so many times the item's median, and in over `few`, is no seed."""
     few: int = 20
     least_score: float = 0.5
     """Share of the score of a full copy from which a text counts as holding the item."""
+    short_words: int = 8
+    short_score: float = 0.85
+    """The share asked of items with fewer words than that: nearly all of them."""
+    stretch_words: int = 30
+    """The score of so many words copied whole counts too, whatever the length of the item."""
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -36,6 +45,28 @@ class LeakRules:
     """Bound on the words of the items that are broadcast at a time."""
 
 
+ITEM_PICKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+TEXT_PICKS = (*ITEM_PICKS, (0, 2, 4))
+"""Which neighbours make an n-gram. Of an item that scores half, two words in three stand: some pick of it is whole."""
+
+
+def _picked(hashes: np.ndarray, owner: np.ndarray, pick: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the picked words at each place where they fit; the hash doesn't tell the pick."""
+    n = len(hashes) - pick[-1]
+    if n <= 0:
+        return np.zeros(0, np.int64), hashes[:0]
+    total = np.zeros(n, np.uint64)
+    for k in pick:
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    fits = np.flatnonzero(owner[:n] == owner[pick[-1] :])
+    return fits, mixed(total[fits] + np.uint64(len(pick)))
+
+
+def _picks(words: int, picks: tuple = ITEM_PICKS) -> tuple:
+    """The picks for items of so many words; one or two words are a pick of all."""
+    return picks if words >= 3 else (tuple(range(words)),)
+
+
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     words = Words(*text_bytes(texts, lower=True), MARKS)
     return words.hashes()[0], words.owner, words
@@ -55,16 +86,15 @@ class Items:
     def __post_init__(self):
         grams, item, place = [], [], []
         for k, words in enumerate(self.words):
-            width = min(self.rules.seed_words, len(words))
-            if width:
-                found = runs(words, np.zeros(len(words), np.int64), width)[1]
+            for pick in _picks(len(words)) if len(words) else ():
+                at, found = _picked(words, np.zeros(len(words), np.int64), pick)
                 grams.append(found)
                 item.append(np.full(len(found), k))
-                place.append(np.arange(len(found)))
+                place.append(at)
         grams, item, place = (np.concatenate([*x, np.zeros(0, kind)]) for x, kind in ((grams, np.uint64), (item, np.int64), (place, np.int64)))
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.place = grams[order], item[order], place[order]
-        self.widths = sorted({min(self.rules.seed_words, len(w)) for w in self.words if len(w)})
+        self.picks = sorted({pick for w in self.words if len(w) for pick in _picks(len(w), TEXT_PICKS)})
 
     def keep(self, chosen: np.ndarray) -> None:
         self.grams, self.item, self.place = self.grams[chosen], self.item[chosen], self.place[chosen]
@@ -78,12 +108,8 @@ class Items:
     def hits(self, hashes: np.ndarray, owner: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, first entry of that n-gram) of the n-grams of the block in the words of a batch."""
         at, entry = [], []
-        for width in self.widths:
-            if len(hashes) < width:
-                continue
-            n = len(hashes) - width + 1
-            fits = np.flatnonzero(owner[:n] == owner[width - 1 :])
-            grams = runs(hashes, owner, width)[1]
+        for pick in self.picks:
+            fits, grams = _picked(hashes, owner, pick)
             may = near[grams & np.uint64(0xFFFFF)]
             fits, grams = fits[may], grams[may]
             first = np.searchsorted(self.grams, grams)
@@ -124,8 +150,10 @@ def found_in(words: np.ndarray, hits: list[tuple[int, int, int]], items: Items)
             k += 1
         low, high = max(0, position - 2 * size), min(len(words), last + 2 * size + 1)
         score, end = align(items.words[item], words[low:high], items.rules)
-        share = score / (items.rules.match * size)
-        if share >= items.rules.least_score and share > best.get(item, (0,))[0]:
+        rules = items.rules
+        share = score / (rules.match * size)
+        enough = share >= (rules.short_score if size < rules.short_words else rules.least_score) or score >= rules.match * rules.stretch_words
+        if enough and share > best.get(item, (0,))[0]:
             back = align(items.words[item][::-1], words[low : low + end][::-1], items.rules)[1]
             best[item] = (share, low + end - back, low + end)
     return [(item, *x) for item, x in sorted(best.items())]
@@ -230,16 +258,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules(), text: str = "text") -> DataFrame:
-    """The documents that hold no item, all columns as they are; nothing is shuffled."""
+    """The documents that hold no item of `least_words` words at least, all columns as they are; nothing is shuffled."""
     texts = documents.select(documents[text].cast("string").alias("text"))
     for items in _blocks(benchmark, rules, "item_id", "text"):
         sent = documents.sparkSession.sparkContext.broadcast(_with_seeds(items, texts))
 
         def sift(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            find = _finder(sent.value)
+            items = sent.value
+            find = _finder(items)
             for whole in batches:
                 for batch in pieces(whole, text):
-                    clean = [not x for x in find(batch.column(text).cast(pa.string()))]
+                    found = find(batch.column(text).cast(pa.string()))
+                    clean = [not any(len(items.words[i]) >= rules.least_words for i, *_ in x) for x in found]
                     yield batch.filter(pa.array(clean, pa.bool_()))
 
         documents = documents.mapInArrow(sift, documents.schema)

@@ -128,6 +128,49 @@ def test_edited_copies_are_found(spark):
     assert {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()} == set(range(100, 120))
 
 
+def test_seeds_meet_every_alignment_above_the_score(spark):
+    """Copies with every n-th word changed, left out or doubled by another: found wherever a full alignment scores enough."""
+    import numpy as np
+
+    turn, rules = random.Random(6), decontamination.LeakRules()
+    words = [f"w{k}" for k in range(5000)]
+    some = lambda n: [turn.choice(words) for _ in range(n)]
+    items = {k: some(turn.choice((12, 20, 30, 45))) for k in range(12)}
+    docs, texts = [], []
+    for item in items.values():
+        for n in range(2, 10):
+            for how in ("changed", "left", "added"):
+                body = []
+                for j, w in enumerate(item):
+                    hit = j % n == n - 1
+                    body += [turn.choice(words)] if hit and how == "changed" else [] if hit and how == "left" else [w, turn.choice(words)] if hit else [w]
+                texts.append(some(30) + body + some(30))
+                docs.append((len(docs), " ".join(texts[-1]), "s"))
+    codes = {w: k for k, w in enumerate(words)}
+    code = lambda text: np.array([codes[w] for w in text])
+    want = {
+        (d, k) for d, text in enumerate(texts) for k, item in items.items()
+        if decontamination.align(code(item), code(text), rules)[0] >= rules.least_score * rules.match * len(item)
+    }
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), bench).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 200
+
+
+def test_short_and_long_items(spark):
+    long = [f"l{k}" for k in range(600)]
+    bench = [(1, "alpha beta gamma delta eps"), (2, "common"), (3, " ".join(long)), (4, "two words"), (5, "one two three four")]
+    docs = [
+        (1, "x alpha beta gamma y", "s"), (2, "x alpha beta gamma delta eps y", "s"), (3, "a common word", "s"),
+        (4, "before " + " ".join(long[100:370]) + " after", "s"), (5, "before " + " ".join(long[100:115]) + " after", "s"),
+        (6, "just two words here", "s"), (7, "one two three four", "s"), (8, "one two three five", "s"),
+    ]
+    bench, docs = spark.createDataFrame(bench, "item_id long, text string"), frame(spark, docs)
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    assert found == {(2, 1), (3, 2), (4, 3), (6, 4), (7, 5)}
+    assert {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()} == {1, 3, 5, 6, 8}
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "some other words stand here"), (1, "some other words stand here"), (2, "one")], "item_id long, text string")
     found = [(r.doc_id, r.item_id) for r in decontamination.leaks(odd, bench).collect()]
