@@ -48,6 +48,15 @@ NOISE = re.compile(
     r"copyright|legal|disclaimer|tags)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+FIRM = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|menu|nav(?:bar|igation)?|breadcrumbs?|comments?|comment-?list|"
+    r"disqus|respond|reply|replies|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|skip|pagination|"
+    r"pager|toolbar|copyright)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+"""Noise that a paragraph's own name is believed for."""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PARAGRAPHS = frozenset("p blockquote li dt dd td th pre figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|content|main)(?:$|[\s_-])", re.IGNORECASE)
 
@@ -57,20 +66,56 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
-# paths of headings, lists, paragraphs, quotations and tables, which hold text of an article however much of it is linked
-PROSE = re.compile(r"/(?:h[1-6]|li|dt|dd|p|blockquote|figcaption|caption|td|th|pre)(?:[.#\[/]|$)")
+# a tag whose end is hidden behind a quote that never closes ends at the next sign
+LOOSE = re.compile(r"<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)>")
+# headings, lists, paragraphs, quotations and tables, which hold text of an article however much of it is linked
+PROSE = frozenset("h1 h2 h3 h4 h5 h6".split()) | PARAGRAPHS
+SCOPES = frozenset("button td th".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 
+class Paths:
+    """The tag paths of a page as a tree of numbers, so that a path costs the same however deep it lies. 0 is the root."""
+
+    def __init__(self):
+        self.parent, self.label, self.prose = [0], [""], [False]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def below(self, parent: int, tag: str, label: str) -> int:
+        k = self._known.setdefault((parent, label), len(self.label))
+        if k == len(self.label):
+            self.parent.append(parent)
+            self.label.append(label)
+            self.prose.append(self.prose[parent] or tag in PROSE)
+        return k
+
+    def inside(self, top: int) -> np.ndarray:
+        """Which paths lie below one; a path comes after its parent."""
+        out = np.zeros(len(self.label), bool)
+        for k in range(1, len(self.label)):
+            out[k] = self.parent[k] == top or out[self.parent[k]]
+        return out
+
+    def steps(self, k: int, top: int, most: int) -> list[str]:
+        """The labels from below `top` to a path, no more than `most`."""
+        out: list[str] = []
+        while k and k != top and len(out) < most:
+            out.append(self.label[k])
+            k = self.parent[k]
+        return out[::-1]
+
+
 @dataclass
 class Block:
-    path: str
+    path: int
     text: str
     linked: int
     noise: bool
     main: bool
     group: int = 0
     """Main text within an element whose class or id alone names noise: the number of that element, else 0."""
+    aside: int = 0
+    """Text of a main element within an element whose name alone hints at noise: the number of that element, else 0."""
 
 
 @dataclass(frozen=True)
@@ -84,11 +129,14 @@ class PathRules:
     main_weight: float = 4.0
 
 
-def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool, str]:
-    """(noise, named noise, main, named main, label): what an element's name and attributes say of its text.
+def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool, bool, str]:
+    """(noise, named noise, hinted noise, main, named main, label): what an element's name and attributes say of its text.
 
     Classes and ids are judged name by name, and a name that says both is noise (comment-content). Noise that only names speak
     for gives way to a main element: to one that is it by a name, tag or role of its own, or to one within it (see content).
+
+    Within a main element a heading's name says nothing; a name of which only a part is noise (related-work), or a paragraph's that
+    may be prose as well, is a hint: its links decide.
     """
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
     names = [*found.get("class", "").split(), found.get("id", "")]
@@ -100,29 +148,59 @@ def _flags(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bo
     noise = tag in ASIDE or role in ROLES or bool(hidden) or (tag == "header" and not inside_main)
     main = named or called
     named_noise = any(bad) and not main and tag not in ("html", "body")
+    hinted = False
+    if named_noise and inside_main:
+        said = [x for x, n in zip(names, bad, strict=True) if n]
+        whole = any(all(NOISE.search(t) for t in re.split(r"[\s_-]+", x) if t) for x in said)
+        firm = any(FIRM.search(x) for x in said)
+        hinted = tag not in HEADINGS and not (firm if tag in PARAGRAPHS else whole or firm)
+        named_noise = tag not in HEADINGS and not hinted
     label = tag + (f".{found['class']}" if found.get("class") else "")
     # an id tells paths apart where it says something: those of single paragraphs don't
     if (own := found.get("id", "")) and (MAIN.search(own) or NOISE.search(own)):
         label += "#" + own.replace("/", "_")
     if role in ROLES or role in ("main", "article"):
         label += f"[{role}]"
-    return noise, named_noise, main and not noise, (named or not any(bad)) and main and not noise, label
+    return noise, named_noise, hinted, main and not noise, (named or not any(bad)) and main and not noise, label
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in page order, without those of elements that show no text."""
+@dataclass
+class Open:
+    """An open element: what it hands down to its text, and the nearest open elements that matter to those below."""
+
+    tag: str = ""
+    noise: bool = False
+    named: int = 0
+    group: int = 0
+    """The element whose named noise gave way to a main element."""
+    main: bool = False
+    aside: int = 0
+    path: int = 0
+    paragraph: int = 0
+    """Place of the open paragraph that a block would close."""
+    keeps: int = 0
+    """Place of the list or table that items can't close beyond."""
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """The text blocks of a page in page order, without those of elements that show no text, and their paths.
+
+    Every sign is looked at a bounded number of times, however deep elements nest and whatever is left unclosed.
+    """
     out: list[Block] = []
-    # tag, noise, element of named noise, element whose named noise gave way to a main element, main, path
-    stack: list[tuple[str, bool, int, int, bool, str]] = [("", False, 0, 0, False, "")]
+    paths = Paths()
+    stack = [Open()]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
     texts: list[str] = []
     links, unseen, linked, k, groups = 0, 0, 0, 0, 0
+    last = page.rfind(">")
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(texts).split())
         if text:
-            _, noise, named, group, main, path = stack[-1]
-            out.append(Block(path, text, min(linked, len(text)), noise or named > 0, main and not named, group))
+            top = stack[-1]
+            out.append(Block(top.path, text, min(linked, len(text)), top.noise or top.named > 0, top.main and not top.named, top.group, top.aside))
         texts.clear()
         linked = 0
 
@@ -138,21 +216,25 @@ def blocks(page: str) -> list[Block]:
         nonlocal unseen
         close()
         while len(stack) > upto:
-            unseen -= stack.pop()[0] in UNSEEN
+            gone = stack.pop().tag
+            places[gone].pop()
+            unseen -= gone in UNSEEN
 
     while k < len(page):
         at = page.find("<", k)
+        if at > last >= 0 or (at >= 0 > last):  # no tag ends beyond; what may begin is a comment
+            at = page.find("<!", k)
         if at < 0:
             add(page[k:])
             break
         add(page[k:at])
-        m = TOKEN.match(page, at)
+        m = TOKEN.match(page, at) or LOOSE.match(page, at)
         if not m:
             add("<")
             k = at + 1
             continue
         k = m.end()
-        if m["cdata"] is not None:
+        if m.re is TOKEN and m["cdata"] is not None:
             add(m["cdata"])
         if not m["tag"]:
             continue
@@ -163,9 +245,8 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 add(" ")
             elif tag not in INLINE:
-                found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if found:
-                    leave(found)
+                if places.get(tag):
+                    leave(places[tag][-1])
                 else:
                     close()
             continue
@@ -178,25 +259,34 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             links += tag == "a"
             continue
-        if tag in CLOSES_P:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if found and not any(s[0] in ("button", "td", "th") for s in stack[found:]):
-                leave(found)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                leave(i)
-            elif stack[i][0] in KEEPS_IN:
-                break
+        if tag in CLOSES_P and stack[-1].paragraph:
+            leave(stack[-1].paragraph)
+        for other in CLOSES.get(tag, ()):
+            open_ones, keeps = places.get(other, []), stack[-1].keeps
+            n = len(open_ones)
+            while n and open_ones[n - 1] > keeps:
+                n -= 1
+            if n < len(open_ones):
+                leave(open_ones[n])
         close()
-        _, noise, named, group, main, path = stack[-1]
-        own_noise, own_named, own_main, wins, label = _flags(tag, m["attributes"], main)
+        above = stack[-1]
+        noise, own_named, hinted, main, wins, label = _flags(tag, m["attributes"], above.main)
+        named, group, aside = above.named, above.group, above.aside
         if named and wins:
             named, group = 0, named
         elif own_named and not named:
             groups += 1
             named = groups
+        if hinted and not aside:
+            groups += 1
+            aside = groups
         if not m["attributes"].rstrip().endswith("/") or tag not in ("svg", "math"):
-            stack.append((tag, noise or own_noise, named, group, main or own_main, f"{path}/{label}"))
+            place = len(stack)
+            stack.append(Open(
+                tag, above.noise or noise, named, group, above.main or main, aside, paths.below(above.path, tag, label),
+                place if tag == "p" else 0 if tag in SCOPES else above.paragraph, place if tag in KEEPS_IN else above.keeps,
+            ))
+            places.setdefault(tag, []).append(place)
             unseen += tag in UNSEEN
             links = 0
         if tag in RAW:
@@ -204,16 +294,25 @@ def blocks(page: str) -> list[Block]:
             add(page[k : end.start()] if end else "")
             k = end.start() if end else len(page)
     close()
-    return out
+    return out, paths
 
 
-def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
+def content(found: list[Block], paths: Paths, rules: PathRules = PathRules()) -> list[Block]:
     """The blocks on content paths. Noise is left out block by block, and blocks of main elements make paths of their own.
 
+    What a name hints at is noise if more than `most_linked` of its text is linked.
+
     Main text within named noise is content where it holds more unlinked text than all other main text: the article in a
     wrapper of an odd name, but not the teasers or comments beside an article.
     """
     found = [b for b in found if not b.noise]
+    hints: dict[int, list[int]] = {}
+    for b in found:
+        if b.aside:
+            sums = hints.setdefault(b.aside, [0, 0])
+            sums[0] += b.linked
+            sums[1] += len(b.text)
+    found = [b for b in found if not b.aside or hints[b.aside][0] <= rules.most_linked * hints[b.aside][1]]
     free: dict[int, int] = {}
     for b in found:
         if b.main:
@@ -252,20 +351,29 @@ def content(found: list[Block], rules: PathRules = PathRules()) -> list[Block]:
     if in_main[best]:
         inside = in_main
     else:
-        parent = listed[best].rsplit("/", 1)[0] + "/"
-        inside = np.array([p.startswith(parent) for p in listed]) if parent.count("/") > 2 else np.zeros(len(listed), bool)
+        parent = paths.parent[listed[best]]
+        deep = len(paths.steps(parent, 0, 2)) > 1
+        inside = paths.inside(parent)[listed] if deep else np.zeros(len(listed), bool)
         if not inside.any():  # children of the body: headings beside the paragraphs, and runs of text
-            inside = np.array([bool(re.fullmatch(re.escape(parent) + r"(?:h[1-6]|p|ul/li|ol/li|blockquote|pre)(?:\.[^/]*)?", p)) for p in listed])
+            inside = np.array([_beside(paths, p, parent) for p in listed])
     if in_main[best]:
-        take = inside & (~heavy | np.array([bool(PROSE.search(p)) for p in listed]))
+        take = inside & (~heavy | np.array([paths.prose[p] for p in listed]))
     else:
         take = (chosen | inside) & ~heavy
     return [b for b, k in zip(found, path, strict=True) if take[k]]
 
 
+def _beside(paths: Paths, path: int, parent: int) -> bool:
+    """Whether a path is a heading, paragraph, list item or the like right below another."""
+    steps = paths.steps(path, parent, 3)
+    if len(steps) > 2 or (steps and paths.parent[path] != parent and paths.parent[paths.parent[path]] != parent):
+        return False
+    return bool(re.fullmatch(r"(?:h[1-6]|p|ul/li|ol/li|blockquote|pre)(?:\.[^/]*)?", "/".join(steps)))
+
+
 def main_text(page: str | None, rules: PathRules = PathRules()) -> str:
     """Blocks of main text joined by line ends; '' for NULL, empty or text-free pages."""
-    return "\n".join(b.text for b in content(blocks(page or ""), rules))
+    return "\n".join(b.text for b in content(*blocks(page or ""), rules))
 
 
 def extracted(pages: DataFrame, rules: PathRules = PathRules(), keep: tuple[str, ...] = ("page_id", "url"), page: str = "html") -> DataFrame:

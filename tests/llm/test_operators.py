@@ -509,3 +509,43 @@ def test_queries_match_sql(spark, folder, name):
     for t in ("documents", "conversations"):
         db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     assert rows == sorted(map(str, db.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()[name]})").fetchall()))
+
+
+# 8 again: names within an article, and pages that never close what they open
+
+def test_names_within_an_article_are_hints():
+    page = (
+        '<html><body><nav><a href=x>Home</a></nav><article><h2 id="search-and-rescue">Search and rescue</h2><p>Text one, two.</p>'
+        '<h2 id="tags">Tags</h2><section id="related-work"><h3>Related work</h3><p>Others did this too, in part.</p></section>'
+        '<p class="social">A social matter.</p><section class="related-reading"><a href=1>One more</a> <a href=2>Two more</a></section>'
+        '<p class="advert">Buy now.</p><div class="comments"><p>First!</p></div></article><footer>Imprint</footer></body></html>'
+    )
+    assert html_text.main_text(page).split("\n") == [
+        "Search and rescue", "Text one, two.", "Tags", "Related work", "Others did this too, in part.", "A social matter."
+    ]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    for make in (
+        lambda n: "<xa " * n, lambda n: "<xa " * n + "'>", lambda n: "<article>" + "<div><p>x" * n, lambda n: "<div>" * n + "text" + "</div>" * n,
+        lambda n: "<p><table><td>" + "<div>" * n, lambda n: "<ul>" + "<li>a" * n, lambda n: "<b x='" * n, lambda n: "</p>" * n + "<p>" * n,
+    ):
+        few, many = seconds(make(8_000)), seconds(make(64_000))
+        assert many < 24 * max(few, 0.02)  # eight times as much, not sixty-four
+    assert html_text.main_text("<article>" + "<div>" * 50_000 + "<p>deep text</p>").endswith("deep text")
+    assert html_text.main_text("<article><p>a < b and <q c='d > e</p><p>f</p></article>").endswith("f")
+
+
+def test_extraction_of_odd_tables(spark):
+    rows = [(1, None, "u", "t"), (2, "", None, "t"), (3, "<article><p>One, two.</p></article>", "u", "t"), (3, "<article><p>One, two.</p></article>", "u", "t"), (None, "<p>x" * 9_000, "u", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string, text string")
+    got = html_text.extracted(pages).collect()
+    assert len(got) == 5 and sorted((r.page_id, r.text) for r in got if r.page_id) == [(1, ""), (2, ""), (3, "One, two."), (3, "One, two.")]
+    assert all(r.n_chars == len(r.text) for r in got) and html_text.extracted(pages.limit(0)).count() == 0
