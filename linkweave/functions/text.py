@@ -171,7 +171,8 @@ def redact_values(x: str, secrets) -> str:
 
 
 # Fixed value: key names whose values are secrets.
-SENSITIVE_KEY = "(?i)^(?:authorization|api[_-]?key|access[_-]?token|token|secret|password|credential|bearer)$"
+SENSITIVE_WORD = "(?i:authorization|api[_-]?key|access[_-]?token|token|secret|password|credential|bearer)"
+SENSITIVE_KEY = f"^{SENSITIVE_WORD}$"
 
 
 def redact_map(x: str, key_pattern: str = SENSITIVE_KEY) -> str:

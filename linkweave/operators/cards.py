@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave.config import Limits
 from linkweave.functions import statements as S
@@ -11,6 +12,8 @@ from linkweave.functions.headers import ROLE_MARKERS, business_role, material_ro
 from linkweave.functions.text import casefold, cut, flat_text, normalize_name, quote, quoted, stable_id, when
 from linkweave.functions.values import heading_like
 from linkweave.operators.links import explicit_references
+from linkweave.operators.occurrences import with_row_number
+from linkweave.session import spread
 
 CARD = ("id", "kind", "strength", "statement", "file", "locator", "facts", "snippet", "files")
 STATEMENT_KINDS = (
@@ -41,9 +44,9 @@ def make_cards(
 # Statements of text -------------------------------------------------------------------------------
 
 
-def scored_statements(segments: DataFrame) -> DataFrame:
+def scored_statements(segments: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(file, locator, text) -> one row per statement with its folded form and marker score."""
-    parts = segments.selectExpr("file", "locator", f"explode({S.split_statements('text')}) AS statement")
+    parts = segments.selectExpr("file", "locator", *extra, f"explode({S.split_statements('text')}) AS statement")
     folded = parts.selectExpr("*", f"{casefold('statement')} AS folded")
     return folded.selectExpr("*", f"{S.marker_score('folded')} AS score")
 
@@ -99,6 +102,20 @@ def mention_scores(scored: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def table_segments(tables: dict[str, DataFrame], files: dict[str, str]) -> DataFrame:
+    """(file, column, locator, text): the text cells of tables that may hold a statement. files: {table: its file}."""
+    parts = []
+    for table, df in sorted(tables.items()):
+        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        if not texts:
+            continue
+        tall = with_row_number(df).select("row_no", *texts).unpivot(["row_no"], texts, "column", "text").where("char_length(trim(text)) >= 6")
+        parts.append(spread(tall).selectExpr(
+            f"{quote(files[table])} AS file", "column", f"concat({quote(f'table:{table};row:')}, row_no, ';column:', column) AS locator", "text"
+        ))
+    return union_cards(*parts)
+
+
 # What statement cards say.
 STATEMENT_TEXT = "%s contains a localized relationship-bearing statement."
 TABLE_STATEMENT_TEXT = "%s contains a localized relationship-bearing table statement."
@@ -130,13 +147,14 @@ def statement_cards(best: DataFrame, from_table: bool = False) -> DataFrame:
     kind = "table_relation_statement" if from_table else "document_relation_statement"
     text = TABLE_STATEMENT_TEXT if from_table else STATEMENT_TEXT
     mentioned = "mentioned" if "mentioned" in best.columns else "cast(array() as array<string>)"
+    column = "'column', column, " if from_table else ""
     return make_cards(
         best,
         f"if(size(markers) > 0, '{kind}', 'material_topic_alignment')",
         "if(size(markers) > 0 AND score >= 5, 'direct', 'structural')",
         f"format_string(if(size(markers) > 0, {quote(text)}, {quote(TOPIC_TEXT)}), file)",
         "file", "locator",
-        f"to_json(named_struct('relation_markers', markers, 'mentioned_files', {mentioned}))",
+        f"to_json(named_struct({column}'relation_markers', markers, 'mentioned_files', {mentioned}))",
         "statement",
     )
 

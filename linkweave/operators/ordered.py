@@ -63,6 +63,35 @@ def _carried(df, key, order, value, name, how, width) -> DataFrame:
     return joined.selectExpr(*df.columns, f"{combined} AS {name}")
 
 
+def carried_asof(
+    requests: DataFrame, versions: DataFrame, key: list[str], order: str, values: list[str], width: int = WIDTH
+) -> DataFrame:
+    """The requests, each with the values of the version of its key that was newest at its time (<=), NULL before the first.
+
+    Both frames have the key and `order`, a number; of versions of one time the largest values count. One row a request comes out: a key's
+    rows are cut into buckets of the order, and each bucket begins with the last version before it.
+    """
+    keys = ", ".join(key)
+    packed = f"struct({', '.join(values)})"
+    kind = versions.selectExpr(f"{packed} AS v").schema["v"].dataType.simpleString()
+    asked = requests.selectExpr(*key, f"{order} AS __at", "1 AS __kind", f"cast(NULL AS {kind}) AS __value", f"struct({', '.join(requests.columns)}) AS __row")
+    row = asked.schema["__row"].dataType.simpleString()
+    known = versions.selectExpr(*key, f"{order} AS __at", "0 AS __kind", f"{packed} AS __value", f"cast(NULL AS {row}) AS __row")
+    rows = _bucketed(known.unionByName(asked), "__at", width)
+    last = rows.groupBy(*key, "__bucket").agg(F.expr("max_by(__value, struct(__at, __value)) FILTER (WHERE __kind = 0) AS __last")).selectExpr(
+        *key, "__bucket",
+        f"last(__last, true) OVER (PARTITION BY {keys} ORDER BY __bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS __carried",
+    )
+    within = rows.selectExpr(
+        "*", f"last(__value, true) OVER (PARTITION BY {keys}, __bucket ORDER BY __at, __kind, __value ROWS UNBOUNDED PRECEDING) AS __near"
+    ).where("__kind = 1")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*key, "__bucket")]
+    joined = within.alias("r").join(last.alias("l"), same, "left")
+    return joined.selectExpr("r.__row AS __row", "coalesce(r.__near, l.__carried) AS __version").selectExpr(
+        "__row.*", *[f"__version.{v} AS {v}" for v in values]
+    )
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place (from 0) along an order of the whole frame.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import contains_any, strip, when
-from linkweave.operators.ordered import WIDTH, carried_sum
+from linkweave.operators.ordered import WIDTH, carried_asof, carried_sum
 
 
 def owned_by(df: DataFrame, owner: str, column: str = "owner_id") -> DataFrame:
@@ -40,6 +40,11 @@ def version_as_of(versions: DataFrame, version: int) -> DataFrame:
     return versions.where(f"version = {version}")
 
 
+def versions_at(requests: DataFrame, versions: DataFrame, key: str = "record_id", at: str = "at", values: tuple[str, ...] = ("version", "snapshot"), width: int = WIDTH) -> DataFrame:
+    """Requests (key, at, ...) with the version of their record that was the newest then; `at` is a number in both frames."""
+    return carried_asof(requests, versions, [key], at, [*values], width)
+
+
 def rollback(versions: DataFrame, version: int, key: str = "record_id") -> DataFrame:
     """All versions plus a new newest one per record that holds the snapshot of an older one."""
     latest = versions.groupBy(key).agg(F.max("version").alias("latest"))

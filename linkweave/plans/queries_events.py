@@ -351,6 +351,18 @@ def rolled_back_versions(spark, folder):
     return N.rollback(N.number_versions(rows, width=1000), 2)
 
 
+@query(
+    f"with {_VERS} select l.l_orderkey, l.l_linenumber, l.l_suppkey as record_id, v.version, v.snapshot"
+    " from lineitem l asof left join v on l.l_suppkey = v.record_id and l.l_orderkey >= v.seq"
+)
+def versions_as_of(spark, folder):
+    """The version of a record that was the newest at the time of each of many requests."""
+    t = read_tables(spark, folder, ("orders", "lineitem"))
+    saved = t["orders"].selectExpr("o_custkey AS record_id", "o_orderkey AS seq", "o_orderkey AS at", "o_orderstatus AS snapshot")
+    asked = t["lineitem"].selectExpr("l_orderkey", "l_linenumber", "l_suppkey AS record_id", "l_orderkey AS at")
+    return N.versions_at(asked, N.number_versions(saved, width=1000), width=1000).drop("at")
+
+
 _ITEMS = (
     "x as (select l_suppkey as owner, 'i' || (l_partkey % 40) as id, 0 as side, l_orderkey * 10 + l_linenumber as seq, l_returnflag as title, l_linestatus as status, '' as result from lineitem where l_quantity < 25"
     " union all select l_suppkey, 'i' || (l_partkey % 40), 1, l_orderkey * 10 + l_linenumber, case when l_tax > 0.05 then '' else l_returnflag end, '', l_linestatus from lineitem where l_quantity >= 25)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.functions import nested
 from linkweave.functions import statements as T
 from linkweave.functions import text as X
 from linkweave.functions.values import describe_entities, heading_like, text_entities
@@ -142,13 +143,63 @@ def all_cards(spark, folder) -> DataFrame:
     )
     relations = Q.D.profile_relations(spark, tables, Q.RULES)
     fields = C.field_cards(Q.L.field_correspondences(relations, catalog))
-    scored = C.scored_statements(document_lines(spark, folder))
-    statements = C.statement_cards(C.best_statements(scored))
+    names = files.selectExpr("file").unionAll(read_table(spark, folder, "documents").selectExpr("source AS file")).distinct()
+    names = cut_lineage(names.selectExpr("file AS path", "file AS file_name", "regexp_extract(file, '^([^.]*)', 1) AS stem"))
+    scored = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names)
+    statements = C.statement_cards(C.best_statements(scored, extra=("mentioned",)))
+    in_tables = C.mention_scores(C.scored_statements(small_table_cells(spark, folder, sizes), ("column",)), names)
+    in_tables = C.statement_cards(C.best_statements(in_tables, extra=("column", "mentioned")), from_table=True)
     headed = document_lines(spark, folder).selectExpr("file", "locator", "ord", f"explode({T.split_statements('text')}) AS statement")
     headed = headed.selectExpr("*", f"{X.casefold('statement')} AS folded").selectExpr("*", f"{T.marker_score('folded')} AS score")
     outlines = C.outline_cards(C.outline_rows(headed))
     goals = C.goal_cards(goal_lines(spark, folder))
-    return C.union_cards(C.schema_cards(catalog, files), fields, statements, outlines, goals)
+    return C.union_cards(C.schema_cards(catalog, files), fields, statements, in_tables, outlines, goals)
+
+
+def small_table_cells(spark, folder, sizes: DataFrame) -> DataFrame:
+    """Text cells of the tables within the seed budget, as segments of their files."""
+    tables = read_tables(spark, folder)
+    small = {r["table"] for r in sizes.collect() if r["row_count"] * len(tables[r["table"]].columns) <= Q.RULES.limits.seed_cell_budget}
+    return C.table_segments({t: df for t, df in tables.items() if t in small}, {t: f"{t}.parquet" for t in tables})
+
+
+_CELLS = " union all ".join(
+    f"select '{t}.parquet' as file, '{c}' as col, 'table:{t};row:'||row_number() over ()||';column:{c}' as locator, {c} as text, (select count(*)*{len(O.COLUMNS[t])} from {t}) as cells from {t}"
+    for t, cols in O.TEXT_ROWS.items() for c in cols
+)
+
+
+@query(
+    f"with ce as (select * from ({_CELLS}) where cells<=100000 and length(trim(text))>=6), st as (select file, col, locator, unnest({statements_sql('text')}) as statement from ce),"
+    f" fo as (select *, {O.fold('statement')} as f from st), sc as (select *, {MARK} as score from fo),"
+    " nm as (select *, regexp_replace(f,'[^a-z0-9]+','','g') as name from sc where score>0),"
+    " one as (select *, row_number() over (partition by file, name order by score desc, locator, statement) as copy from nm where name<>''),"
+    " rk as (select *, row_number() over (partition by file order by score desc, locator, statement) as rank from one where copy=1)"
+    f" select case when {MARKER_LIST}<>'' then 'table_relation_statement' else 'material_topic_alignment' end as kind,"
+    f" case when {MARKER_LIST}<>'' and score>=5 then 'direct' else 'structural' end as strength, file, locator, statement as snippet from rk where rank<=40"
+)
+def table_statement_cards(spark, folder):
+    """Cards of the best relationship statements in the text cells of small tables."""
+    cells = small_table_cells(spark, folder, Q.D.table_sizes(read_tables(spark, folder)))
+    best = C.best_statements(C.scored_statements(cells, ("column",)), extra=("column",))
+    return C.statement_cards(best, from_table=True).select("kind", "strength", "file", "locator", "snippet")
+
+
+_NAME_TOKENS = "list_filter(list_distinct(regexp_extract_all({0}, '[a-z0-9]{{3,}}')), lambda w: w not in ('xlsx','csv','table'))"
+
+
+@query(
+    f"with {SEGMENTS}, na as (select 'item/'||item_id as target, left(text, 24) as file_name, {_NAME_TOKENS.format(O.fold('left(text, 60)'))} as w from benchmark),"
+    f" ds as (select distinct file, locator, statement, score from sc), tk as (select *, {O.fold('statement')} as f, {_NAME_TOKENS.format(O.fold('statement'))} as w from ds),"
+    f" g as (select file, locator, statement, score, target, greatest(case when length(file_name)>=4 and contains(f, {O.fold('file_name')}) then 6 else 0 end,"
+    " case when length(file_name)>=4 and len(na.w)>=3 and len(list_intersect(tk.w, na.w))>=3 then least(6, len(list_intersect(tk.w, na.w))) else 0 end) as gain from tk, na)"
+    " select file, locator, statement, (score + sum(gain))::bigint as score, array_to_string(list_sort(list(target)), ' ') as mentioned from g where gain>0 group by file, locator, statement, score"
+)
+def statement_mentions(spark, folder):
+    """Statements of documents that name a benchmark item or share three words with its begin, and their scores."""
+    names = read_table(spark, folder, "benchmark").selectExpr("concat('item/', item_id) AS path", "left(text, 24) AS file_name", "left(text, 60) AS stem")
+    scored = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names).where("size(mentioned) > 0")
+    return scored.selectExpr("file", "locator", "statement", "bigint(score) AS score", "array_join(mentioned, ' ') AS mentioned").distinct()
 
 
 def goal_lines(spark, folder) -> DataFrame:
@@ -274,6 +325,42 @@ def line_pages(spark, folder):
     return F_.line_page(rows, 1, 3).withColumn("line_count", F.col("line_count").cast("long"))
 
 
+_NEST = (
+    "named_struct('name', event_type, 'Token', props, 'headers', map('Accept', event_type, 'x', props), 'env', map('MY_API_KEY', props, 'LANG', event_type),"
+    " 'servers', array(named_struct('url', event_type, 'api_key', props, 'inner', named_struct('password', props, 'port', user_id, 'headers', named_struct('any', event_type))),"
+    " named_struct('url', props, 'api_key', cast(null as string), 'inner', named_struct('password', 'p', 'port', user_id, 'headers', named_struct('any', 'a')))))"
+)
+
+
+@query(
+    "select event_id, event_type as name, '********' as token, '********' as accept, '********' as env_key, event_type as env_lang, event_type as url, '********' as api_key,"
+    " '********' as password, user_id as port, '********' as any_header, props as other_url, null::varchar as other_key from events"
+)
+def redacted_nested(spark, folder):
+    """Secrets masked at every level of a nested value: by key, below headers, and below env."""
+    rows = read_table(spark, folder, "events").selectExpr("event_id", f"{_NEST} AS n")
+    n = rows.selectExpr("event_id", f"{nested.redacted('n', rows.schema['n'].dataType)} AS n")
+    return n.selectExpr(
+        "event_id", "n.name", "n.Token AS token", "n.headers['Accept'] AS accept", "n.env['MY_API_KEY'] AS env_key", "n.env['LANG'] AS env_lang",
+        "n.servers[0].url AS url", "n.servers[0].api_key AS api_key", "n.servers[0].inner.password AS password", "n.servers[0].inner.port AS port",
+        "n.servers[1].inner.headers.any AS any_header", "n.servers[1].url AS other_url", "n.servers[1].api_key AS other_key",
+    )
+
+
+@query(
+    f"with l as (select doc_id, {LINES.format('text')} as ls from documents),"
+    " b as (select doc_id, ls, list_transform(ls[1:5], lambda x: left(x, 40) || case when length(x) > 40 then chr(10) || '[truncated]' else '' end) as kept from l)"
+    " select doc_id, array_to_string(case when len(ls) > 5 then list_append(kept, '[' || (len(ls)-5) || ' more items omitted]') else kept end, '|') as lines,"
+    " case when len(ls) > 5 then 6 else len(ls) end as shown from b"
+)
+def bounded_nested(spark, folder):
+    """Texts and lists bounded three levels down."""
+    lines = "split(rtrim('\\n', text), '\\n')"
+    rows = read_table(spark, folder, "documents").selectExpr("doc_id", f"named_struct('body', map('parts', named_struct('lines', {lines}))) AS n")
+    cut = rows.selectExpr("doc_id", f"{nested.bounded('n', rows.schema['n'].dataType, 5, 40)} AS n")
+    return cut.selectExpr("doc_id", "array_join(n.body['parts'].lines, '|') AS lines", "bigint(size(n.body['parts'].lines)) AS shown")
+
+
 @query(
     "select doc_id, replace(replace(replace(text, 'ation', '********'), 'tion', '********'), 'the', '********') as text from documents"
 )
