@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from linkweave.functions import statements as T
 from linkweave.operators import claims as V
 from linkweave.plans import oracle_text as O
 from linkweave.plans.queries_text import LABEL_KIND, LABEL_STRENGTH, label_cards
 from linkweave.plans.registry import ORACLES, query
 from linkweave.plans.tables import read_table
+from linkweave.session import cut_lineage
 from linkweave.sources import sinks as Z
 
 # One text for both engines: each turn of a conversation claims a node and an edge to the turn before.
@@ -239,6 +242,20 @@ def valid_claims(spark, folder):
     return V.valid_graphs(all_claims, V.endpoint_rules(all_claims)).select("graph_id", "purpose")
 
 
+@query(
+    f"with {CLAIMS}, bad as ({_ALL_RULES}), n as (select graph_id, count(distinct rule) as rules, count(*) as violations from bad group by 1)"
+    " select g.graph_id, coalesce(rules, 0) as broken_rules, coalesce(violations, 0) as violations, rules is null as valid from graphs g left join n using (graph_id)"
+)
+def graph_validity(spark, folder):
+    """Every graph with the rules of all families that it breaks; valid where it breaks none."""
+    all_claims = claims(spark, folder)
+    broken = cut_lineage(V.violations(all_claims))
+    per_graph = broken.groupBy("graph_id").agg(F.countDistinct("rule").alias("rules"), F.count(F.lit(1)).alias("found"))
+    valid = V.valid_graphs(all_claims, broken).select("graph_id", F.lit(True).alias("fine"))
+    rows = all_claims.graphs.select("graph_id").join(per_graph, "graph_id", "left").join(valid, "graph_id", "left")
+    return rows.selectExpr("graph_id", "coalesce(rules, 0) AS broken_rules", "coalesce(found, 0) AS violations", "coalesce(fine, false) AS valid")
+
+
 @query(f"with {CLAIMS}, p as (select graph_id, lag(node) over (partition by graph_id order by pos) as source, node as target, true as main from chain union all"
        " select graph_id, q[i], q[i+1], false from (select graph_id, list_prepend(origin, path) as q, unnest(range(1, len(path)+1)) as i from branches)),"
        " m as (select graph_id, source, target, bool_or(main) as main from p group by 1,2,3)"

@@ -28,7 +28,7 @@ from linkweave.sources import files as X
 from linkweave.sources import sinks as Z
 
 RULES = D.Rules(WAREHOUSE_HEADERS, WAREHOUSE_VALUES)
-SEED_TABLES = ("region", "nation", "supplier", "part", "customer", "labels")
+SEED_TABLES = ("region", "nation", "supplier", "part", "customer", "labels", "benchmark", "embeddings", "pages")
 PROBED = ("lineitem", "orders", "documents", "events", "conversations")
 STARS = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 
