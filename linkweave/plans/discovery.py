@@ -270,9 +270,10 @@ def discover(
     profile_rows = cut_lineage(describe_values(_union(samples or [empty]), catalog))
     links.append(L.profile_links(profile_rows, limits).withColumn("seq", F.concat(F.lit("2/"), F.lpad(F.col("seq").cast("string"), 20, "0"))))
     evidence = cut_lineage(L.evidence_rows(_union([x.select(*LINK) for x in links])), "evidence")
+    told = spark.createDataFrame(stats, STATS)
     return {
         "catalog": catalog, "seeds": seeds, "profiles": profile_rows, "evidence": evidence,
-        "relations": L.relations(evidence, limits), "stats": spark.createDataFrame(stats, STATS),
+        "relations": L.relations(evidence, limits), "stats": told, "coverage": tables_covered(told),
     }
 
 
@@ -298,20 +299,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return result
 
 
-def coverage(result: dict[str, DataFrame]) -> DataFrame:
-    """How much a discovery covered: tables by what was read of them, seeds, sampled values, relations by verdict.
-
-    A table is completed when all rows it is known to have were read, or when it has no join column; `status` is partial
-    while some table is not.
-    """
-    whole = "mode = 'schema_only' OR (mode <> 'open' AND rows_scanned >= coalesce(row_count, 0))"
-    covered = result["stats"].agg(
+def tables_covered(stats: DataFrame) -> DataFrame:
+    """What was read of the tables of a run. Of the readable ones, those with a join column, the ones are completed of which all
+    rows they are known to have were read; `status` is partial while some are not."""
+    whole = "candidate_columns > 0 AND mode <> 'open' AND rows_scanned >= coalesce(row_count, 0)"
+    return stats.agg(
         F.count(F.lit(1)).alias("tables"), F.expr(f"count_if({whole}) AS completed"), F.expr("count_if(candidate_columns > 0) AS readable"),
         F.expr("count_if(mode = 'directed_probe') AS probe_steps"), F.expr("coalesce(sum(rows_scanned), 0) AS rows_scanned"),
         F.expr("coalesce(sum(matches), 0) AS matches"), F.expr("coalesce(sum(frontier_values), 0) AS frontier_values"),
-    )
+    ).selectExpr("*", "if(completed = readable, 'complete', 'partial') AS status")
+
+
+def coverage(result: dict[str, DataFrame]) -> DataFrame:
+    """How much a discovery covered: tables by what was read of them, seeds, sampled values, relations by verdict."""
     found = result["relations"]
-    return covered.selectExpr("*", "if(completed = tables, 'complete', 'partial') AS status").withColumns({
+    return result["coverage"].withColumns({
         "seed_values": result["seeds"].agg(F.expr("count(DISTINCT fingerprint)")).scalar(),
         "profile_values": result["profiles"].agg(F.count(F.lit(1))).scalar(),
         "relations": found.agg(F.count(F.lit(1))).scalar(),

@@ -288,3 +288,19 @@ def test_late_rows_are_kept_and_merged(spark):
     batch = spark.createDataFrame(rows, "t long, seq long, type string, status string").withColumn("ts", F.timestamp_seconds("t"))
     want = batch.groupBy(F.window("ts", "10 minutes").start.alias("window_start"), "type", "status").agg(F.count("*").alias("events"))
     assert sorted(map(str, J.merged_counts(spark, out, "10 minutes").collect())) == sorted(map(str, want.collect()))
+
+
+def test_versions_as_of_many_times(spark):
+    """Whatever the width of a bucket: the newest version at or before each time, none before the first."""
+    turn = random.Random(5)
+    versions = [(r, at, n, f"s{r}-{n}") for r in (1, 2, None) for n, at in enumerate(sorted(turn.sample(range(10_000), 40)))] + [(3, 5, 1, "a"), (3, 5, 2, "b")]
+    asked = [(k, turn.choice((1, 2, 3, 4, None)), turn.randrange(-100, 11_000)) for k in range(400)] + [(1000 + k, 3, at) for k, at in enumerate((4, 5, 6))]
+    known = spark.createDataFrame(versions, "record_id long, at long, version long, snapshot string")
+    requests = spark.createDataFrame(asked, "n long, record_id long, at long")
+    want = {}
+    for n, record, at in asked:
+        before = [(t, v, s) for r, t, v, s in versions if r == record and t <= at]
+        want[n] = max(before)[1:] if before else (None, None)
+    for width in (100, 3000, 10**6):
+        got = {r["n"]: (r["version"], r["snapshot"]) for r in N.versions_at(requests, known, width=width).collect()}
+        assert got == want

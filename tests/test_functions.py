@@ -190,3 +190,61 @@ def test_vector_search_of_many_queries(spark):
     found = R.vector_recall(exact, probed).first()
     assert found["wanted"] == 7 * 150 and found["recall"] >= 0.9
     assert R.vector_top_k_many(chunks, queries.limit(0), 7).count() == R.vector_top_k_probed(chunks.limit(0), queries, 7).count() == 0
+
+
+def plain(value):
+    """Rows and maps as dictionaries, for comparison."""
+    if hasattr(value, "asDict"):
+        return {k: plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    return [plain(v) for v in value] if isinstance(value, list) else value
+
+
+def test_nested_secrets_and_bounds(spark):
+    """The walk over the type against plain recursion over the values, four levels deep, with NULLs at each."""
+    import re
+
+    from linkweave.functions.nested import bounded, redacted
+
+    word = re.compile("authorization|api[_-]?key|access[_-]?token|token|secret|password|credential|bearer", re.IGNORECASE)
+
+    def mask(value, parent=""):
+        if isinstance(value, dict):
+            if parent.lower() == "headers":
+                return {k: None if v is None or not isinstance(v, str) else "********" for k, v in value.items()}
+            return {
+                k: "********" if isinstance(v, str) and (word.fullmatch(k) or (parent.lower() == "env" and word.search(k))) else mask(v, k)
+                for k, v in value.items()
+            }
+        return [mask(v, parent) for v in value] if isinstance(value, list) else value
+
+    def cut(value):
+        if isinstance(value, str):
+            return value if len(value) <= 5 else value[:5] + "\n[truncated]"
+        if isinstance(value, dict):
+            return {k: cut(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [cut(v) for v in value[:2]] + ([f"[{len(value) - 2} more items omitted]"] if len(value) > 2 else [])
+        return value
+
+    schema = (
+        "v struct<name:string, TOKEN:string, headers:struct<a:string, n:int>, env:map<string,string>, deep:map<string,map<string,string>>,"
+        " list:array<struct<password:string, x:int, inner:struct<secret:array<string>, api_key:string, Env:struct<my_token:string, lang:string>>>>>"
+    )
+    inner = {"secret": ["long text one", "b", "c", "d"], "api_key": "k", "Env": {"my_token": "t", "lang": "en"}}
+    rows = [
+        {"name": "some long name", "TOKEN": "t", "headers": {"a": "x", "n": None}, "env": {"MY_SECRET_1": "s", "LANG": "de", "Z": None},
+         "deep": {"headers": {"q": "r"}, "ENV": {"x_password": "p"}, "other": {"bearer": "b", "free": "a long text"}, "none": None},
+         "list": [{"password": "p", "x": 1, "inner": inner}, {"password": None, "x": 2, "inner": None}, None]},
+        {"name": None, "TOKEN": None, "headers": None, "env": None, "deep": {}, "list": []},
+    ]
+    df = spark.createDataFrame([(r,) for r in rows], schema)
+    got = [plain(r[0]) for r in df.selectExpr(redacted("v", df.schema["v"].dataType)).collect()]
+    assert got == [mask(r) for r in rows]
+    texts = df.selectExpr("v.name", "v.env", "v.deep", "get(v.list, 0).inner AS inner")
+    for name, wanted in (("name", [r["name"] for r in rows]), ("env", [r["env"] for r in rows]), ("deep", [r["deep"] for r in rows]), ("inner", [inner, None])):
+        out = texts.selectExpr(f"{bounded(name, texts.schema[name].dataType, 2, 5)} AS b").collect()
+        assert [plain(r[0]) for r in out] == [cut(w) for w in wanted]
+    many = spark.createDataFrame([([1, 2, 3],), ([1],), (None,)], "v array<int>")
+    assert [r[0] for r in many.selectExpr(bounded("v", many.schema["v"].dataType, 2)).collect()] == [["1", "2", "[1 more items omitted]"], ["1"], None]
