@@ -5,7 +5,8 @@ them and is chosen if the least one lies at its front or its end; whether it is
 alone, so texts that share a stretch share the anchors in it wherever it stands. The fingerprint is the sorted list of the
 64 smallest anchor hashes: likeness of two fingerprints estimates the Jaccard similarity of the anchor sets, and is exact
 for texts with few anchors. Texts of fewer than 24 words also have anchors of their characters, so that short texts can
-be compared in part as well.
+be compared in part as well. The two kinds are parts of a fingerprint, and two texts are compared by the kinds that both have: a
+short one with one as long as the bound by their words.
 """
 
 from __future__ import annotations
@@ -50,29 +51,36 @@ def _anchors(rows: DataFrame, source: str, target: str) -> DataFrame:
     rows = rows.withColumn(w, F.expr(_words(source))).withColumn(s, F.expr(f"concat({w}, {PAD})")).withColumn(s, F.expr(_inner(s)))
     rows = rows.withColumn(c, F.expr(f"IF(size({w}) BETWEEN 1 AND {SHORT_WORDS - 1}, transform(split({source}, ''), x -> xxhash64(x, 1)), array())"))
     rows = rows.withColumn(t, F.expr(_inner(c)))
-    return rows.withColumn(target, F.expr(f"concat({_chosen(s, f'size({w})')}, {_chosen(t, f'(size({c}) - 3)')})")).drop(w, c, s, t)
+    found = f"struct({_chosen(s, f'size({w})')} AS words, {_chosen(t, f'(size({c}) - 3)')} AS chars)"
+    return rows.withColumn(target, F.expr(found)).drop(w, c, s, t)
 
 
 def sketched(rows: DataFrame, source: str, target: str) -> DataFrame:
-    """Adds the sketch of a text column: its SIZE smallest distinct anchors, as 32-bit numbers in rising order.
+    """Adds the sketch of a text column: the SIZE smallest distinct anchors of its words, and those of its characters if it is
+    short, as 32-bit numbers in rising order.
 
     NULL and blank texts have an empty sketch.
     """
     rows = _anchors(rows.withColumn("__text", F.coalesce(F.col(source), F.lit(""))), "__text", "__found")
-    small = f"slice(array_sort(array_distinct(transform(__found, x -> int(shiftright(x, 32))))), 1, {SIZE})"
-    return rows.withColumn(target, F.expr(small)).drop("__text", "__found")
+    small = "slice(array_sort(array_distinct(transform(__found.{0}, x -> int(shiftright(x, 32))))), 1, " + str(SIZE) + ") AS {0}"
+    return rows.withColumn(target, F.expr(f"struct({small.format('words')}, {small.format('chars')})")).drop("__text", "__found")
 
 
 def fingerprint(sketch: str) -> Column:
-    """A sketch as text: eight hexadecimal digits an anchor."""
-    return F.expr(f"array_join(transform({sketch}, x -> lpad(lower(hex(x & 4294967295L)), 8, '0')), '')")
+    """A sketch as text: eight hexadecimal digits an anchor, those of characters after a point."""
+    digits = "array_join(transform({0}, x -> lpad(lower(hex(x & 4294967295L)), 8, '0')), '')"
+    words, chars = (digits.format(f"{sketch}.{kind}") for kind in ("words", "chars"))
+    return F.expr(f"IF(size({sketch}.chars) = 0, {words}, concat({words}, '.', {chars}))")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Estimated share of common anchors of two sketches, 0 to 1; two empty sketches are alike."""
-    union = f"slice(array_sort(array_union({a}, {b})), 1, {SIZE})"
+    """Estimated share of common anchors of two sketches, 0 to 1, by the kinds of anchors that both have; two empty ones are alike."""
+    kinds = f"(size({a}.chars) > 0 AND size({b}.chars) > 0)"
+    x, y = (f"IF({kinds}, array_union({s}.words, {s}.chars), {s}.words)" for s in (a, b))
+    union = f"slice(array_sort(array_union({x}, {y})), 1, {SIZE})"
     return F.expr(
-        f"CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1D ELSE size(array_intersect(array_intersect({union}, {a}), {b})) / size({union}) END"
+        f"CASE WHEN size({a}.words) = 0 AND size({b}.words) = 0 THEN 1D"
+        f" ELSE size(array_intersect(array_intersect({union}, {x}), {y})) / size({union}) END"
     )
 
 

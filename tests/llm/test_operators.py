@@ -68,6 +68,25 @@ def test_syncmers_do_not_depend_on_place(spark):
     assert max(shifts, key=shifts.get) == 4
 
 
+def test_near_copies_on_both_sides_of_the_bound(spark):
+    """A near copy beyond the bound is compared by words like any longer pair, and not with characters of one side."""
+    turn = random.Random(2)
+    rows = []
+    for n in (16, 22, 23, 24, 25, 40):
+        for k in range(30):
+            words = [f"v{turn.randrange(10_000)}" for _ in range(n)]
+            rows.append((n, " ".join(words), " ".join([*words, "more"]), " ".join(f"v{turn.randrange(10_000)}" for _ in range(n))))
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    for column in "abc":
+        df = fingerprints.sketched(df, column, f"s{column}")
+    near = df.select("n", fingerprints.likeness("sa", "sb").alias("copy"), fingerprints.likeness("sa", "sc").alias("other")).groupBy("n").avg("copy", "other").collect()
+    assert all(r[1] > 0.6 and r[2] < 0.1 for r in near)
+    by = {r[0]: r[1] for r in near}
+    assert abs(by[23] - by[24]) < 0.1 and abs(by[24] - by[25]) < 0.1
+    texts = df.select(fingerprints.fingerprint("sa").alias("f"), "a").collect()
+    assert len({r.f for r in texts}) == len({r.a for r in texts})
+
+
 def test_fingerprints_of_odd_rows(spark, odd, empty):
     rows = fingerprints.edited_fingerprints(odd).collect()
     assert len(rows) == odd.count() and fingerprints.edited_fingerprints(empty).count() == 0
