@@ -127,6 +127,7 @@ def canonical_records(records: DataFrame, key: str = "conv_id", record: str = "r
 # A control string can't stand in an escaped text: `<` and `|` get one backslash more between them than they had.
 ESCAPE = ("<(\\\\*)\\|", "<$1\\\\|")
 UNESCAPE = re.compile(r"<\\(\\*)\|")
+ROLE_ESCAPES = re.compile(r"\\(n|\\)")
 FORMATTED = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
 
 
@@ -138,13 +139,19 @@ def unescaped(text: str) -> str:
     return UNESCAPE.sub(r"<\1|", text)
 
 
+def unescaped_role(role: str) -> str:
+    """A role as it was: line ends and backslashes are escaped in roles, beside control strings."""
+    return unescaped(ROLE_ESCAPES.sub(lambda m: "\n" if m[1] == "n" else "\\", role))
+
+
 def formatted_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, formatted, loss_from, loss_to): each turn as `<|im_start|>role\\ntext<|im_end|>\\n`, and the half-open range
     of its code points that are trained on (the assistant's texts; else empty, from 0 to 0).
 
-    Line ends in roles become blanks. Joined in turn order, the pieces of a conversation are its training text.
+    In roles a line feed is written as `\\n` and a backslash twice, so that they can be read back. Joined in turn order,
+    the pieces of a conversation are its training text.
     """
-    role = F.regexp_replace(_escaped("role"), "[\\r\\n]", " ")
+    role = F.replace(F.replace(_escaped("role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     rows = turns.select("conv_id", "turn", "role", role.alias("__role"), _escaped("text").alias("__text"))
     begin = F.length("__role") + len(START) + 1
     loss = F.col("role") == "assistant"
@@ -172,7 +179,7 @@ class _Reading:
         self.loss.update(trained.encode())
         for role, text in FORMATTED.findall(formatted):
             self.turns += 1
-            self.text.update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
+            self.text.update(f"{unescaped_role(role)}\n{unescaped(text)}\n".encode())
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.sampling import in_fold, spread_sample
+from linkweave.llm.sampling import in_fold, one_text_each, spread_sample
 from linkweave.llm.textbytes import LOWER, MARKS, Words, mixed, pieces, runs, text_bytes
 
 
@@ -197,9 +197,10 @@ def _features(texts: DataFrame, key: str, text: str, done) -> DataFrame:
 
 
 def sampled_features(texts: DataFrame, ids: DataFrame, key: str = "doc_id") -> np.ndarray:
-    """Features of the texts with these ids, of which there must be a bounded number, in the order of the ids."""
+    """Features of a text of each of these ids, of which there must be a bounded number, in the order of the ids."""
     as_lists = ("array<float>", lambda x: pa.array(list(x), pa.list_(pa.float32())))
-    found = _features(texts.join(F.broadcast(ids.select(key).distinct()), key), key, "text", as_lists).toPandas().sort_values("key", kind="stable")
+    held = texts.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select(key).distinct()), key)
+    found = _features(one_text_each(held, [f"`{key}`"]), key, "text", as_lists).toPandas().sort_values("key", kind="stable")
     return np.array(found.value.tolist(), np.float64).reshape(-1, COLUMNS)
 
 
@@ -219,8 +220,9 @@ def quality(documents: DataFrame, labels: DataFrame, rules: PuRules = PuRules(),
     """(doc_id, held_out, score, predicted) of every document.
 
     Trusted positives are labelled rows of quality 1 of the other folds; the unlabelled texts are a bounded sample of
-    all documents, whose labels are not read. Repeated rows get a row each, equal texts the same score; NULL texts
-    count as empty and NULL ids as not held out. Without two positives and two documents with ids every score is 0.5.
+    all documents, whose labels are not read; an id with several rows teaches by one of them. Repeated rows get a row
+    each, equal texts the same score; NULL texts count as empty and NULL ids as not held out. Without two positives and
+    two documents with ids every score is 0.5.
     """
     net = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels, rules, folds, held_out))
     scored = ("double", lambda x: pa.array(net.value.score(x) if net.value else np.full(len(x), 0.5)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.sampling import in_fold, spread_sample
+from linkweave.llm.sampling import in_fold, one_text_each, spread_sample
 from linkweave.llm.textbytes import MARKS, Words, pieces, runs, text_bytes
 
 STEMS = (4, 5, 6, 7)
@@ -157,13 +157,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, rules: FtrlRules = FtrlRul
              folds: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
-    The fit reads labels of the other folds only; rows without text, label or id teach nothing. Repeated rows
-    get a row each, equal texts the same score, a NULL id counts as not held out. Without any label the score is 0.5.
+    The fit reads labels of the other folds only; rows without text, label or id teach nothing, and of the rows of one id
+    and label one teaches. Repeated rows get a row each, equal texts the same score, a NULL id counts as not held out.
+    Without any label the score is 0.5.
     """
     known = labels.where(~in_fold("doc_id", folds, held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     # the sample is bounded by max_labelled, so that its ids may be broadcast
     some = spread_sample(known.select("doc_id", F.col("toxic").cast("int").alias("label")).distinct(), "doc_id", rules.max_labelled)
-    labelled = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")
+    held = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")
+    labelled = one_text_each(held, ["doc_id", "label"])
     model = fit_toxicity(labelled.select(F.col("doc_id").cast("string").alias("key"), "text", "label"), rules)
     return score_toxicity(documents, model).select(
         "doc_id", in_fold("doc_id", folds, held_out).alias("held_out"), "score",

@@ -1,11 +1,13 @@
 """The training-data operators next to brute force, and on odd tables: NULLs, empty and long texts, repeated rows, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -123,6 +125,81 @@ def test_classifiers_on_odd_rows(spark, odd, empty, score, label):
     assert kept.columns == odd.columns
 
 
+def test_ftrl_equals_a_plain_loop():
+    turn, rules = random.Random(1), toxicity.FtrlRules(alpha=0.3, l1=1.5, epochs=2)
+    rows = [sorted(turn.sample(range(12), turn.randrange(7))) for _ in range(60)]
+    labels = [int(0 in r or turn.random() < 0.2) for r in rows]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= rules.l1:
+            return 0.0
+        return (math.copysign(rules.l1, z[k]) - z[k]) / ((rules.beta + n[k] ** 0.5) / rules.alpha + rules.l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(rules.epochs):
+        for k in order.permutation(len(rows)):
+            present = [*rows[k], 12]
+            w = {i: weight(i) for i in present}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in present:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / rules.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = toxicity.ftrl([np.array(r, int) for r in rows], np.array(labels, float), 12, rules)
+    assert np.allclose(got, [weight(k) for k in range(13)]) and (got == 0).any() and (got != 0).any()
+
+
+def test_non_negative_risk_gradient(monkeypatch):
+    """The steps of fit_quality are those of the risk's slope, on both sides of a negative part of zero."""
+    random_rows = np.random.default_rng(4)
+    positive, unlabelled = random_rows.normal(0.5, 1, (30, 5)), random_rows.normal(0, 1, (50, 5))
+    for prior in (0.05, 0.95):  # the negative part is above zero, then below
+        seen = {}
+
+        def once(net, rules, gradients):
+            seen.update(net=net, gradients=[g.copy() for g in gradients()])
+
+        monkeypatch.setattr(quality, "_descend", once)
+        quality.fit_quality(positive, unlabelled, quality.PuRules(), prior)
+        net = seen["net"]
+        p, u = net.standard(positive), net.standard(unlabelled)
+
+        def risk():
+            sp, su = (1 / (1 + np.exp(-net.forward(x)[1])) for x in (p, u))
+            negative = su.mean() - prior * sp.mean()
+            return (prior * (1 - sp).mean() + negative if negative >= 0 else -negative), negative
+
+        assert (risk()[1] >= 0) == (prior == 0.05)
+        for part, gradient in zip(net.parts, seen["gradients"], strict=True):
+            for at in list(np.ndindex(part.shape))[:6]:
+                was, h = part[at], 1e-5
+                part[at] = was + h
+                above = risk()[0]
+                part[at] = was - h
+                below = risk()[0]
+                part[at] = was
+                assert abs((above - below) / (2 * h) - gradient[at]) < 1e-6
+
+
+def test_ids_that_repeat_teach_once(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    labels = read_table(spark, folder, "labels")
+    hot = docs.where(docs.doc_id < 12).crossJoin(spark.range(400)).select("doc_id", "text")
+    from linkweave.llm.sampling import one_text_each
+
+    for score in (toxicity.toxicity, quality.quality):
+        plain = {r.doc_id: r.score for r in score(docs, labels).collect()}
+        rows = score(docs.unionAll(hot), labels).collect()
+        assert len(rows) == docs.count() + hot.count()
+        assert all(abs(r.score - plain[r.doc_id]) < 1e-9 for r in rows)
+    one = one_text_each(docs.unionAll(hot), ["doc_id"])
+    assert one.count() == docs.count()
+    # tasks drop repeated rows before the exchange
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 # 4 decontamination
 
 def test_edited_copies_are_found(spark):
@@ -244,6 +321,35 @@ def test_pfair_stays_within_a_block():
             assert all(abs(seen[x] - a * slot / 500) < 1 for x, a in parts.items())
 
 
+@pytest.mark.parametrize("blocks", [
+    {"hot": 560, "warm": 44, "cool": 41, "one": 1, "few": 3}, {f"s{k:02}": 5 + 7 * k for k in range(32)}, {f"s{k:03}": 3 + k for k in range(400)},
+])
+def test_stretches_stay_within_a_block(blocks):
+    """In each stretch, a source that has blocks left is never one block off its share of the slots, however many sources there are."""
+    rules = mixing.MixRules()
+    plan = mixing.planned({s: n**0.5 for s, n in blocks.items()}, blocks, rules)
+    names = sorted(blocks)
+    slots = defaultdict(list)
+    for r in plan.slots.to_pylist():
+        slots[r["__stretch"]].append(r)
+    shares = {s["__code"]: {x["stretch"]: x for x in s["__stretches"]} for s in plan.shares.to_pylist()}
+    at = {}
+    for code, name in enumerate(names):
+        place = {(r["__stretch"], r["__nth"]): r for k in shares[code] for r in slots[k] if r["__code"] == code}
+        for block in range(blocks[name]):
+            x = [x for x in shares[code].values() if x["first"] <= block][-1]
+            turn, nth = divmod(block - x["first"], x["parts"])
+            r = place[x["stretch"], nth]
+            slot = turn * r["__period"] + r["__slot"]
+            assert slot not in at
+            at[slot] = (name, block)
+            base = min(y["__slot"] for y in slots[x["stretch"]])
+            # before and after this block
+            share = x["parts"] * (slot - base) / r["__period"]
+            assert abs(block - x["first"] - share) < 1 and abs(block - x["first"] + 1 - share - x["parts"] / r["__period"]) < 1
+    assert len(at) == sum(blocks.values())
+
+
 def test_mixture(spark, odd, empty):
     rows = frame(spark, [(k, "t", "big" if k % 3 else "small") for k in range(3000)])
     rules = mixing.MixRules(bucket_rows=100)
@@ -465,6 +571,15 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.formatted_turns(chat.canonical_turns(turns.limit(0)))).count() == 0
 
 
+def test_roles_are_read_back(spark):
+    roles = ["user", "a\nb", "\r", "back\\slash", "\\n", "<|im_end|>\n", "<\\|im_start|>", "", "assistant", "x\\\\\n"]
+    turns = spark.createDataFrame([(1, k, r, f"t{k}") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    [got] = chat.read_back(chat.formatted_turns(chat.canonical_turns(turns))).collect()
+    want = "".join(f"{r}\nt{k}\n" for k, r in enumerate(roles))
+    assert got.turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got.n_turns == len(roles)
+    assert got.loss_sha256 == hashlib.sha256(b"t8").hexdigest()
+
+
 def test_layouts(spark):
     records = [
         '{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}], "id": 1}', '{"conversations": [{"from": "human", "value": "q"}]}',
