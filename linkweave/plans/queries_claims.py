@@ -12,7 +12,7 @@ from linkweave.plans import oracle_text as O
 from linkweave.plans.queries_text import LABEL_KIND, LABEL_STRENGTH, label_cards
 from linkweave.plans.registry import ORACLES, query
 from linkweave.plans.tables import read_table
-from linkweave.session import cut_lineage
+from linkweave.session import cut_lineage, fresh_folder
 from linkweave.sources import sinks as Z
 
 # One text for both engines: each turn of a conversation claims a node and an edge to the turn before.
@@ -267,3 +267,37 @@ def claim_charts(spark, folder):
     return Z.scenario_mermaid(c.nodes, c.edges, V.path_steps(c)).select("graph_id", "line")
 
 
+_CITED = (
+    "cited as (select graph_id, 'node' as claim_kind, id as claim_id, unnest(evidence_ids) as evidence_id from nodes"
+    " union all select graph_id, 'edge', id, unnest(evidence_ids) from edges)"
+)
+
+
+@query(f"with {CLAIMS}, {_CITED} select graph_id, claim_kind, claim_id, evidence_id, kind, strength, file, snippet from cited join cards on cards.id=evidence_id")
+def stored_claims(spark, folder):
+    """Claims and the cards they cite, written to the result tables of a run and read back."""
+    out = fresh_folder(spark, "claims")
+    Z.write_tables(Z.claim_tables(claims(spark, folder)), out, "run-1")
+    cards = Z.read_table(spark, out, "evidence_cards").withColumnRenamed("id", "evidence_id")
+    return Z.read_table(spark, out, "claim_evidence").join(cards, "evidence_id").select(
+        "graph_id", "claim_kind", "claim_id", "evidence_id", "kind", "strength", "file", "snippet"
+    )
+
+
+@query(f"with {CLAIMS}, nn as (select graph_id, id as node, name from nodes),"
+       " head as (select g.graph_id, g.name, purpose, (select count(*) from nodes n where n.graph_id=g.graph_id) as n, (select count(*) from edges n where n.graph_id=g.graph_id) as e, (select count(*) from branches n where n.graph_id=g.graph_id) as b from graphs g),"
+       " main as (select graph_id, string_agg(coalesce(name, node), ' → ' order by pos) as route from chain left join nn using (graph_id, node) group by 1),"
+       " step as (select graph_id, id, origin, unnest(path) as node, generate_subscripts(path, 1) as k from branches),"
+       " way as (select graph_id, id, any_value(origin) as origin, string_agg(coalesce(name, node), ' → ' order by k) as route from step left join nn using (graph_id, node) group by 1, 2),"
+       " ed as (select e.*, coalesce(s.name, source) as sn, coalesce(t.name, target) as tn from edges e left join nn s on s.graph_id=e.graph_id and s.node=source left join nn t on t.graph_id=e.graph_id and t.node=target),"
+       " ev as (select graph_id, id as item, unnest(evidence_ids) as card, generate_subscripts(evidence_ids, 1) as k from edges), fi as (select distinct graph_id, file, included, reason from cover)"
+       " select graph_id, 0 as part, '' as item, 0 as rank, '# 业务场景宏观数据关系' as line from head union all select graph_id, 0, '', 1, '- 场景：'||name from head union all select graph_id, 0, '', 2, '- 目的：'||purpose from head"
+       " union all select graph_id, 0, '', 3, '- 节点：'||n||'；关系：'||e||'；分支：'||b from head"
+       " union all select graph_id, 1, '', 0, '## 主数据路径' from main union all select graph_id, 1, '', 1, route from main"
+       " union all select way.graph_id, 2, id, 0, '- '||coalesce(nn.name, origin)||' --[分支]→ '||route from way left join nn on nn.graph_id=way.graph_id and nn.node=origin"
+       " union all select graph_id, 3, id, 0, '### '||id||' · '||type from ed union all select graph_id, 3, id, 1, sn||' → '||tn from ed union all select graph_id, 3, id, 2, '- 置信度：'||printf('%.3f', confidence::double) from ed"
+       " union all select graph_id, 3, item, 2+k::int, '- `'||card||'` ['||strength||'] '||file||'：'||snippet from ev join cards on cards.id=card"
+       " union all select graph_id, 4, file, 0, '- 已纳入 `'||file||'`' from fi where included union all select graph_id, 5, file, 0, '- 排除 `'||file||'`：'||reason from fi where not included")
+def scenario_report(spark, folder):
+    """The report of every claimed graph: counts, main path, branches, relations with their evidence, files."""
+    return Z.scenario_report(claims(spark, folder))

@@ -130,6 +130,25 @@ def labelled_values(spark, folder):
     return found.where("source_kind = 'label'").select("doc_id", "label", "value")
 
 
+# One text for both engines; every fifth number is too long for a telephone.
+_NOTE = (
+    "concat('Order ref: ORD-', o_orderkey, ', customer no # CUST-', o_custkey, '/', o_orderstatus, '; call ',"
+    " case when o_orderkey % 5 = 0 then '9' else '' end, '1', 3 + o_custkey % 7, lpad(cast(o_orderkey as {text}), 9, '0'), ' now')"
+)
+
+
+@query(
+    f"with n as (select o_orderkey, {_NOTE.format(text='varchar')} as note from orders)"
+    " select o_orderkey, 'phone' as kind, 'phone' as label, regexp_extract(note, 'call ([0-9]+)', 1) as value from n where o_orderkey % 5 <> 0"
+    f" union all select o_orderkey, 'label', unnest(regexp_extract_all(note, '{_LAB}', 1)), lower(unnest(regexp_extract_all(note, '{_LAB}', 2))) from n"
+)
+def note_entities(spark, folder):
+    """Telephone numbers and labelled values in a note on each order."""
+    notes = read_table(spark, folder, "orders").selectExpr("o_orderkey", f"{_NOTE.format(text='string')} AS note")
+    found = notes.selectExpr("o_orderkey", f"inline({text_entities('note')})")
+    return found.where("source_kind IN ('phone', 'label')").select("o_orderkey", F.col("source_kind").alias("kind"), "label", "value")
+
+
 # Cards ----------------------------------------------------------------------------------------------
 
 

@@ -71,3 +71,68 @@ def scenario_mermaid(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> Da
     )
     heads = nodes.select("graph_id").distinct().selectExpr("graph_id", "0 AS part", "'' AS id", "'flowchart TB' AS line")
     return heads.unionByName(node_lines).unionByName(edge_lines)
+
+
+def claim_tables(claims) -> dict[str, DataFrame]:
+    """Result tables of claimed graphs: nodes, edges, which claim cites which card, and the cards that are cited at all."""
+    cited = [
+        rows.selectExpr("graph_id", f"'{kind}' AS claim_kind", "id AS claim_id", "explode(evidence_ids) AS evidence_id")
+        for kind, rows in (("node", claims.nodes), ("edge", claims.edges))
+    ]
+    evidence = cited[0].unionByName(cited[1])
+    return {
+        "nodes": claims.nodes.select("graph_id", "id", "name", "type"),
+        "edges": claims.edges.select("graph_id", "id", "source", "target", "type", "confidence"),
+        "claim_evidence": evidence,
+        "evidence_cards": claims.cards.join(evidence.select(F.col("evidence_id").alias("id")).distinct(), "id", "left_semi"),
+    }
+
+
+def _named(rows: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Rows with the name of the node in `column`, or its id where there is no such node, as {column}_name."""
+    names = nodes.selectExpr("graph_id", f"id AS {column}", "name AS __name")
+    return rows.join(names, ["graph_id", column], "left").selectExpr("* EXCEPT (__name)", f"coalesce(__name, {column}) AS {column}_name")
+
+
+def _route(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, route): the names of a path's nodes in order. A path is a line of its graph's report."""
+    return steps.groupBy(*keys).agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos, node_name))), x -> x.node_name), ' → ') AS route"))
+
+
+def scenario_report(claims) -> DataFrame:
+    """Markdown of many claimed graphs as (graph_id, part, item, rank, line), in which order they stand.
+
+    Names of unknown nodes are their ids. Graphs without branches, excluded files or evidence have no lines of these kinds.
+    Cards may have a locator beside their file.
+    """
+    c = claims
+    counts = c.graphs.select("graph_id", "name", "purpose")
+    for name, rows in (("n_nodes", c.nodes), ("n_edges", c.edges), ("n_branches", c.branches)):
+        counts = counts.join(rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name)), "graph_id", "left").fillna(0, name)
+    # Wording of the scenario report.
+    head = counts.selectExpr(
+        "graph_id", "0 AS part", "'' AS item",
+        "posexplode(array('# 业务场景宏观数据关系', concat('- 场景：', name), concat('- 目的：', purpose),"
+        " concat('- 节点：', n_nodes, '；关系：', n_edges, '；分支：', n_branches))) AS (rank, line)",
+    )
+    chain = _route(_named(c.chain, c.nodes, "node"), ["graph_id"]).selectExpr(
+        "graph_id", "1 AS part", "'' AS item", "posexplode(array('## 主数据路径', route)) AS (rank, line)"
+    )
+    steps = _named(c.branches.selectExpr("graph_id", "id", "posexplode(path) AS (pos, node)"), c.nodes, "node")
+    routes = _named(c.branches.select("graph_id", "id", "origin"), c.nodes, "origin").join(_route(steps, ["graph_id", "id"]), ["graph_id", "id"])
+    branches = routes.selectExpr("graph_id", "2 AS part", "id AS item", "0 AS rank", "concat('- ', origin_name, ' --[分支]→ ', route) AS line")
+    edges = _named(_named(c.edges, c.nodes, "source"), c.nodes, "target").selectExpr(
+        "graph_id", "3 AS part", "id AS item",
+        "posexplode(array(concat('### ', id, ' · ', type), concat(source_name, ' → ', target_name),"
+        " concat('- 置信度：', format_string('%.3f', double(confidence))))) AS (rank, line)",
+    )
+    place = "concat(file, '#', locator)" if "locator" in c.cards.columns else "file"
+    cited = c.edges.selectExpr("graph_id", "id AS item", "posexplode(evidence_ids) AS (at, id)").join(c.cards, "id")
+    proofs = cited.selectExpr("graph_id", "3 AS part", "item", "3 + at AS rank", f"concat('- `', id, '` [', strength, '] ', {place}, '：', snippet) AS line")
+    files = c.coverage.select("graph_id", "file", "included", "reason").distinct()
+    covered = files.where("included").selectExpr("graph_id", "4 AS part", "file AS item", "0 AS rank", "concat('- 已纳入 `', file, '`') AS line")
+    left_out = files.where("NOT included").selectExpr("graph_id", "5 AS part", "file AS item", "0 AS rank", "concat('- 排除 `', file, '`：', reason) AS line")
+    out = head
+    for rows in (chain, branches, edges, proofs, covered, left_out):
+        out = out.unionByName(rows)
+    return out
