@@ -507,7 +507,11 @@ _DELAY, _FILES = 0.25, 5
 
 
 def arrivals(spark, rows: DataFrame, closing: dict[str, str]) -> tuple[DataFrame, str]:
-    """(stream, lateness that lets all of it through) of rows with ts and seq; `closing` has the columns of the last row (SQL)."""
+    """(stream, lateness that lets all of it through) of rows with ts and seq; `closing` has the columns of the last row (SQL).
+
+    The last row stands a day more than the lateness after all others, so the watermark passes them, and no further: Python holds times
+    of the years 1678 to 2261 only.
+    """
     out, rows = fresh_folder(spark, "arrivals"), cut_lineage(rows.withColumn("ts", F.col("ts").cast("timestamp")))
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     delay = max(1, int((high - low) * _DELAY))
@@ -515,7 +519,7 @@ def arrivals(spark, rows: DataFrame, closing: dict[str, str]) -> tuple[DataFrame
     placed = rows.withColumn("file", F.expr(f"(unix_micros(ts) - {low} + pmod(xxhash64(seq), {delay})) div {width}"))
     for n in range(_FILES):
         placed.where(f"file = {n}").drop("file").coalesce(1).write.parquet(f"{out}/events.parquet/{n}")
-    last = rows.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(high + 1000 * width)), **{c: F.expr(x) for c, x in closing.items()}})
+    last = rows.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(high + 2 * (delay + width) + 86_400_000_000)), **{c: F.expr(x) for c, x in closing.items()}})
     last.coalesce(1).write.parquet(f"{out}/events.parquet/{_FILES}")
     return J.table_stream(spark, out, "events", files_per_batch=1), f"{(delay + width) // 1_000_000 + 1} seconds"
 

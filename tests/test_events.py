@@ -304,3 +304,20 @@ def test_versions_as_of_many_times(spark):
     for width in (100, 3000, 10**6):
         got = {r["n"]: (r["version"], r["snapshot"]) for r in N.versions_at(requests, known, width=width).collect()}
         assert got == want
+
+
+def test_long_streams_close_within_the_range_of_times(spark):
+    """Rows of two years: the row that closes their stream stays a time that Python can hold, and all of them are answered."""
+    from linkweave.plans.queries_events import arrivals
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    calls = spark.range(40).selectExpr(
+        "1L AS scope", "'c' || id % 3 AS call_id", "id AS seq", "'t' AS name", "'a' AS arguments", "if(id < 9, 'failed', 'succeeded') AS status",
+        "'r' || id AS result", "true AS retry_safe", "timestamp_seconds(1700000000 + id * 86400 * 20) AS ts",
+    )
+    stream, late = arrivals(spark, calls, {"scope": "-1L"})
+    out = fresh_folder(spark, "long")
+    J.run_to_folder(ledger_stream(stream, late), out)
+    got = {r["seq"]: (r["answer"], r["result"]) for r in J.read_batches(spark, out).collect()}
+    want = {n: ("execute", None) if n < 3 else ("retry", None) if n < 12 else ("replay", f"r{9 + n % 3}") for n in range(40)}
+    assert got == want
