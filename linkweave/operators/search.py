@@ -30,11 +30,17 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 5, key: str =
     return scored.drop("vector", "norm").orderBy(F.desc("similarity"), key).limit(k)
 
 
-BLOCK_QUERIES = 2048
-"""Queries that meet the chunks at a time; their vectors are one row."""
+BLOCK_QUERIES = 1 << 14
+"""Queries of a meeting, at about."""
 
-BLOCK_VALUES = 1 << 20
-"""Numbers of a block of chunks."""
+BLOCK_CHUNKS = 1 << 15
+"""Chunks of a meeting, at about."""
+
+STEP_QUERIES, STEP_CHUNKS = 1024, 512
+"""Rows and columns of the products of matrices that a meeting is worked out by."""
+
+SLACK = 2e-5
+"""More than single precision and the rounding to six digits can change a similarity by."""
 
 
 def _matrix(vectors: pa.Array, count: int) -> np.ndarray:
@@ -44,34 +50,75 @@ def _matrix(vectors: pa.Array, count: int) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def _best(scores: np.ndarray, queries: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, chunk, score) of the k best of each row of scores, equal scores by chunk; a query is not its own result."""
-    scores = np.where(queries[:, None] == chunks[None, :], -2.0, np.round(scores, 6))
-    at = max(scores.shape[1] - k, 0)
-    least = np.partition(scores, at, axis=1)[:, at]
-    q, c = np.nonzero((scores >= least[:, None]) & (scores > -2.0))  # with all that tie with the last
-    order = np.lexsort((chunks[c], -scores[q, c], q))
-    q, c = q[order], c[order]
-    first = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return queries[q[first]], chunks[c[first]], scores[q[first], c[first]]
-
+def _ranked(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (row, id, score) of each row, equal scores by id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], ids[first], scores[first]
 
-def chunk_blocks(vectors: DataFrame, key: str) -> DataFrame:
-    """(ids, vectors): rows of many chunks each, packed where they are read."""
-
-    def pack(batches):
-        for batch in batches:
-            width = max(len(batch.column(1).flatten()) // max(batch.num_rows, 1), 1)
-            for low in range(0, batch.num_rows, max(BLOCK_VALUES // width, 1)):
-                part = batch.slice(low, max(BLOCK_VALUES // width, 1))
-                yield pa.RecordBatch.from_arrays([_one(part.column(0)), _one(part.column(1))], names=["ids", "vectors"])
 
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    return rows.mapInArrow(pack, "ids array<long>, vectors array<array<double>>")
+def _nearest(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, chunks: np.ndarray, k: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, chunk, similarity) of the k nearest chunks of each query; a query is not its own result.
 
-
-def _one(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    Single precision picks what may be among the k best so far, double precision ranks it. `wanted(low, high)`: which queries meet the
+    chunks from low to high; None for all.
+    """
+    quick, quick_chunks = queries.astype(np.float32), chunks.astype(np.float32)
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(asked), -2.0, np.float32)
+    for low in range(0, len(ids), STEP_CHUNKS):
+        high = min(low + STEP_CHUNKS, len(ids))
+        rows = wanted(low, high)
+        some = np.arange(len(asked)) if rows is None else np.flatnonzero(rows)
+        if not len(some):
+            continue
+        scores = (quick if rows is None else quick[some]) @ quick_chunks[low:high].T
+        bound, fresh = least[some], np.flatnonzero(least[some] <= -2)
+        if len(fresh) and high - low > k:  # one more than k, for a query may be there itself
+            bound[fresh] = np.partition(scores[fresh], high - low - k - 1, axis=1)[:, high - low - k - 1] - SLACK
+        q, c = np.nonzero(scores >= bound[:, None])
+        q, c = some[q], c + low
+        other = asked[q] != ids[c]
+        q, c = q[other], c[other]
+        if not len(q):
+            continue
+        exact = np.round(np.einsum("ij,ij->i", queries[q], chunks[c]), 6)
+        best = _ranked(*(np.concatenate(x) for x in zip(best, (q, ids[c], exact), strict=True)), k)
+        last = np.flatnonzero(np.bincount(best[0], minlength=len(asked)) == k)
+        least[last] = best[2][np.searchsorted(best[0], last, "right") - 1] - SLACK
+    return asked[best[0]], best[1], best[2]
+
+
+def _vectors(rows: DataFrame, key: str) -> DataFrame:
+    """(id, vector) of rows with an embedding, in the precision it has."""
+    kind = rows.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    return rows.select(F.col(key).cast("long").alias("id"), vector.alias("vector")).where("vector IS NOT NULL")
+
+
+def _met(chunks: DataFrame, asked: DataFrame, k: int, key: str, query_key: str, plan: HyperplanePlan | None = None) -> DataFrame:
+    """The k best of each query over all meetings of chunks (id, vector, part) and queries (id, vector, part, block)."""
+    schema = pa.schema([(query_key, pa.int64()), (key, pa.int64()), ("similarity", pa.float64())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            (queries, asked), (chunks, ids) = ((_matrix(t["vector"].combine_chunks(), t.num_rows), t["id"].to_numpy()) for t in (left, right))
+            place = (plan.codes(queries), plan.codes(chunks)) if plan else (np.zeros(len(asked)), np.zeros(len(ids)))
+            by_query, by_chunk = np.lexsort((asked, place[0])), np.lexsort((ids, place[1]))
+            queries, asked, chunks, ids, codes = queries[by_query], asked[by_query], chunks[by_chunk], ids[by_chunk], place[1][by_chunk]
+            for low in range(0, len(asked), STEP_QUERIES):
+                some = queries[low : low + STEP_QUERIES]
+                lists = plan.lists(some) if plan else None
+                wanted = (lambda a, b, lists=lists: lists[:, np.unique(codes[a:b])].any(axis=1)) if plan else lambda a, b: None
+                found.append(_nearest(asked[low : low + STEP_QUERIES], some, ids, chunks, k, wanted))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.table(columns, schema=schema)
+
+    cells = [rows.groupBy("part", "block") for rows in (asked, chunks)]
+    best = cells[0].cogroup(cells[1]).applyInArrow(meet, f"{query_key} long, {key} long, similarity double")
+    return best.selectExpr("*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank").where(f"rank <= {k}")
 
 
 def vector_top_k_many(
@@ -79,82 +126,144 @@ def vector_top_k_many(
 ) -> DataFrame:
     """Top-k of many queries over all chunks, exact, without forming a pair row.
 
-    Queries are dealt into blocks of BLOCK_QUERIES, one row each, and blocks of chunks meet blocks of queries in an equi-join on the
-    block's number: Spark broadcasts the queries while they are small and else deals the blocks out. Each meeting is one product of
-    matrices that leaves k rows a query; only those are ranked again. Nothing but a count reaches the driver.
+    Chunks are dealt into parts and queries into blocks of bounded size; each part meets each block in a group of its own, which is worked
+    out by small products of matrices and leaves k rows a query; only those are ranked again. Nothing but two counts reaches the driver. The
+    time grows with chunks x queries, the memory of a task does not grow.
     """
-    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    packed = cut_lineage(
-        asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.expr("array_sort(collect_list(struct(id, vector))) AS asked"))
-        .selectExpr("block", "asked.id AS query_ids", "asked.vector AS queries"), "queries",
+    chunks, asked = _vectors(vectors, key), _vectors(queries, query_key)
+    parts, blocks = max(1, -(-chunks.count() // BLOCK_CHUNKS)), max(1, -(-asked.count() // BLOCK_QUERIES))
+    dealt = [F.pmod(F.xxhash64("id"), F.lit(n)) for n in (parts, blocks)]
+    every = [F.expr(f"explode(sequence(0L, {n - 1}L))") for n in (parts, blocks)]
+    return _met(
+        chunks.withColumn("part", dealt[0]).withColumn("block", every[1]), asked.withColumn("block", dealt[1]).withColumn("part", every[0]),
+        k, key, query_key,
     )
-    meetings = chunk_blocks(vectors, key).withColumn("block", F.expr(f"explode(sequence(0L, {blocks - 1}L))")).join(packed, "block")
-
-    def score(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, vectors, query_ids, queries = (batch.column(c)[row].values for c in ("ids", "vectors", "query_ids", "queries"))
-                asked, chunks = query_ids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
-                q, c, s = _best(_matrix(queries, len(asked)) @ _matrix(vectors, len(chunks)).T, asked, chunks, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=[query_key, key, "similarity"])
-
-    best = meetings.select("ids", "vectors", "query_ids", "queries").mapInArrow(score, f"{query_key} long, {key} long, similarity double")
-    return best.selectExpr("*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank").where(f"rank <= {k}")
 
 
 @dataclass(frozen=True)
 class HyperplaneRules:
-    tables: int = 12
-    """Independent sets of planes: a chunk stands in one bucket of each."""
-    probes: int = 4
-    """Further buckets a table that a query looks into: those across the planes it lies nearest to."""
     bucket: int = 64
-    """Chunks a bucket to aim at; sets the number of planes from the number of chunks."""
+    """Chunks a list to aim at; sets the number of planes from the number of chunks."""
+    most_planes: int = 10
+    """Bound on the planes: a query weighs all lists, so 1024 at most."""
+    recall: float = 0.95
+    """Share of the exact neighbours of the sampled queries that the lists looked into must hold."""
+    sample: int = 256
+    """Queries whose exact neighbours are found to fit the number of lists looked into."""
     seed: int = 7
 
 
-def _bucketed(rows: DataFrame, bits: int, rules: HyperplaneRules, probes: int) -> DataFrame:
-    """(id, bucket) of rows (id, vector): the sides of the planes that a vector lies on, and its next best sides."""
+@dataclass
+class HyperplanePlan:
+    """Planes, the chunks of each list (the sides of the planes they lie on) and how many lists a query looks into."""
+
+    planes: np.ndarray
+    sizes: np.ndarray
+    probes: int = 1
+
+    def __post_init__(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) // BLOCK_CHUNKS
+        self.parts = np.maximum(1, -(-self.sizes // BLOCK_CHUNKS))
+        """A list stands in one part with its neighbours; one of more than BLOCK_CHUNKS chunks is spread over several."""
+
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        return (rows @ self.planes > 0) @ (1 << np.arange(self.planes.shape[1], dtype=np.int64))
+
+    def costs(self, rows: np.ndarray) -> np.ndarray:
+        """How far each row lies from each list: squared distances to the planes between them; lists without chunks are endlessly far."""
+        side = rows @ self.planes
+        bits = (np.arange(len(self.sizes))[:, None] >> np.arange(self.planes.shape[1])) & 1
+        cost = np.where(side > 0, side, 0) ** 2 @ (1 - bits).T + np.where(side > 0, 0, side) ** 2 @ bits.T
+        return np.where(self.sizes[None, :] > 0, cost, np.inf)
+
+    def lists(self, rows: np.ndarray) -> np.ndarray:
+        """Which lists each row looks into."""
+        cost = self.costs(rows)
+        far = np.partition(cost, self.probes - 1, axis=1)[:, self.probes - 1]
+        return (cost <= far[:, None]) & np.isfinite(cost)
+
+    def chunk_parts(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        code = self.codes(rows)
+        turn = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[code] + (turn % self.parts[code].astype(np.uint64)).astype(np.int64)
+
+    def query_parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part): the parts that hold a list each row looks into."""
+        holds = np.zeros((len(self.sizes), int((self.first + self.parts).max())), np.float32)
+        for code in np.flatnonzero(self.sizes):
+            holds[code, self.first[code] : self.first[code] + self.parts[code]] = 1
+        return np.nonzero(self.lists(rows).astype(np.float32) @ holds)
+
+
+def hyperplane_plan(chunks: DataFrame, asked: DataFrame, k: int, rules: HyperplaneRules) -> HyperplanePlan | None:
+    """Planes for chunks (id, vector) and the number of lists that hold `rules.recall` of the exact neighbours of some queries.
+
+    The driver holds the sizes of at most 1024 lists, and the sampled queries with their neighbours.
+    """
+    total = chunks.count()
+    sample = cut_lineage(asked.orderBy(F.xxhash64("id"), "id").limit(rules.sample), "sample")
+    listed = sample.toArrow()
+    if not listed.num_rows or not total:
+        return None
+    rows = _matrix(listed["vector"].combine_chunks(), listed.num_rows)
+    bits = min(rules.most_planes, rows.shape[1], max(1, math.ceil(math.log2(max(total, 2) / rules.bucket))))
+    planes = np.linalg.qr(np.random.default_rng(rules.seed).standard_normal((rows.shape[1], bits)))[0]
+    plan = HyperplanePlan(planes, np.ones(1 << bits, np.int64))
 
     def place(batches):
-        turn = np.random.default_rng(rules.seed)
-        planes = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = _matrix(batch.column(1), len(ids))
-            if planes is None and len(ids):
-                planes = turn.standard_normal((x.shape[1], rules.tables * bits))
-            for t in range(rules.tables if len(ids) else 0):
-                side = x @ planes[:, t * bits : (t + 1) * bits]
-                code = (side > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                near = np.argsort(np.abs(side), axis=1)[:, :probes]
-                codes = np.column_stack([code, *(code ^ (1 << near[:, p].astype(np.int64)) for p in range(min(probes, bits)))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, codes.shape[1])), pa.array((t << 48) + codes.ravel())], names=["id", "bucket"]
-                )
-
-    return rows.mapInArrow(place, "id long, bucket long")
+            yield pa.RecordBatch.from_arrays([pa.array(plan.codes(_matrix(batch.column(1), batch.num_rows)))], names=["code"])
+
+    sizes = np.zeros(1 << bits, np.int64)
+    for row in chunks.select("id", "vector").mapInArrow(place, "code long").groupBy("code").count().collect():
+        sizes[row["code"]] = row["count"]
+    plan = HyperplanePlan(planes, sizes)
+    exact = vector_top_k_many(
+        chunks.withColumnRenamed("vector", "embedding"), sample.selectExpr("id AS query_id", "vector AS embedding"), k, "id", "query_id"
+    ).select("query_id", "id")
+    near = exact.join(chunks, "id").select("query_id", "vector").toArrow()
+    order = np.argsort(listed["id"].to_numpy())
+    at = order[np.searchsorted(listed["id"].to_numpy(), near["query_id"].to_numpy(), sorter=order)]
+    costs = plan.costs(rows)
+    found = plan.codes(_matrix(near["vector"].combine_chunks(), near.num_rows))
+    before = np.sort((costs[at] < costs[at, found][:, None]).sum(axis=1))  # lists nearer than that of a neighbour
+    return HyperplanePlan(planes, sizes, 1 + int(before[math.ceil(rules.recall * len(before)) - 1]) if len(before) else 1)
 
 
 def vector_top_k_probed(
     vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", rules: HyperplaneRules = HyperplaneRules()
 ) -> DataFrame:
-    """Top-k of many queries among the chunks that share a bucket of random hyperplanes with them, by their exact similarity.
+    """Top-k of many queries among the chunks of the lists nearest to them, by their exact similarity.
 
-    Every chunk is indexed. A query meets the buckets on its own sides of the planes and those across its nearest planes, so the work a query
-    grows with the size of the buckets and not with the chunks; a few neighbours may be missed (see vector_recall).
+    Every chunk stands in the list of its sides of some planes. How many lists a query looks into is fitted on a bounded sample of the
+    queries, whose exact neighbours are found: few where vectors lie in groups, half of all and more where they have no structure. Parts of
+    neighbouring lists meet blocks of the queries that look into them, as in vector_top_k_many, and no pair is a row. A few neighbours may
+    be missed (see vector_recall).
     """
-    chunks = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    bits = min(40, max(1, math.ceil(math.log2(max(chunks.count(), 2) / rules.bucket)))) if rules.bucket else 1
-    index = _bucketed(chunks, bits, rules, 0)
-    probes = _bucketed(asked, bits, rules, rules.probes).withColumnRenamed("id", query_key)
-    pairs = probes.join(index.withColumnRenamed("id", key), "bucket").where(F.col(query_key) != F.col(key)).select(query_key, key).distinct()
-    unit = "transform(vector, x -> x / greatest(sqrt(aggregate(vector, 0D, (a, y) -> a + y * y)), 1e-300D))"
-    met = pairs.join(chunks.selectExpr(f"id AS {key}", f"{unit} AS c"), key).join(asked.selectExpr(f"id AS {query_key}", f"{unit} AS q"), query_key)
-    scored = met.selectExpr(query_key, key, "round(aggregate(zip_with(c, q, (a, b) -> a * b), 0D, (a, x) -> a + x), 6) AS similarity")
-    return scored.selectExpr("*", f"row_number() OVER (PARTITION BY {query_key} ORDER BY similarity DESC, {key}) AS rank").where(f"rank <= {k}")
+    chunks, asked = _vectors(vectors, key), _vectors(queries, query_key)
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    plan = hyperplane_plan(chunks, asked, k, rules)
+    if plan is None:
+        return vector_top_k_many(vectors, queries, k, key, query_key)
+
+    def chunk_parts(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            parts = plan.chunk_parts(_matrix(batch.column(1), len(ids)), ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts)], names=["id", "vector", "part"])
+
+    def query_parts(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, STEP_QUERIES):
+                some = batch.slice(low, STEP_QUERIES)
+                row, part = plan.query_parts(_matrix(some.column(1), some.num_rows))
+                yield pa.RecordBatch.from_arrays([*some.take(pa.array(row)).columns, pa.array(part)], names=["id", "vector", "part"])
+
+    kinds = [f"id long, vector {rows.schema['vector'].dataType.simpleString()}, part long" for rows in (chunks, asked)]
+    return _met(
+        chunks.mapInArrow(chunk_parts, kinds[0]).withColumn("block", F.expr(f"explode(sequence(0L, {blocks - 1}L))")),
+        asked.mapInArrow(query_parts, kinds[1]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), k, key, query_key, plan,
+    )
 
 
 def vector_recall(exact: DataFrame, found: DataFrame, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:

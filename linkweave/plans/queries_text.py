@@ -540,7 +540,7 @@ def chunks_and_queries(spark, folder) -> tuple[DataFrame, DataFrame]:
     " select n * least(5, (select count(*) - 1 from embeddings)) as wanted, true as recalled from q"
 )
 def vector_probe_recall(spark, folder):
-    """Whether the search by hyperplane buckets finds nine in ten of the exact five neighbours of all queries."""
+    """Whether the search by hyperplane lists finds nine in ten of the exact five neighbours of all queries."""
     chunks, queries = chunks_and_queries(spark, folder)
     exact = cut_lineage(R.vector_top_k_many(chunks, queries, 5))
     return R.vector_recall(exact, R.vector_top_k_probed(chunks, queries, 5)).selectExpr("wanted", "recall >= 0.9 AS recalled")
@@ -548,7 +548,7 @@ def vector_probe_recall(spark, folder):
 
 @query()
 def vector_top_k_probed(spark, folder):
-    """Five near chunks of each query from the buckets of random hyperplanes, by exact similarity."""
+    """Five near chunks of each query from the lists nearest to it, by exact similarity."""
     return R.vector_top_k_probed(*chunks_and_queries(spark, folder), 5).select("query_id", "chunk_id", "rank", "similarity")
 
 

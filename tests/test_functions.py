@@ -192,6 +192,32 @@ def test_vector_search_of_many_queries(spark):
     assert R.vector_top_k_many(chunks, queries.limit(0), 7).count() == R.vector_top_k_probed(chunks.limit(0), queries, 7).count() == 0
 
 
+def test_probed_lists_are_dealt_out(spark):
+    """A list of very many equal vectors is spread over parts, a query goes to all parts of the lists it looks into, and no pair is a row."""
+    import numpy as np
+
+    from linkweave.operators import search as R
+
+    turn = np.random.default_rng(5)
+    x = np.vstack([np.tile(turn.standard_normal(8), (900, 1)), turn.standard_normal((300, 8))])
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id long, embedding array<double>").repartition(3)
+    queries = chunks.where("chunk_id % 50 = 0").selectExpr("chunk_id AS query_id", "embedding")
+    R.BLOCK_CHUNKS, kept = 200, R.BLOCK_CHUNKS
+    plan = R.hyperplane_plan(R._vectors(chunks, "chunk_id"), R._vectors(queries, "query_id"), 5, R.HyperplaneRules())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    parts = plan.chunk_parts(unit, np.arange(len(x)))
+    row, part = plan.query_parts(unit[::50])
+    assert np.bincount(parts).max() <= 2 * 200 and plan.sizes.sum() == len(x)
+    assert len(row) <= len(unit[::50]) * len(np.unique(parts)) and len(set(zip(row, part))) == len(row)
+    got = {}
+    for r in R.vector_top_k_probed(chunks, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["similarity"]))
+    R.BLOCK_CHUNKS = kept
+    for q in range(0, 900, 50):  # copies of one vector, ties by id
+        assert got[q] == [(c, 1.0) for c in range(6) if c != q][:5]
+    assert set(got) == set(range(0, 1200, 50))
+
+
 def plain(value):
     """Rows and maps as dictionaries, for comparison."""
     if hasattr(value, "asDict"):
