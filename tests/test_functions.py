@@ -232,6 +232,26 @@ def test_probed_recall_of_vectors_without_structure(spark):
     assert found["wanted"] == 1000 and found["recall"] >= 0.9
 
 
+def test_memory_of_a_meeting_is_bounded():
+    """A full block of queries and part of chunks is worked out in steps: less than 150 MB, whatever their number."""
+    import tracemalloc
+
+    import numpy as np
+
+    from linkweave.operators import search as R
+
+    x = np.random.default_rng(2).standard_normal((20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    q, c, s = R._nearest(np.arange(1024), x[:1024], np.arange(20_000), x, 5, lambda low, high: None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and (np.bincount(q) == 5).all()
+    for n in (0, 77, 1023):
+        scores = np.round(x @ x[n], 6)
+        assert list(zip(c[q == n], s[q == n])) == [(k, scores[k]) for k in np.lexsort((np.arange(20_000), -scores)) if k != n][:5]
+
+
 def plain(value):
     """Rows and maps as dictionaries, for comparison."""
     if hasattr(value, "asDict"):
