@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkweave.llm.decontamination import decontaminated
 from linkweave.llm.mixing import mixed
@@ -34,13 +36,26 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture of sources."""
+    """All documents in the order of the mixture of sources; the order of the rows in its files is what the next stage takes."""
     return mixed(docs).orderBy("position").select(docs.columns)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """The rows with `position`, their place (from 0) in the order in which the stage before has written them."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        rows.schema
+    except AnalysisException:  # not read from files
+        rows = docs.select("*", F.format_string("%010d", F.spark_partition_id()).alias("__file"), F.expr("monotonically_increasing_id() & ((1L << 33) - 1)").alias("__row"))
+    before = "coalesce(sum(__rows) OVER (ORDER BY __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS __before"
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows")).selectExpr("__file", before)
+    # a row a file
+    return rows.join(F.broadcast(files), "__file").withColumn("position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot and shard."""
-    return sharded(docs)
+    """All documents with their slot, shard and position in the mixture; the rows of a shard stand together, in the order of the mixture."""
+    return sharded(in_order(docs)).orderBy("shard", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -633,6 +633,22 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.select(docs.columns).collect(), docs.schema)
 
 
+def test_shards_keep_the_order_of_the_mixture(spark):
+    """What the mixing stage has ordered, the sharding stage numbers, from files and from rows in memory, and each shard holds in that order."""
+    import corpus_pipeline as pipeline
+
+    from linkweave.session import cut_lineage
+
+    docs = frame(spark, [(k, "t", ("a", "b", None)[k % 17 // 7]) for k in range(700)])
+    want = [r.doc_id for r in sorted(mixing.mixed(docs).collect(), key=lambda r: r.position)]
+    kept = pipeline.keep_mixture(spark, docs, "")
+    for rows in (cut_lineage(kept), spark.createDataFrame(kept.collect(), docs.schema)):
+        placed = pipeline.place(spark, rows, "").collect()
+        assert [r.doc_id for r in sorted(placed, key=lambda r: r.position)] == want
+        assert sorted(r.position for r in placed) == list(range(700))
+        assert [(r.shard, r.position) for r in placed] == sorted((r.shard, r.position) for r in placed)
+
+
 @pytest.mark.parametrize("name", ["op5_sharding", "op7_near_duplicates", "op10_chat"])
 def test_queries_match_sql(spark, folder, name):
     import duckdb
