@@ -5,7 +5,7 @@ Expression text in, expression text out.
 
 from __future__ import annotations
 
-from linkweave.functions.text import casefold, contains_any, count_of, cut, flat_text, quoted, raw, replace_all
+from linkweave.functions.text import SPACE, casefold, contains_any, cut, flat_text, quoted, raw, replace_all
 
 # Words that state a relationship.
 RELATION_MARKERS = (
@@ -42,7 +42,9 @@ def split_statements(x: str, commas: bool = False, limit: int = 320) -> str:
     """Array of statements of six characters or more; `commas` also splits at commas."""
     stops = _STOPS + "，," if commas else _STOPS
     parts = f"split({x}, {raw('(?<=[' + stops + '])' + chr(92) + 's*|[' + chr(92) + 'r' + chr(92) + 'n]+')})"
-    flat = f"filter(transform({parts}, p -> {flat_text('p')}), p -> char_length(p) >= 6)"
+    # most parts have single blanks only, which stay as they are
+    odd = f"contains(p, '  ') OR p rlike {raw(SPACE.replace(chr(92) + 'x20', chr(92) + 'x1f'))}"
+    flat = f"filter(transform({parts}, p -> if({odd}, {flat_text('p')}, trim(p))), p -> char_length(p) >= 6)"
     return f"transform({flat}, p -> {cut('p', limit)})"
 
 
@@ -63,11 +65,21 @@ def relation_markers(folded: str, limit: int = 12) -> str:
     return f"slice(array_sort(filter(array({quoted(RELATION_MARKERS)}), m -> contains({folded}, m))), 1, {limit})"
 
 
+def _present(folded: str, markers: tuple[str, ...]) -> str:
+    """How many of the markers a statement holds. A list and one test of it, for a sum of a hundred tests makes a method that the JVM does
+    not compile; markers beyond ASCII are looked for only in statements beyond ASCII."""
+    plain, other = ([m for m in markers if m.isascii() is ascii_only] for ascii_only in (True, False))
+    found = [f"size(filter(array({quoted(some)}), m -> contains({folded}, m)))" for some in (plain, other) if some]
+    if other:
+        found[-1] = f"if(octet_length({folded}) > char_length({folded}), {found[-1]}, 0)"
+    return "(" + " + ".join(found) + ")"
+
+
 def marker_score(folded: str) -> str:
     """Three for each relation marker, two for any order word, two for any condition word."""
     return (
-        f"(3 * {count_of(folded, RELATION_MARKERS)} + 2 * int({contains_any(folded, SEQUENCE_MARKERS)})"
-        f" + 2 * int({contains_any(folded, BRANCH_MARKERS)}))"
+        f"(3 * {_present(folded, RELATION_MARKERS)} + 2 * int({_present(folded, SEQUENCE_MARKERS)} > 0)"
+        f" + 2 * int({_present(folded, BRANCH_MARKERS)} > 0))"
     )
 
 

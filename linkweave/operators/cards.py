@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 from linkweave.config import Limits
 from linkweave.functions import statements as S
 from linkweave.functions.headers import ROLE_MARKERS, business_role, material_role
-from linkweave.functions.text import casefold, cut, flat_text, normalize_name, quote, quoted, stable_id, when
+from linkweave.functions.text import casefold, cut, flat_text, normalize_name, plain_name, quote, quoted, stable_id, when
 from linkweave.functions.values import heading_like
-from linkweave.operators.links import explicit_references
+from linkweave.operators.links import lower_fold, name_anchors, text_pieces
 from linkweave.operators.occurrences import with_row_number
-from linkweave.session import spread
+from linkweave.session import cut_lineage, spread
 
 CARD = ("id", "kind", "strength", "statement", "file", "locator", "facts", "snippet", "files")
 STATEMENT_KINDS = (
@@ -46,9 +46,9 @@ def make_cards(
 
 def scored_statements(segments: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(file, locator, text) -> one row per statement with its folded form and marker score."""
-    parts = segments.selectExpr("file", "locator", *extra, f"explode({S.split_statements('text')}) AS statement")
-    folded = parts.selectExpr("*", f"{casefold('statement')} AS folded")
-    return folded.selectExpr("*", f"{S.marker_score('folded')} AS score")
+    # folded where it is split: a filter on the score would else fold the statement again for every marker
+    each = f"transform({S.split_statements('text')}, s -> named_struct('statement', s, 'folded', {casefold('s')}))"
+    return segments.selectExpr("file", "locator", *extra, f"inline({each})").selectExpr("*", f"{S.marker_score('folded')} AS score")
 
 
 def best_statements(scored: DataFrame, keep: int = 40, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +58,7 @@ def best_statements(scored: DataFrame, keep: int = 40, extra: tuple[str, ...] =
     or a file with a third of all statements sends only its best rows on.
     """
     order = "score DESC, locator, statement"
-    named = scored.where("score > 0").selectExpr("*", f"{normalize_name('statement')} AS name").where("name <> ''")
+    named = scored.where("score > 0").selectExpr("*", f"{plain_name('folded')} AS name").where("name <> ''")
     once = named.selectExpr("*", f"row_number() OVER (PARTITION BY file, name ORDER BY {order}) AS copy")
     ranked = once.where("copy = 1").selectExpr("*", f"row_number() OVER (PARTITION BY file ORDER BY {order}) AS rank")
     return ranked.where(f"rank <= {keep}").selectExpr(
@@ -70,11 +70,11 @@ def mention_scores(scored: DataFrame, names: DataFrame) -> DataFrame:
     """Adds to the score what other files' names give: 6 for the name itself, else 2 < overlap <= 6.
 
     names: (path, file_name, stem). Overlap needs three shared tokens, so a name with n tokens is found
-    through its n-2 rarest ones; common tokens never drive the join.
+    through its n-2 rarest ones; common tokens never drive the join. Statements are short, so they travel with their
+    pieces: one pass finds all mentions, and only those are shuffled.
     """
     keyed = scored.selectExpr("*", "xxhash64(file, locator, statement) AS sid")
-    texts = keyed.selectExpr("concat(file, '\\0', sid) AS path", "statement AS text", "'' AS locator").distinct()
-    explicit = explicit_references(texts, names).selectExpr("source", "target", "6 AS gain")
+    anchors = name_anchors(names)
     name_tokens = names.where("char_length(file_name) >= 4").selectExpr(
         "path AS target", f"{S.relation_tokens('stem')} AS all_tokens"
     ).where("size(all_tokens) >= 3")
@@ -82,26 +82,31 @@ def mention_scores(scored: DataFrame, names: DataFrame) -> DataFrame:
     counts = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rare = spread.join(counts, "token").selectExpr(
         "*", "row_number() OVER (PARTITION BY target ORDER BY n, token) AS r"
-    ).where("r <= size(all_tokens) - 2")
-    words = texts.selectExpr("path AS source", f"{S.relation_tokens('text')} AS tokens").selectExpr(
-        "*", "explode(tokens) AS token"
-    )
-    overlap = words.join(rare, "token").selectExpr(
-        "source", "target", "least(6, size(array_intersect(tokens, all_tokens))) AS gain"
-    ).where("gain >= 3")
+    ).where("r <= size(all_tokens) - 2").selectExpr("target", "'' AS folded_name", f"{TOKEN_MODE} AS mode", "token AS piece", "all_tokens")
+    # written, so that Spark knows its size
+    known = cut_lineage(anchors.selectExpr("*", "cast(NULL AS array<string>) AS all_tokens").unionByName(rare).distinct(), "names")
+    pieces = text_pieces(known, "low") | {TOKEN_MODE: "tokens"}
+    modes = [r["mode"] for r in known.select("mode").distinct().collect()]
+    tagged = [f"transform({pieces[m]}, x -> named_struct('mode', {m}, 'piece', x))" for m in sorted(modes)]
+    texts = keyed.selectExpr("file", "sid", f"{S.relation_tokens('statement')} AS tokens", f"{lower_fold('statement')} AS low")
+    met = texts.selectExpr("*", f"inline(concat({', '.join(tagged)}))") if tagged else texts.selectExpr("*", "0 AS mode", "'' AS piece").limit(0)
+    overlap = "least(6, size(array_intersect(tokens, all_tokens)))"
     gains = (
-        explicit.unionByName(overlap).groupBy("source", "target").agg(F.max("gain").alias("gain"))
-        .selectExpr("*", "split_part(source, '\\0', 1) AS own", "bigint(split_part(source, '\\0', 2)) AS sid")
-        .where("own <> target")
-        .groupBy(F.col("own").alias("file"), "sid")
-        .agg(F.sum("gain").alias("gain"), F.expr("array_sort(collect_set(target)) AS mentioned"))
+        met.join(known, ["mode", "piece"]).where("file <> target")
+        .selectExpr("file", "sid", "target", f"if(mode = {TOKEN_MODE}, {overlap}, if(contains(low, folded_name), 6, 0)) AS gain").where("gain >= 3")
+        .groupBy("file", "sid", "target").agg(F.max("gain").alias("gain"))
+        .groupBy("file", "sid").agg(F.sum("gain").alias("gain"), F.expr("array_sort(collect_set(target)) AS mentioned"))
     )
-    return keyed.join(gains, ["file", "sid"], "left").selectExpr(
+    return keyed.join(cut_lineage(gains, "gains"), ["file", "sid"], "left").selectExpr(
         "* EXCEPT (sid, gain, mentioned, score)", "score + coalesce(gain, 0) AS score",
         "coalesce(mentioned, cast(array() as array<string>)) AS mentioned",
     )
 
 
+TOKEN_MODE = 3
+"""Names found through a token; the other modes are those of name_anchors."""
+
+
 def table_segments(tables: dict[str, DataFrame], files: dict[str, str]) -> DataFrame:
     """(file, column, locator, text): the text cells of tables that may hold a statement. files: {table: its file}."""
     parts = []
@@ -180,7 +185,7 @@ def outline_cards(outlines: DataFrame) -> DataFrame:
 def goal_statements(lines: DataFrame, keep: int = 20) -> DataFrame:
     """(file, line_no, line) of goal texts -> their first relationship statements, equal texts once."""
     parts = lines.selectExpr("file", "line_no", f"posexplode({S.split_statements('line', commas=True)}) AS (p, statement)")
-    scored = parts.selectExpr("*", f"{casefold('statement')} AS folded", f"{normalize_name('statement')} AS name")
+    scored = parts.selectExpr("*", f"{casefold('statement')} AS folded").selectExpr("*", f"{plain_name('folded')} AS name")
     kept = scored.selectExpr("*", f"{S.marker_score('folded')} AS score").where("score > 0")
     once = kept.selectExpr("*", "row_number() OVER (PARTITION BY file, name ORDER BY line_no, p) AS copy").where("copy = 1")
     ranked = once.selectExpr("*", "row_number() OVER (PARTITION BY file ORDER BY line_no, p) AS rank")

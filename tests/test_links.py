@@ -250,3 +250,28 @@ def test_a_value_of_many_columns_meets_by_label(spark):
 
     want = {(f"t{a:02}", f"t{b:02}"): agreement(a, b) for a in range(len(kinds)) for b in range(a + 1, len(kinds))}
     assert got == {pair: x for pair, x in want.items() if x >= 0.72}
+
+
+def test_statements_are_folded_once(spark):
+    """The filter on the score must not fold a statement again for each marker."""
+    segments = spark.createDataFrame([("f", "l", "It depends on the order. Nothing here at all.")], "file string, locator string, text string")
+    best = C.best_statements(C.scored_statements(segments))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("CASE WHEN") <= 4
+    assert [r["statement"] for r in best.collect()] == ["It depends on the order."]
+
+
+def test_mentions_shuffle_no_statement(spark):
+    """Few names: a statement meets them where it is read, and what is found is the same as for many names."""
+    texts = ["see orders csv for more", "the Orders CSV file", "nothing to see here", "a log of logs, alpha beta gamma"]
+    segments = spark.createDataFrame([(f"f{i}", "l", t) for i, t in enumerate(texts)], "file string, locator string, text string")
+    names = [("orders csv", "orders csv", "orders"), ("logs", "logs", "alpha beta gamma"), ("f0", "more", "more")]
+    others = [(f"x{i}", f"zq{i:04d}", "none") for i in range(80)]  # more four-letter pieces than are looked for one by one
+    found = []
+    for rows in (names, names + others):
+        named = spark.createDataFrame(rows, "path string, file_name string, stem string")
+        scored = C.mention_scores(C.scored_statements(segments), named)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        found.append({r["file"]: r["mentioned"] for r in scored.collect()})
+    assert found[0] == found[1] == {"f0": ["orders csv"], "f1": ["orders csv"], "f2": [], "f3": ["logs"]}
