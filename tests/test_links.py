@@ -129,6 +129,28 @@ def test_components_and_forest_against_union_find(spark, seed):
     assert {r["id"] for r in G.spanning_forest(df).collect()} == chosen
 
 
+def test_components_shed_the_edges_of_dense_parts(spark, monkeypatch):
+    """After the first round hardly any edge of a dense part is left, and a long path takes few rounds."""
+    rng = random.Random(6)
+    dense = [(f"p{rng.randrange(400)}", f"s{rng.randrange(20)}") for _ in range(6000)]
+    path = [(f"w{k:03d}", f"w{k + 1:03d}") for k in range(200)]
+    loose = [("alone", "alone"), (None, "half"), ("half", "half")]
+    written = []
+
+    def counted(df, name="step"):
+        out = cut_lineage(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", counted)
+    df = cut_lineage(spark.createDataFrame(dense + path + loose, "source string, target string"))
+    got = {r["node"]: r["component"] for r in G.components(df).collect()}
+    first = min(min(e) for e in dense)
+    want = {n: first for e in dense for n in e} | {n: "w000" for e in path for n in e} | {"alone": "alone", None: None, "half": "half"}
+    assert got == want
+    assert sum(n > 3000 for n in written) <= 1 and len(written) <= 40
+
+
 def test_chains(spark):
     rows = [("R-1", "a", "b", 0.9), ("R-2", "b", "c", 0.8), ("R-3", "a", "c", 0.7), ("R-4", "x", "y", 0.9)]
     df = cut_lineage(spark.createDataFrame(rows, "id string, source string, target string, confidence double"))
