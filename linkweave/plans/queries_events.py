@@ -504,24 +504,30 @@ def session_counts(spark, folder):
 # Rows as they arrive: each up to a quarter of the whole span after its time, in five files, so a batch each; a last row far
 # ahead closes the stream.
 _DELAY, _FILES = 0.25, 5
+_ROWS = 200_000
+"""Rows of a file, at about: the fifth of a large table that comes in one batch is several files."""
 
 
 def arrivals(spark, rows: DataFrame, closing: dict[str, str]) -> tuple[DataFrame, str]:
     """(stream, lateness that lets all of it through) of rows with ts and seq; `closing` has the columns of the last row (SQL).
 
+    The lateness spans a batch more than the delays, so where files of two folders meet in a batch no row is late either.
+
     The last row stands a day more than the lateness after all others, so the watermark passes them, and no further: Python holds times
     of the years 1678 to 2261 only.
     """
     out, rows = fresh_folder(spark, "arrivals"), cut_lineage(rows.withColumn("ts", F.col("ts").cast("timestamp")))
-    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high, size = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count(F.lit(1))).first()
+    parts = min(spark.sparkContext.defaultParallelism, 1 + size // (_FILES * _ROWS))
     delay = max(1, int((high - low) * _DELAY))
     width = max(1, (high - low + delay) // _FILES + 1)
     placed = rows.withColumn("file", F.expr(f"(unix_micros(ts) - {low} + pmod(xxhash64(seq), {delay})) div {width}"))
     for n in range(_FILES):
-        placed.where(f"file = {n}").drop("file").coalesce(1).write.parquet(f"{out}/events.parquet/{n}")
+        own = placed.where(f"file = {n}").drop("file")
+        (own.repartition(parts) if parts > 1 else own.coalesce(1)).write.parquet(f"{out}/events.parquet/{n}")
     last = rows.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(high + 2 * (delay + width) + 86_400_000_000)), **{c: F.expr(x) for c, x in closing.items()}})
     last.coalesce(1).write.parquet(f"{out}/events.parquet/{_FILES}")
-    return J.table_stream(spark, out, "events", files_per_batch=1), f"{(delay + width) // 1_000_000 + 1} seconds"
+    return J.table_stream(spark, out, "events", files_per_batch=parts), f"{(delay + width) // 1_000_000 + 1} seconds"
 
 
 @query(

@@ -1,8 +1,9 @@
 """Streams in event order: rows wait in state until the watermark has passed them, whatever the order in which they came.
 
-Each key holds the rows that may still be overtaken, so no more than arrive within the allowed lateness, and a timer. Once the
-watermark has passed a row nothing older can come, and the rows up to it are folded in order of time and `seq`: the answers are those of
-a batch over the same rows. Rows later than that never reach a key; `counts_with_late` shows how to keep such rows aside.
+Keys are dealt into buckets, and a bucket holds the rows of its keys that may still be overtaken, so no more than arrive within the
+allowed lateness, and a timer. Once the watermark has passed a row nothing older can come, and the rows up to it are folded key by key in
+order of time and `seq`: the answers are those of a batch over the same rows. Calls to the state store are made per bucket and batch, not
+per key. Rows later than that never reach a bucket; `counts_with_late` shows how to keep such rows aside.
 """
 
 from __future__ import annotations
@@ -10,38 +11,55 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from linkweave.operators.folds import ACTION_STATUS, FIELD_CHARS, GAP, PER_WINDOW, WINDOW, next_answer, unique_tail
 
+BUCKETS = 1024
+"""Buckets that keys are dealt into. What waits in one is in the memory of a task."""
+
+ROWS_OUT = 1 << 14
+"""Rows of a result handed on at a time."""
+
+_WAITING = pa.schema([("key", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("body", pa.string())])
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
 
 class InEventOrder(StatefulProcessor):
-    """Releases the rows of a key in order of (ts, seq). `fields`: the columns a step needs; `out`: those it returns."""
+    """Releases the rows of the keys of a bucket, each key's in order of (ts, seq). `fields`: the columns a step needs; `out`: those it returns."""
 
     fields: tuple[str, ...] = ()
     out: tuple[str, ...] = ()
 
     def step(self, key: tuple, state: dict, row: dict) -> tuple | None:
-        """Changes the state by one row and returns a row of the result, or nothing."""
+        """Changes the state of a key by one row and returns a row of the result, or nothing."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, seq long, body string")
-        self.state = handle.getValueState("state", "body string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.states = handle.getMapState("states", "key string", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, parts = None, []
         for batch in rows:
-            at = batch["ts"].astype("datetime64[us]").astype("int64")
-            low = int(at.min())
+            low = int(batch["at"].min())
             first = low if first is None else min(first, low)
-            bodies = batch[[*self.fields]].to_dict("records") if self.fields else [{}] * len(batch)
-            self.waiting.appendList([(int(t), int(s), json.dumps(b, default=str)) for t, s, b in zip(at, batch["seq"], bodies, strict=True)])
-        if first is not None:
+            parts.append((_packed(pa.Table.from_pandas(batch[_WAITING.names], _WAITING, preserve_index=False)),))
+        if parts:
+            self.waiting.appendList(parts)
             self._wake(first)
         return iter(())
 
@@ -50,20 +68,30 @@ class InEventOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((tuple(r) for r in held if r[0] <= due), key=lambda r: r[:2])
-        if not ready:
+        if not self.waiting.exists():
             return
-        rest = [tuple(r) for r in held if r[0] > due]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(r[0] for r in rest))
+        held = pa.concat_tables([pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()])
+        passed = pc.less_equal(held["at"], due)
+        ready, rest = held.filter(passed).sort_by([(c, "ascending") for c in ("key", "at", "seq")]), held.filter(pc.invert(passed))
+        if not len(ready):
+            return
+        if len(rest):
+            self.waiting.put([(_packed(rest),)])
+            self._wake(pc.min(rest["at"]).as_py())
         else:
             self.waiting.clear()
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        found = [self.step(key, state, {"at": at, "seq": seq, **json.loads(body)}) for at, seq, body in ready]
-        self.state.update((json.dumps(state),))
-        found = [f for f in found if f is not None]
+        found = []
+        for name, own in groupby(_rows(ready), key=lambda r: r[0]):
+            place, old = tuple(json.loads(name).values()), self.states.getValue((name,))
+            state = json.loads(old[0]) if old else {}
+            for _, at, seq, body in own:
+                given = json.loads(body) if self.fields else {}
+                found.append(self.step(place, state, {"at": at, "seq": seq, **{f: given.get(f) for f in self.fields}}))
+            self.states.updateValue((name,), (json.dumps(state),))
+            found = [f for f in found if f is not None] if None in found else found
+            if len(found) >= ROWS_OUT:
+                yield pd.DataFrame(found, columns=list(self.out))
+                found = []
         if found:
             yield pd.DataFrame(found, columns=list(self.out))
 
@@ -71,6 +99,11 @@ class InEventOrder(StatefulProcessor):
         pass
 
 
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    for batch in table.to_batches(ROWS_OUT):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 class LedgerCalls(InEventOrder):
     """An exactly-once ledger of one (scope, call_id): the first input, whether it has succeeded, and the result to replay."""
 
@@ -123,7 +156,13 @@ class ProgressInOrder(InEventOrder):
 
 def _in_order(rows: DataFrame, keys: list[str], processor: InEventOrder, schema: str, late: str) -> DataFrame:
     timed = rows.select(*keys, "ts", "seq", *processor.fields).withWatermark("ts", late)
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    key, body = (f"to_json(struct({', '.join(names)}), map('ignoreNullFields', 'false'))" if names else "''" for names in (keys, processor.fields))
+    first = -(1 << 63) + 1000  # rows without a time come first
+    packed = timed.selectExpr(
+        f"pmod(xxhash64({', '.join(keys)}), {BUCKETS}) AS bucket", f"{key} AS key", "ts", f"coalesce(unix_micros(ts), {first}L) AS at", "bigint(seq) AS seq",
+        f"{body} AS body",
+    )
+    return packed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
 

@@ -306,6 +306,59 @@ def test_versions_as_of_many_times(spark):
         assert got == want
 
 
+def test_state_is_called_per_bucket_of_keys(spark):
+    """The rows of many users wait as a few packed tables, and null keys, long keys and rows in no order are answered as in a loop."""
+    from linkweave.streaming.ordered import BUCKETS, CodeRequestsInOrder, ordered_rate_limits
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    turn = random.Random(9)
+    users = [None, 2**62 + 1, 2**62 + 2, *range(200)]
+    rows = [(1_700_000_000 + turn.randrange(400), n, turn.choice(users)) for n in range(1200)]
+    folder = files_of(spark, [*shuffled_parts(rows, 2, turn), [(1_700_000_000 + 10**6, 0, -1)]], "t long, seq long, user_id long")
+    out = fresh_folder(spark, "requests")
+    stream = J.table_stream(spark, folder, "events", files_per_batch=1).withColumn("ts", F.timestamp_seconds("t"))
+    J.run_to_folder(ordered_rate_limits(stream, "2000 seconds"), out)
+    want, times = set(), {}
+    for t, n, user in sorted(rows):
+        ok, wait, times[user] = H.next_answer(times.get(user, []), float(t))
+        want.add((user, float(t), n, ok, wait))
+    assert {tuple(r) for r in J.read_batches(spark, out).drop("batch").collect()} == want
+
+    class Handle:
+        calls, timers = [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def getMapState(self, name, keys, values):
+            return self
+
+        def appendList(self, rows):
+            self.calls.append(rows)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    processor = CodeRequestsInOrder()
+    processor.init(Handle())
+    batch = spark.range(5000).selectExpr("string(id) AS key", "timestamp_micros(id) AS ts", "5000000 + id AS at", "id AS seq", "'' AS body").toPandas()
+    assert list(processor.handleInputRows((3,), iter([batch[:2000], batch[2000:]]), None)) == []
+    assert len(Handle.calls) == 1 and len(Handle.calls[0]) == 2 and Handle.timers == [5000] and BUCKETS >= 256
+
+
+def test_large_arrivals_come_in_several_files(spark, monkeypatch):
+    from linkweave.plans import queries_events as W
+
+    monkeypatch.setattr(W, "_ROWS", 20, raising=False)
+    rows = spark.range(1000).selectExpr("id AS user_id", "id AS seq", "timestamp_seconds(1700000000 + id * 60) AS ts")
+    stream, _ = W.arrivals(spark, rows, {"user_id": "-1L"})
+    out = fresh_folder(spark, "several")
+    J.run_to_folder(stream, out)
+    got = J.read_batches(spark, out)
+    assert sorted(r["user_id"] for r in got.collect()) == [-1, *range(1000)]
+    assert got.where("user_id >= 0").groupBy("batch").agg(F.countDistinct("file_path").alias("n")).agg(F.max("n")).first()[0] > 1
+
+
 def test_long_streams_close_within_the_range_of_times(spark):
     """Rows of two years: the row that closes their stream stays a time that Python can hold, and all of them are answered."""
     from linkweave.plans.queries_events import arrivals
