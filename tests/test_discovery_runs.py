@@ -169,3 +169,13 @@ def test_files_of_a_table_are_numbered_without_a_list(spark, many_files):
 
     numbers = [r["row_no"] for r in with_row_number(many_files).select("row_no").collect()]
     assert len(set(numbers)) == many_files.count() and {n // FILE_STRIDE for n in numbers} == set(range(5))
+
+
+def test_samples_of_one_pass_equal_those_of_all_values(spark):
+    """The samples that relations of profiles come from: those of all distinct values, though none of these is shuffled."""
+    tables = read_tables(spark, "/root/testdata/sf0.001")
+    columns = ["table", "column", "fingerprint", "row_no", "locator", "preview", "specificity", "probe_key"]
+    got = D.sampled_columns(spark, tables, RULES).select(*columns)
+    want = D.profiles(*D.scan(spark, tables, RULES), RULES).select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 500
+    assert D.sampled_columns(spark, {"region": tables["region"].select("r_name").withColumnRenamed("r_name", "amount")}, RULES).count() == 0
