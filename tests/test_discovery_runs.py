@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.config import Limits
 from linkweave.operators import links as L
-from linkweave.operators.occurrences import describe_values, distinct_values, occurrences
+from linkweave.operators.occurrences import describe_values, distinct_values, occurrences, with_row_number
 from linkweave.operators.scan import Scan, scan_table, seed_hashes
 from linkweave.operators.sketches import bottom_k, cardinality
 from linkweave.plans import discovery as D
@@ -179,3 +179,12 @@ def test_samples_of_one_pass_equal_those_of_all_values(spark):
     want = D.profiles(*D.scan(spark, tables, RULES), RULES).select(*columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 500
     assert D.sampled_columns(spark, {"region": tables["region"].select("r_name").withColumnRenamed("r_name", "amount")}, RULES).count() == 0
+
+
+def test_numbering_many_files_leaves_the_table_where_it_is(spark, tmp_path):
+    """The numbers of files go to the rows; a table of many small files is not sent to the one task that holds those numbers."""
+    spark.range(4000).repartition(40).write.parquet(str(tmp_path / "t"))
+    numbered = with_row_number(spark.read.parquet(str(tmp_path / "t")))
+    hinted = numbered._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)")
+    assert hinted == 2  # the rows of a file, and the numbers of files
+    assert numbered.select("row_no").distinct().count() == 4000
