@@ -90,6 +90,20 @@ def test_bottom_k_of_parts(spark):
     assert {r["fingerprint"] for r in K.sampled_bottom_k(cells, low, 32).collect()} == want
 
 
+def test_large_tables_get_more_tasks_for_distinct_values(spark, monkeypatch):
+    df = stored(spark, [(f"VALUE-{i % 4000:06d}", "COMMON-1") for i in range(9000)], "order_id string, item_code string")
+    columns = join_columns(schema_catalog(spark, {"t": df}))
+    cells = occurrences({"t": df}, columns)
+    plain = {tuple(r) for r in distinct_values(cells).collect()}
+    profile = {tuple(r) for r in K.column_profile(cells, 16).collect()}
+    monkeypatch.setattr("linkweave.operators.occurrences.TASK_BYTES", 1 << 10, raising=False)
+    dealt = distinct_values(cells)
+    assert dealt.select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r) for r in dealt.collect()} == plain and len(plain) == 4001
+    assert {tuple(r) for r in K.column_profile(cells, 16).collect()} == profile
+    assert {(r["column"], r["nonempty"], r["distinct"]) for r in K.cardinality(cells, exact=True).collect()} == {("order_id", 9000, 4000), ("item_code", 9000, 1)}
+
+
 def test_sketch_is_close(spark):
     df = stored(spark, [(f"VALUE-{i:06d}",) for i in range(5000)], "order_id string")
     cells = occurrences({"t": df}, join_columns(schema_catalog(spark, {"t": df})))
