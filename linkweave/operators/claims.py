@@ -8,9 +8,11 @@ file); cards (id, kind, strength, snippet, file). Every check yields (graph_id,
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,8 @@ ENDPOINTS = {
 }
 START_TYPES = ("trigger", "input", "actor", "system")
 END_TYPES = ("output", "state", "object")
+WHOLE_GRAPH = 2000
+"""Branches of a graph that is worked out in one piece."""
 STATED = ("document_relation_statement", "table_relation_statement", "goal_relation_statement")
 LINKED = ("references", "depends_on", "feeds", "joins_with")
 
@@ -273,9 +277,64 @@ def branch_order(claims: Claims) -> DataFrame:
 
     Branches are read in order, pass after pass, and each one that starts at an attached node adds its
     path. So a branch attaches in the pass of the earliest branch that holds its origin, or in the next
-    pass where that one is read later. The rounds below relax that minimum until nothing changes.
+    pass where that one is read later. Graphs of at most `WHOLE_GRAPH` branches are worked out whole, many a
+    task; the rounds for larger ones, one a branch along a row of branches, relax that minimum until nothing changes.
     """
     branches = claims.branches.selectExpr("graph_id", "pos", "origin", "path")
+    large = cut_lineage(branches.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(f"n > {WHOLE_GRAPH}").select("graph_id"), "large")
+    heads = claims.chain.selectExpr("graph_id", "node AS origin", "true AS starts").distinct()
+    marked = branches.join(large, "graph_id", "left_anti").join(heads, ["graph_id", "origin"], "left")
+    graphs = marked.groupBy("graph_id").agg(F.collect_list(F.struct("pos", "origin", "path", "starts")).alias("branches"))
+    kinds = dict(branches.dtypes)
+    whole = graphs.mapInArrow(_attaching(), f"graph_id {kinds['graph_id']}, pos {kinds['pos']}, pass long")
+    if large.isEmpty():
+        return cut_lineage(whole, "order")
+    return cut_lineage(whole.unionByName(_order_in_rounds(claims, branches.join(large, "graph_id", "left_semi"))), "order")
+
+
+def _attaching():
+    """Passes of the branches of whole graphs, a graph a row."""
+
+    def passes(branches):
+        starts, held, reads = set(), defaultdict(set), defaultdict(set)
+        for b in branches:
+            if b["pos"] is None:
+                continue
+            held[b["pos"]].update(b["path"] or ())
+            reads[b["origin"]].add(b["pos"])
+            if b["starts"]:
+                starts.add(b["pos"])
+        reads.pop(None, None)
+        found, ready, number = {}, starts, 1
+        while ready:  # the branches of a pass, then of the next one
+            queue, later = [p for p in ready if p not in found], set()
+            found.update(dict.fromkeys(queue, number))
+            while queue:
+                holder = queue.pop()
+                for node in held[holder]:
+                    for pos in reads.get(node, ()):
+                        if pos in found:
+                            continue
+                        if pos < holder:
+                            later.add(pos)
+                        else:
+                            found[pos] = number
+                            queue.append(pos)
+            ready, number = later, number + 1
+        return found
+
+    def run(batches):
+        for batch in batches:
+            graphs = ((g.as_py(), b.as_py()) for g, b in zip(*batch.columns))  # one at a time
+            rows = [(g, p, n) for g, b in graphs for p, n in passes(b).items()]
+            kinds = (batch.schema.field(0).type, batch.schema.field(1).type.value_type.field("pos").type, pa.int64())
+            columns = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["graph_id", "pos", "pass"])
+
+    return run
+
+
+def _order_in_rounds(claims: Claims, branches: DataFrame) -> DataFrame:
     start = branches.join(
         claims.chain.selectExpr("graph_id", "node AS origin").distinct(), ["graph_id", "origin"], "left_semi"
     ).selectExpr("graph_id", "pos", "1L AS pass")

@@ -1,6 +1,7 @@
 """Event reductions, ordered windows, folds and claim rules against fixtures or plain Python."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,25 @@ def test_branch_rules_against_passes(spark):
     assert {tuple(r) for r in V.branch_rules(claims).collect()} == want
 
 
+def test_branches_in_a_row_take_no_round_each(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(1, 2 * i, f"n{i}", [f"n{i + 1}"]) for i in range(40)] + [(2, 40 - i, f"n{i}", [f"n{i + 1}"]) for i in range(12)] + [(3, 0, None, None), (3, 1, "n9", [])]
+    rows += [(4, i, f"n{rng.randrange(9)}", [f"n{rng.randrange(9)}", None]) for i in range(9)] + [(5, 0, "n0", ["n1"])]
+    frame = lambda rows, schema: cut_lineage(spark.createDataFrame(rows, schema))
+    claims = V.Claims(
+        graphs=None, nodes=None, edges=None, coverage=None, inventory=None, cards=None, chain=frame([(g, 0, "n0") for g in range(5)], "graph_id long, pos int, node string"),
+        branches=frame(rows, "graph_id long, pos int, origin string, path array<string>"),
+    )
+    written = []
+    monkeypatch.setattr(V, "cut_lineage", lambda df, *name: written.append(name) or cut_lineage(df, *name))
+    order = {tuple(r) for r in V.branch_order(claims).collect()}
+    assert len(written) < 5
+    assert {r for r in order if r[0] < 3} == {(1, 2 * i, 1) for i in range(40)} | {(2, 40 - i, i + 1) for i in range(12)}
+    monkeypatch.setattr(V, "WHOLE_GRAPH", 8)  # graphs above it go through the rounds, with the same result
+    few = replace(claims, branches=claims.branches.where("graph_id > 1"))
+    assert {tuple(r) for r in V.branch_order(few).collect()} == {r for r in order if r[0] > 1}
+
+
 def test_steps_of_unattached_branches_are_not_judged(spark):
     frame = lambda rows, schema: cut_lineage(spark.createDataFrame(rows, schema))
     claims = V.Claims(
