@@ -164,19 +164,23 @@ def all_cards(spark, folder) -> DataFrame:
     fields = C.field_cards(Q.L.field_correspondences(relations, catalog))
     names = files.selectExpr("file").unionAll(read_table(spark, folder, "documents").selectExpr("source AS file")).distinct()
     names = cut_lineage(names.selectExpr("file AS path", "file AS file_name", "regexp_extract(file, '^([^.]*)', 1) AS stem"))
-    scored = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names)
-    statements = C.statement_cards(C.best_statements(scored, extra=("mentioned",)))
-    in_tables = C.mention_scores(C.scored_statements(small_table_cells(spark, folder, sizes), ("column",)), names)
-    in_tables = C.statement_cards(C.best_statements(in_tables, extra=("column", "mentioned")), from_table=True)
-    headed = document_lines(spark, folder).selectExpr("file", "locator", "ord", f"explode({T.split_statements('text')}) AS statement")
-    headed = headed.selectExpr("*", f"{X.casefold('statement')} AS folded").selectExpr("*", f"{T.marker_score('folded')} AS score")
-    outlines = C.outline_cards(C.outline_rows(headed))
+    said, cells, heads = card_texts(spark, folder, tables, names)
+    statements = C.statement_cards(C.best_statements(said, extra=("mentioned",)))
+    in_tables = C.statement_cards(C.best_statements(cells, extra=("column", "mentioned")), from_table=True)
+    outlines = C.outline_cards(C.outline_rows(heads))
     goals = C.goal_cards(goal_lines(spark, folder))
     return C.union_cards(C.schema_cards(catalog, files), fields, statements, in_tables, outlines, goals)
 
 
+def card_texts(spark, folder, tables: dict[str, DataFrame], names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scored statements of documents and of the text cells of all tables, and those of documents again with their order, for headings."""
+    said = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names)
+    cells = C.mention_scores(C.scored_statements(C.table_segments(tables, {t: f"{t}.parquet" for t in tables}), ("column",)), names)
+    return said, cells, C.scored_statements(document_lines(spark, folder), ("ord",))
+
+
 def small_table_cells(spark, folder, sizes: DataFrame) -> DataFrame:
-    """Text cells of the tables within the seed budget, as segments of their files."""
+    """Text cells of the tables within the seed budget, as segments of their files; cards are made of all tables (card_texts)."""
     tables = read_tables(spark, folder)
     small = {r["table"] for r in sizes.collect() if r["row_count"] * len(tables[r["table"]].columns) <= Q.RULES.limits.seed_cell_budget}
     return C.table_segments({t: df for t, df in tables.items() if t in small}, {t: f"{t}.parquet" for t in tables})
