@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
+from linkweave.plans import queries_text as QT
 from linkweave.plans.tables import TABLES
 
 SAID = "If the orders and the lineitem of a customer change, the supplier returns the part before the events."
@@ -30,3 +31,8 @@ def test_card_kinds_count_statements_of_large_tables(spark, large_orders):
     assert kinds["table_relation_statement"] == 1
     few = spark.read.parquet(f"{large_orders}/orders.parquet")
     assert few.count() * len(few.columns) > 100_000
+
+
+def test_evidence_cards_hold_statements_of_large_tables(spark, large_orders):
+    cards = entry.queries()["evidence_cards"](spark, large_orders).where("kind = 'table_relation_statement'").collect()
+    assert [(c["file"], c["locator"], c["snippet"]) for c in cards] == [("orders.parquet", "table:orders;row:17000;column:o_orderpriority", SAID)]
