@@ -36,3 +36,11 @@ def test_card_kinds_count_statements_of_large_tables(spark, large_orders):
 def test_evidence_cards_hold_statements_of_large_tables(spark, large_orders):
     cards = entry.queries()["evidence_cards"](spark, large_orders).where("kind = 'table_relation_statement'").collect()
     assert [(c["file"], c["locator"], c["snippet"]) for c in cards] == [("orders.parquet", "table:orders;row:17000;column:o_orderpriority", SAID)]
+
+
+def test_synthesis_brief_reads_statements_of_large_tables(spark, large_orders, monkeypatch):
+    """Files, schemas and links of fourteen tables fill the brief; without the schemas there is room for statements."""
+    whole = QT.all_cards
+    monkeypatch.setattr(QT, "all_cards", lambda *at: whole(*at).where("kind <> 'table_schema'"))
+    cards = entry.queries()["synthesis_brief"](spark, large_orders).where("kind = 'table_relation_statement'").collect()
+    assert [(c["file"], c["snippet"]) for c in cards] == [("orders.parquet", SAID)]
