@@ -12,6 +12,7 @@ from linkweave.functions.values import describe_entities, heading_like, text_ent
 from linkweave.operators import cards as C
 from linkweave.operators import preview as P
 from linkweave.operators import search as R
+from linkweave.operators.texts import known_names, scan_texts
 from linkweave.plans import oracle_text as O
 from linkweave.plans import queries_discovery as Q
 from linkweave.plans.registry import query
@@ -173,10 +174,17 @@ def all_cards(spark, folder) -> DataFrame:
 
 
 def card_texts(spark, folder, tables: dict[str, DataFrame], names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored statements of documents and of the text cells of all tables, and those of documents again with their order, for headings."""
-    said = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names)
-    cells = C.mention_scores(C.scored_statements(C.table_segments(tables, {t: f"{t}.parquet" for t in tables}), ("column",)), names)
-    return said, cells, C.scored_statements(document_lines(spark, folder), ("ord",))
+    """Scored statements of documents and of the text cells of all tables, and headings of documents, as far as cards may be made of them."""
+    known = known_names(names)
+    if known is None:  # too many names for a task: statements meet them in joins
+        said = C.mention_scores(C.scored_statements(document_lines(spark, folder)), names)
+        cells = C.mention_scores(C.scored_statements(C.table_segments(tables, {t: f"{t}.parquet" for t in tables}), ("column",)), names)
+        return said, cells, C.scored_statements(document_lines(spark, folder), ("ord",))
+    passes = [
+        scan_texts(df, t, f"{t}.parquet", known, ("source", "doc_id", "text") if t == "documents" else None) for t, df in sorted(tables.items())
+    ]
+    kept = cut_lineage(C.union_cards(*[p for p in passes if p is not None]), "texts")  # all tables in one job
+    return tuple(kept.where(f"what = '{what}'") for what in ("line", "cell", "head"))
 
 
 def small_table_cells(spark, folder, sizes: DataFrame) -> DataFrame:
