@@ -29,6 +29,7 @@ FEW_PIECES = 512
 """So few pieces of names are looked for by one expression."""
 CHUNK_CHARS = 1 << 20
 """Texts are worked on in chunks of about so many characters."""
+SLICE_TEXTS = 64
 HELD_FILES = 4096
 """A task that holds the statements of more files sends them on and starts afresh."""
 
@@ -181,12 +182,13 @@ def _examine(texts: list[str], names: Names) -> Iterator[tuple[list[_Found], lis
 def _examined(values: pa.Array, names: Names) -> Iterator[tuple[int, list[_Found], list[tuple[int, str]]]]:
     """(place, statements, headings) of the texts that have any."""
     chunk, begin, size = [], 0, 0
-    for i, text in enumerate(values.to_pylist()):
-        chunk.append(text)
-        size += len(text)
-        if size >= CHUNK_CHARS:
-            yield from ((begin + j, *x) for j, x in enumerate(_examine(chunk, names)) if x[0] or x[1])
-            chunk, begin, size = [], i + 1, 0
+    for at in range(0, len(values), SLICE_TEXTS):  # a batch of long texts is never held as Python's strings
+        for i, text in enumerate(values.slice(at, SLICE_TEXTS).to_pylist(), at):
+            chunk.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield from ((begin + j, *x) for j, x in enumerate(_examine(chunk, names)) if x[0] or x[1])
+                chunk, begin, size = [], i + 1, 0
     yield from ((begin + j, *x) for j, x in enumerate(_examine(chunk, names)) if x[0] or x[1])
 
 

@@ -156,11 +156,12 @@ def note_entities(spark, folder):
 def all_cards(spark, folder) -> DataFrame:
     """Cards of tables, links, documents and goals of the data folder."""
     tables = read_tables(spark, folder)
-    catalog = S.schema_catalog(spark, tables, Q.RULES.headers)
+    # written: a row a column and a row a table, which the cards of tables read many times
+    catalog = cut_lineage(S.schema_catalog(spark, tables, Q.RULES.headers), "catalog")
     sizes = Q.D.table_sizes(tables).select("table", "row_count").join(Q.D.table_bytes(tables), "table")
-    files = sizes.selectExpr(
+    files = cut_lineage(sizes.selectExpr(
         "table", "concat(table, '.parquet') AS file", "'.parquet' AS extension", "size", "'tabular' AS kind", "row_count"
-    )
+    ), "files")
     relations = Q.D.profile_relations(spark, tables, Q.RULES)
     fields = C.field_cards(Q.L.field_correspondences(relations, catalog))
     names = files.selectExpr("file").unionAll(read_table(spark, folder, "documents").selectExpr("source AS file")).distinct()
